@@ -39,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of keys that may be broadcast; more are joined by a shuffle.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """df, already cut, hinted as the broadcast side if it has at most `limit` rows, else as the build side of a shuffled hash join."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("shuffle_hash")
+
+
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -111,19 +120,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregated by minimum with map-side combining and joined by a join that AQE may split, so no
     group is gathered in one place and nothing but two counters reaches the driver.
     """
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    was = cur.agg(F.count(F.lit(1)), total).first()
     for _ in range(max_rounds):
+        if not was[0]:
+            break
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = cut(small)
-        total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        same = [x.agg(F.count(F.lit(1)).alias("n"), total.alias("t")).first() for x in (cur, new)]
-        cur = new
-        if same[0] == same[1]:
+        cur = cut(small)
+        now = cur.agg(F.count(F.lit(1)), total).first()
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v"), F.col("v")).distinct())
