@@ -139,3 +139,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v"), F.col("v")).distinct())
+
+
+def open_fs(uri: str):
+    """The file system and the path of a URI, for executors' Python: local, HDFS and object stores."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def parts(n: int, most: int = 4096) -> int:
+    """Partitions for n work items."""
+    return max(1, min(n, most))
