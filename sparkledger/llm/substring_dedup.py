@@ -1,8 +1,8 @@
 """Substring dedup with compressed FM-indexes over content shards.
 
-Every window of `window` words belongs to one anchor, its smallest `gram`-word hash (leftmost if
-tied), so equal windows have equal anchors. Windows under one anchor that stand side by side form a
-segment. Anchors that occur once cannot hold a repeated window; the other segments meet by anchor
+Every window of `window` words belongs to one anchor, its smallest `gram`-word hash, so equal windows
+have equal anchors. Windows under one anchor that stand side by side form a segment, also in text
+that repeats itself; a segment has LONGEST windows at most. Anchors that occur once cannot hold a repeated window; the other segments meet by anchor
 in shards. A shard indexes its distinct segments (wavelet matrix over the Burrows-Wheeler
 transform, suffix counts weighted by the copies of a segment), and the same segments are streamed
 through backward search, whose matching statistics tell which windows occur again. An anchor with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .util import mix, read, run_hashes, word_hashes, word_spans
 
-WINDOW, GRAM, SHARD_ROWS, INDEX_WORDS = 35, 8, 8192, 1_200_000
+WINDOW, GRAM, SHARD_ROWS, INDEX_WORDS, LONGEST = 35, 8, 4096, 1_200_000, 512
 
 
 class FMIndex:
@@ -138,8 +138,11 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
         a, b = best[: len(best) - hop], best[hop:]
         best, width = np.where(g[b] < g[a], b, a), width + hop
     best = best[:wins]
-    begin = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
-    return g[best[begin]], begin, np.diff(np.append(begin, wins))
+    value = g[best]
+    change = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    inside = np.arange(wins) - np.repeat(change, np.diff(np.append(change, wins)))
+    begin = np.flatnonzero(inside % LONGEST == 0)
+    return value[begin], begin, np.diff(np.append(begin, wins))
 
 
 def _emit_anchors(window: int, gram: int):
