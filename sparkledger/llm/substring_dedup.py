@@ -2,7 +2,7 @@
 
 Every window of `window` words belongs to one anchor, its smallest `gram`-word hash, so equal windows
 have equal anchors. Windows under one anchor that stand side by side form a segment, also in text
-that repeats itself; a segment has LONGEST windows at most. Anchors that occur once cannot hold a repeated window; the other segments meet by anchor
+that repeats itself; a segment has LONGEST windows at most. A segment whose anchor stands nowhere else cannot hold a repeated window; the others meet by anchor
 in shards. A shard indexes its distinct segments (wavelet matrix over the Burrows-Wheeler
 transform, suffix counts weighted by the copies of a segment), and the same segments are streamed
 through backward search, whose matching statistics tell which windows occur again. An anchor with
@@ -126,11 +126,9 @@ class FMIndex:
         return np.cumsum(marks[:-1]) > 0
 
 
-def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a document's word hashes: anchor hash, first window and number of windows of each segment."""
+def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a document's word hashes: anchor hash, first window and number of windows of each segment, and whether its anchor stands in it twice."""
     wins = len(h) - window + 1
-    if wins <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g, span = run_hashes(h, gram), window - gram + 1
     best, width = np.arange(len(g)), 1
     while width < span:
@@ -142,7 +140,9 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     change = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     inside = np.arange(wins) - np.repeat(change, np.diff(np.append(change, wins)))
     begin = np.flatnonzero(inside % LONGEST == 0)
-    return value[begin], begin, np.diff(np.append(begin, wins))
+    n = np.diff(np.append(begin, wins))
+    # a run cut at LONGEST windows has its anchor twice, for no anchor stays in so many windows
+    return value[begin], begin, n, best[begin] != best[begin + n - 1]
 
 
 def _emit_anchors(window: int, gram: int):
@@ -154,11 +154,11 @@ def _emit_anchors(window: int, gram: int):
                 data = t.as_py()
                 s, e = word_spans(data)
                 if len(s) >= window:
-                    a, first, n = _anchors(word_hashes(data, s, e), window, gram)
-                    out.append((np.full(len(a), key), a.view(np.int64), first, n))
+                    a, *rest = _anchors(word_hashes(data, s, e), window, gram)
+                    out.append((np.full(len(a), key), a.view(np.int64), *rest))
             if out:
-                k, a, f, n = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(f, pa.int64()), pa.array(n, pa.int32())], ["key", "anchor", "first", "n"])
+                k, a, f, n, twice = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(twice)], ["key", "anchor", "first", "n", "twice"])
 
     return run
 
@@ -287,9 +287,9 @@ def _apply(window: int):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows: int = SHARD_ROWS, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text for every row of docs (doc_id, text)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    anchors = keyed.where("text is not null").select("key", "text").mapInArrow(_emit_anchors(window, gram), "key long, anchor long, first long, n int")
+    anchors = keyed.where("text is not null").select("key", "text").mapInArrow(_emit_anchors(window, gram), "key long, anchor long, first long, n int, twice boolean")
     w = Window.partitionBy("anchor")
-    met = anchors.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(w.orderBy("key", "first"))).where("copies > 1")
+    met = anchors.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(w.orderBy("key", "first"))).where("copies > 1 or twice")
     split = F.col("copies") > shard_rows
     shard = F.when(split, F.xxhash64("anchor", F.floor((F.col("nth") - 1) / shard_rows))).otherwise(F.xxhash64("anchor"))
     of_doc = met.groupBy("key").agg(F.collect_set(F.struct("first", "n", shard.alias("shard"), split.alias("split"))).alias("segs"))
