@@ -1,0 +1,126 @@
+"""The sync run: scan, filter, batch and store usage events; attribute them; classify commits.
+
+Every surface is one job that ends with its own watermark, so a surface that fails keeps its old
+watermark and is sent again; the sink drops ids it has.
+"""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime, timezone
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions.variant import iso_string, iso_timestamp
+from ..operators import commits as C
+from ..operators.filters import LEGACY_SURFACES, parse_state, sane, unseen
+from ..operators.usage import batches
+from ..sources.lines import existing
+from ..sources.surfaces import SCANNERS
+
+EVENT_BATCH, ATTRIBUTION_BATCH, FATE_BATCH = 250, 1000, 2000
+LOOPBACK = {"localhost", "127.0.0.1", "::1"}
+
+
+def secure_url(raw: str) -> str:
+    """https, or http on a loopback host; anything else raises."""
+    from urllib.parse import urlsplit
+
+    url = urlsplit(raw)
+    if not url.scheme or not url.hostname:
+        raise ValueError(f"not a server URL: {raw}")
+    if url.scheme == "https" or url.scheme == "http" and url.hostname in LOOPBACK:
+        return raw
+    raise ValueError(f"insecure server URL: {url.scheme}://{url.netloc}")
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if existing(spark, [path]) else spark.createDataFrame([], schema)
+
+
+def since_for(state: dict, surface: str):
+    """A surface's watermark as a column, or None."""
+    own, legacy = state["surfaces"].get(surface), state["lastSyncAt"]
+    text = own or (legacy if surface in LEGACY_SURFACES else None)
+    return iso_timestamp(F.lit(text)) if text else None
+
+
+class Ledger:
+    """A folder with the stored relations and the state file."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def state(self) -> dict:
+        path = Path(self.folder, "state.json")
+        return parse_state(path.read_text() if path.exists() else None)
+
+    def save_state(self, state: dict) -> None:
+        Path(self.folder).mkdir(parents=True, exist_ok=True)
+        Path(self.folder, "state.json").write_text(json.dumps(state, indent=2))
+
+    def deny(self) -> DataFrame:
+        path = Path(self.folder, "config.json")
+        try:
+            names = json.loads(path.read_text()).get("denyRepos", [])
+        except (OSError, ValueError, AttributeError):
+            names = []
+        return self.spark.createDataFrame([(n,) for n in names if isinstance(n, str)], "repo_name string")
+
+    def exclude(self, repo: str) -> None:
+        names = sorted({r.repo_name for r in self.deny().collect()} | {repo})
+        Path(self.folder).mkdir(parents=True, exist_ok=True)
+        Path(self.folder, "config.json").write_text(json.dumps({"denyRepos": names}))
+
+    def events(self) -> DataFrame:
+        return stored(self.spark, f"{self.folder}/events", schemas.USAGE_EVENT + ", batch_id long")
+
+    def sync(self, full: bool = False, bases: dict[str, list[str]] | None = None, now: datetime | None = None) -> dict[str, int]:
+        """Stores the new events of every surface; returns their number by surface."""
+        now = now or datetime.now(timezone.utc)
+        state, out = self.state(), {}
+        for surface, scan in SCANNERS.items():
+            since = None if full else since_for(state, surface)
+            rows = scan(self.spark, None if bases is None else bases.get(surface, []), since)
+            rows = rows.where(sane(F.col("external_id"), F.col("occurred_at"), F.lit(now)))
+            order = ["source_rank", "file_path", "line_no"]
+            new = batches(unseen(rows, self.events(), "external_id", order), EVENT_BATCH, ["surface"], order)
+            staged = f"{self.folder}/staged/{surface}"
+            new.write.mode("overwrite").parquet(staged)
+            new = self.spark.read.parquet(staged)
+            out[surface] = new.count()
+            new.write.mode("append").parquet(f"{self.folder}/events")
+            state["surfaces"][surface] = now.astimezone(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+            self.save_state(state)
+        return out
+
+    def attribute(self, events: DataFrame, cwd_repo: DataFrame, repo_commits: DataFrame) -> DataFrame:
+        """Stores and returns the attributions, in batches."""
+        rows = C.attribute(events, cwd_repo, repo_commits, self.deny())
+        batches(rows, ATTRIBUTION_BATCH, ["repo_name"], ["external_id", "commit_sha"]).write.mode("overwrite").parquet(f"{self.folder}/attributions")
+        return self.spark.read.parquet(f"{self.folder}/attributions")
+
+    def classify(self, facts: dict[str, DataFrame]) -> DataFrame:
+        """Stores and returns the fates; facts: the tables of `operators.commits.fates` by name."""
+        rows = C.fates(**facts).withColumn("repo_name", C.repo_name(F.col("repo_root")))
+        batches(rows, FATE_BATCH, ["repo_name"], ["sha"]).write.mode("overwrite").parquet(f"{self.folder}/fates")
+        return self.spark.read.parquet(f"{self.folder}/fates")
+
+
+def wire_events(events: DataFrame, account: DataFrame) -> DataFrame:
+    """One envelope for each batch: surface, batch_id and the JSON of source, account and events."""
+    event = F.struct(*[c for c in events.columns if c not in ("occurred_at", "batch_id", "source_rank", "file_path", "line_no")], iso_string(F.col("occurred_at")).alias("occurred_at"))
+    order = F.struct("source_rank", "file_path", "line_no", event.alias("e"))
+    groups = events.groupBy("surface", "batch_id").agg(F.array_sort(F.collect_list(order)).alias("rows"))
+    acct = account.limit(1).select(F.struct("*").alias("account"))
+    body = F.to_json(F.struct(F.struct("surface", F.lit("local_logs").alias("kind")).alias("source"), "account", F.transform("rows", lambda r: r["e"]).alias("events")))
+    return groups.join(F.broadcast(acct), F.lit(True), "left").select("surface", "batch_id", F.size("rows").alias("n_events"), body.alias("body"))
+
+
+def rollup(events: DataFrame, by: list[str]) -> DataFrame:
+    """Extension: token totals; the neutral cache-write bucket replaces the two timed ones where it is set."""
+    total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.coalesce("cache_write_tokens", F.col("cache_creation_5m_tokens") + F.col("cache_creation_1h_tokens"))
+    return events.rollup(*by).agg(F.count(F.lit(1)).alias("events"), F.sum(total).alias("tokens"))
