@@ -114,4 +114,4 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_token_files(read(spark, sf_dir, "documents"), scratch(spark, "tokens"))
     counts = token_counts(written.groupBy("file", "path").agg(F.max("bytes").alias("bytes")))
     ids = written.select("file", "base", F.posexplode("doc_ids").alias("pos", "doc_id")).select("file", (F.col("base") + F.col("pos")).alias("ordinal"), "doc_id")
-    return counts.join(ids, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return counts.join(ids.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
