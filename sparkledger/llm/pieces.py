@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import mix, powers, read
+from .util import mix, powers, read, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, STRETCH, KNOWN, LONG, CELLS, SLOTS = "▁", 1 << 22, 400_000, 128, 1 << 21, 18
-UNKNOWN_PENALTY = 10.0
+MARK, STRETCH, KNOWN, LONG, CELLS, SLOTS = "▁", 1 << 20, 200_000, 128, 1 << 20, 18
+UNKNOWN_PENALTY, ROWS = 10.0, 256
 _LOADED: dict[str, PieceTable] = {}
 
 
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in b.columns[:-1]), ids], [*names, "ids"])
                 at += len(some)
 
-    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, _schema(docs, names) + "ids array<int>")
+    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(released(run), _schema(docs, names) + "ids array<int>")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -306,11 +306,11 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         table = piece_table(model)
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = b.column(b.num_columns - 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x.values is None else table.decode(x.values.to_pylist()) for x in ids], pa.string())], [*names, "ids", "decoded"])
 
-    return rows.select(*names, "ids").mapInArrow(run, _schema(rows, names) + "ids array<int>, decoded string")
+    return rows.select(*names, "ids").mapInArrow(released(run), _schema(rows, names) + "ids array<int>, decoded string")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import components, cut, mix, read, small
+from .util import components, cut, mix, read, released, small
 
 GRAM, RADIUS, SEED = 3, 2, 42
 #: For whole documents: five-word shingles, Jaccard similarity, and blocks of fingerprints.
@@ -75,7 +75,7 @@ def _fingerprints(gram: int, blocks: int, sets: bool):
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, blocks: int = 1, sets: bool = False) -> DataFrame:
     """doc_id and fps, an array of one 64-bit fingerprint for each block."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(gram, blocks, sets), "doc_id long, fps array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(_fingerprints(gram, blocks, sets)), "doc_id long, fps array<long>")
 
 
 def covering_masks(radius: int, seed: int = 1) -> list[int]:
@@ -177,10 +177,10 @@ def near_pairs(texts: DataFrame, gram: int, radius: int, blocks: int, similarity
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = cut(pairs.join(fa, "a").join(fb, "b").where(apart <= most).select("a", "b"))
     wanted = cut(close.select(F.col("a").alias("rid")).union(close.select(F.col("b").alias("rid"))).distinct())
-    sets = texts.join(small(wanted), "rid", "left_semi").select("rid", "text").mapInArrow(_pair_sets(gram), "rid long, hs array<long>")
+    sets = texts.join(small(wanted), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
     sets = cut(sets.groupBy("rid").agg(F.first("hs").alias("hs")))
     both = close.join(sets.select(F.col("rid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("rid").alias("b"), F.col("hs").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(_jaccard(similarity), "a long, b long")
+    return both.select("a", "b", "ha", "hb").mapInArrow(released(_jaccard(similarity)), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import read
+from .util import read, released
 
 FIT_ROWS, FOLDS, NEED, LONGEST_STEM = 6000, 5, 3, 8
 
@@ -290,7 +290,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shared.value.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
-    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(released(run), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

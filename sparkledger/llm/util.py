@@ -155,3 +155,25 @@ def open_fs(uri: str):
 def parts(n: int, most: int = 4096) -> int:
     """Partitions for n work items."""
     return max(1, min(n, most))
+
+
+def released(run):
+    """A batch function after which a reused Python worker gives its free memory back to the system."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
