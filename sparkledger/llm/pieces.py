@@ -277,9 +277,10 @@ def _schema(docs: DataFrame, names: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema)
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """The rows of docs with ids, an array of the piece ids of `text`."""
-    names = [c for c in docs.columns if c != "ids"]
+def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
+    """The rows of docs with ids, an array of the piece ids of `text`; check: also with round_trip, whether they decode to it."""
+    added = ("ids", "round_trip") if check else ("ids",)
+    names = [c for c in docs.columns if c not in added]
 
     def run(batches):
         encoder = Encoder(piece_table(model))
@@ -294,10 +295,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 got = encoder.encode(some)
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*got, np.zeros(0, np.int32)]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in b.columns[:-1]), ids], [*names, "ids"])
+                same = [pa.array([encoder.table.decode(x.tolist()) == t for x, t in zip(got, some)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in b.columns[:-1]), ids, *same], [*names, *added])
                 at += len(some)
 
-    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(released(run), _schema(docs, names) + "ids array<int>")
+    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(released(run), _schema(docs, names) + "ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -315,6 +317,5 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of pieces, the hash of their ids and whether they decode to the text."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.coalesce(F.col("decoded") == F.col("text"), F.col("decoded") == "").alias("round_trip"))
+    out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")

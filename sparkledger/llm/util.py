@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch where the session names no number: texts are long, and workers hold whole batches.
+BATCH_ROWS, _BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch, unless the session has a number of its own."""
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
