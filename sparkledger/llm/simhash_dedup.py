@@ -11,8 +11,9 @@ most one bit, and those that share a value (exactly those within distance 2) are
 to its smallest holder. Radius 2 is therefore exact and linear in the number of fingerprints.
 
 Near-duplicate documents (`near_dedup`) take candidates from the same tables over several
-independent fingerprints, compare a candidate with its neighbours and the first of its bucket, and
-keep those pairs whose sets of shingles reach the Jaccard similarity.
+independent fingerprints, here of the distinct words: an edited word changes one word but five
+shingles, so that texts whose five-word shingles are similar at 0.8 have word fingerprints only a few bits
+apart. The sets of shingles of the candidates are then compared exactly (`near_components`).
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other;
 fewer words than a shingle: the whole sequence is one shingle; repeated rows are each returned with
@@ -35,6 +36,8 @@ from .util import components, cut, mix, read, released, small
 GRAM, RADIUS, SEED = 3, 2, 42
 #: For whole documents: five-word shingles, Jaccard similarity, and blocks of fingerprints.
 NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 4, 6, 0.8
+#: Similarity of word sets that near-duplicates are sure to have; successors compared in a bucket, and members of it in one task.
+WORD_SIMILARITY, NEXT, GROUP = 0.7, 16, 4096
 _M = (1 << 64) - 1
 
 
@@ -155,24 +158,11 @@ def _jaccard(similarity: float):
     return run
 
 
-def near_pairs(texts: DataFrame, gram: int, radius: int, blocks: int, similarity: float) -> DataFrame:
-    """texts: rid (long, one for each text), text; copies may repeat. Edges (a, b) between texts whose shingle sets reach the similarity.
-
-    A bucket's members are sorted by fingerprint and each is compared with its successor and with
-    the bucket's first, so a bucket of any size gives linear work; over all tables these comparisons
-    tie near copies together.
-    """
-    fp = cut(fingerprints(texts.select(F.col("rid").alias("doc_id"), "text"), gram, blocks, sets=True).withColumnRenamed("doc_id", "rid").groupBy("rid").agg(F.first("fps").alias("fps")))
-    rows = None
-    for k in range(blocks):
-        part = _tables(fp.select("rid", F.col("fps")[k].alias("fp")), covering_masks(radius, k + 1), ["rid"]).select(F.xxhash64(F.lit(k), "tab", "key").alias("bucket"), "rid")
-        rows = part if rows is None else rows.union(part)
-    w = Window.partitionBy("bucket").orderBy("rid")
-    met = rows.select("bucket", "rid").withColumn("prev", F.lag("rid").over(w)).withColumn("head", F.first("rid").over(w)).where("prev is not null")
-    pairs = met.select(F.explode(F.array_distinct(F.array(F.struct(F.col("prev").alias("a"), F.col("rid").alias("b")), F.struct(F.col("head").alias("a"), F.col("rid").alias("b"))))).alias("p")).select("p.a", "p.b").distinct()
+def _compared(texts: DataFrame, fp: DataFrame, pairs: DataFrame, gram: int, blocks: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets reach the similarity; pairs of far fingerprints are not looked up."""
     fa, fb = fp.select(F.col("rid").alias("a"), F.col("fps").alias("fa")), fp.select(F.col("rid").alias("b"), F.col("fps").alias("fb"))
-    # expected share of differing bits at the similarity, with five standard deviations to spare
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    # expected share of differing bits of word sets of Jaccard 0.7, with five standard deviations to spare
+    p = float(np.arccos(2 * WORD_SIMILARITY / (1 + WORD_SIMILARITY)) / np.pi)
     most = int(64 * blocks * p + 5 * (64 * blocks * p * (1 - p)) ** 0.5)
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = cut(pairs.join(fa, "a").join(fb, "b").where(apart <= most).select("a", "b"))
@@ -180,7 +170,35 @@ def near_pairs(texts: DataFrame, gram: int, radius: int, blocks: int, similarity
     sets = texts.join(small(wanted), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
     sets = cut(sets.groupBy("rid").agg(F.first("hs").alias("hs")))
     both = close.join(sets.select(F.col("rid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("rid").alias("b"), F.col("hs").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(released(_jaccard(similarity)), "a long, b long")
+    return cut(both.select("a", "b", "ha", "hb").mapInArrow(released(_jaccard(similarity)), "a long, b long"))
+
+
+def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, similarity: float) -> DataFrame:
+    """texts: rid (long, one for each text), text; copies may repeat. Components (node, component) of texts whose shingle sets reach the similarity.
+
+    First every member of a bucket is compared with the bucket's smallest rid, and components are
+    formed. Then, in buckets that still hold members of different components, each member is compared
+    with its NEXT successors in an order that differs from bucket to bucket, unless both are tied
+    already: all pairs where the bucket has no more than NEXT + 1 members, linear work where it has more.
+    """
+    fp = cut(fingerprints(texts.select(F.col("rid").alias("doc_id"), "text"), 1, blocks, sets=True).withColumnRenamed("doc_id", "rid").groupBy("rid").agg(F.first("fps").alias("fps")))
+    keys = [F.xxhash64(F.lit(k), F.lit(t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m)).cast("long"))) for k in range(blocks) for t, m in enumerate(covering_masks(radius, k + 1))]
+    rows = fp.select("rid", F.explode(F.array(*keys)).alias("bucket"))
+    buckets = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("head"), F.max("rid").alias("last")).where("n > 1"))
+    members = cut(rows.join(small(buckets.where("n > 2").select("bucket", "head", "n")), "bucket"))
+    first = cut(buckets.where("n = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).union(members.where("rid <> head").select("head", "rid")).distinct())
+    edges = _compared(texts, fp, first, gram, blocks, similarity)
+    tied = components(edges)
+
+    named = members.join(tied.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    named = cut(named)
+    mixed = cut(named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
+    salt = F.pmod(F.xxhash64("rid", F.lit(7)), F.ceil(F.col("n") / GROUP))
+    w = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("bucket", "rid"), "rid").rowsBetween(1, NEXT)
+    met = named.join(small(mixed), "bucket", "left_semi").withColumn("salt", salt).withColumn("other", F.collect_list(F.struct("rid", "component")).over(w))
+    met = met.select("rid", F.explode(F.expr("filter(other, x -> x.component <> component)")).alias("other"))
+    more = met.select(F.least("rid", "other.rid").alias("a"), F.greatest("rid", "other.rid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return components(edges.union(_compared(texts, fp, cut(more), gram, blocks, similarity)))
 
 
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
@@ -192,7 +210,7 @@ def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rid, row_id = F.xxhash64(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     copies = cut(docs.select(rid.alias("rid"), row_id.alias("id")).groupBy("rid", "id").agg(F.count(F.lit(1)).alias("n")))
-    comp = components(near_pairs(docs.select(rid.alias("rid"), text.alias("text")), gram, radius, blocks, similarity))
+    comp = near_components(docs.select(rid.alias("rid"), text.alias("text")), gram, radius, blocks, similarity)
     named = copies.groupBy("rid").agg(F.min("id").alias("id")).join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     kept = named.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("k")).select("k.id", "k.rid")
     stays = cut(copies.join(kept.withColumn("kept", F.lit(True)), ["rid", "id"], "left").select("rid", "id", "n", F.coalesce("kept", F.lit(False)).alias("kept")))

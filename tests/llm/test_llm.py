@@ -109,6 +109,29 @@ def test_near_dedup_keeps_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 3, 4, 6]
 
 
+def test_near_dedup_against_brute_force(spark):
+    r = random.Random(5)
+    bases = [prose(100 + i, r.randrange(60, 600)) for i in range(12)] + [prose(130, 900)]
+    texts = []
+    for b in bases:
+        for _ in range(5 if b is not bases[-1] else 60):
+            w = b.split()
+            for _ in range(r.randrange(len(w) // 40 + 1)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts.append(bases[0] + " " + " ".join(bases[1].split()[:400]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i in range(j):
+            common = len(sets[i] & b)
+            if common >= 0.8 * (len(sets[i]) + len(b) - common):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    got = sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect())
+    assert got == sorted(set(root))
+
+
 def test_line_dedup(spark):
     texts = [f"menu\nunique {i}\n\nmenu" for i in range(8)] + ["menu\nother", None, ""]
     df = docs(spark, texts, ["a"] * 8 + ["b", "a", None])
