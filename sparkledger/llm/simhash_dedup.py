@@ -36,8 +36,8 @@ from .util import components, cut, mix, read, released, small
 GRAM, RADIUS, SEED = 3, 2, 42
 #: For whole documents: five-word shingles, Jaccard similarity, and blocks of fingerprints.
 NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 4, 6, 0.8
-#: Similarity of word sets that near-duplicates are sure to have; successors compared in a bucket, and members of it in one task.
-WORD_SIMILARITY, NEXT, GROUP = 0.7, 16, 4096
+#: Members that stand for a component in a bucket, successors each is compared with, and members of a bucket in one task.
+AGENTS, NEXT, GROUP = 4, 8, 4096
 _M = (1 << 64) - 1
 
 
@@ -158,47 +158,60 @@ def _jaccard(similarity: float):
     return run
 
 
-def _compared(texts: DataFrame, fp: DataFrame, pairs: DataFrame, gram: int, blocks: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets reach the similarity; pairs of far fingerprints are not looked up."""
-    fa, fb = fp.select(F.col("rid").alias("a"), F.col("fps").alias("fa")), fp.select(F.col("rid").alias("b"), F.col("fps").alias("fb"))
-    # expected share of differing bits of word sets of Jaccard 0.7, with five standard deviations to spare
-    p = float(np.arccos(2 * WORD_SIMILARITY / (1 + WORD_SIMILARITY)) / np.pi)
+def _compared(texts: DataFrame, marks: DataFrame, pairs: DataFrame, gram: int, blocks: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets reach the similarity; sets are looked up only for pairs of near shingle fingerprints."""
+    fa, fb = marks.select(F.col("rid").alias("a"), F.col("fps").alias("fa")), marks.select(F.col("rid").alias("b"), F.col("fps").alias("fb"))
+    # expected share of differing bits at the similarity, with five standard deviations to spare
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(64 * blocks * p + 5 * (64 * blocks * p * (1 - p)) ** 0.5)
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = cut(pairs.join(fa, "a").join(fb, "b").where(apart <= most).select("a", "b"))
-    wanted = cut(close.select(F.col("a").alias("rid")).union(close.select(F.col("b").alias("rid"))).distinct())
-    sets = texts.join(small(wanted), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
+    sets = texts.join(small(_ends(close)), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
     sets = cut(sets.groupBy("rid").agg(F.first("hs").alias("hs")))
     both = close.join(sets.select(F.col("rid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("rid").alias("b"), F.col("hs").alias("hb")), "b")
     return cut(both.select("a", "b", "ha", "hb").mapInArrow(released(_jaccard(similarity)), "a long, b long"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct())
+
+
+def _prints(texts: DataFrame, gram: int, blocks: int) -> DataFrame:
+    """rid and fps, once for each text."""
+    fp = fingerprints(texts.select(F.col("rid").alias("doc_id"), "text"), gram, blocks, sets=True).withColumnRenamed("doc_id", "rid")
+    return cut(fp.groupBy("rid").agg(F.first("fps").alias("fps")))
+
+
 def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, similarity: float) -> DataFrame:
     """texts: rid (long, one for each text), text; copies may repeat. Components (node, component) of texts whose shingle sets reach the similarity.
 
     First every member of a bucket is compared with the bucket's smallest rid, and components are
-    formed. Then, in buckets that still hold members of different components, each member is compared
-    with its NEXT successors in an order that differs from bucket to bucket, unless both are tied
-    already: all pairs where the bucket has no more than NEXT + 1 members, linear work where it has more.
+    formed. A component is then represented in each bucket by up to AGENTS members, others in every
+    bucket, and the agents of a bucket are compared with their NEXT successors in an order that differs
+    from bucket to bucket, unless both are tied already. The work is linear in the number of members.
     """
-    fp = cut(fingerprints(texts.select(F.col("rid").alias("doc_id"), "text"), 1, blocks, sets=True).withColumnRenamed("doc_id", "rid").groupBy("rid").agg(F.first("fps").alias("fps")))
+    fp = _prints(texts, 1, blocks)
     keys = [F.xxhash64(F.lit(k), F.lit(t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m)).cast("long"))) for k in range(blocks) for t, m in enumerate(covering_masks(radius, k + 1))]
     rows = fp.select("rid", F.explode(F.array(*keys)).alias("bucket"))
     buckets = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("head"), F.max("rid").alias("last")).where("n > 1"))
-    members = cut(rows.join(small(buckets.where("n > 2").select("bucket", "head", "n")), "bucket"))
+    members = cut(rows.join(small(buckets.where("n > 2").select("bucket", "head")), "bucket"))
     first = cut(buckets.where("n = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).union(members.where("rid <> head").select("head", "rid")).distinct())
-    edges = _compared(texts, fp, first, gram, blocks, similarity)
+    marks = _prints(texts.join(small(_ends(first)), "rid", "left_semi"), gram, blocks)
+    edges = _compared(texts, marks, first, gram, blocks, similarity)
     tied = components(edges)
 
-    named = members.join(tied.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    named = cut(named)
-    mixed = cut(named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
-    salt = F.pmod(F.xxhash64("rid", F.lit(7)), F.ceil(F.col("n") / GROUP))
-    w = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("bucket", "rid"), "rid").rowsBetween(1, NEXT)
-    met = named.join(small(mixed), "bucket", "left_semi").withColumn("salt", salt).withColumn("other", F.collect_list(F.struct("rid", "component")).over(w))
+    named = members.join(tied.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("component"))
+    least = [F.min(F.struct(F.xxhash64("bucket", "rid", F.lit(k)), "rid")).getField("rid") for k in range(AGENTS)]
+    agents = named.groupBy("bucket", "component").agg(F.array_distinct(F.array(*least)).alias("rids"))
+    agents = cut(agents.select("bucket", "component", F.explode("rids").alias("rid")))
+    sizes = agents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = cut(sizes.where("low <> high").select("bucket", "n"))
+    salt = F.pmod(F.xxhash64("rid", F.lit(AGENTS)), F.ceil(F.col("n") / GROUP))
+    w = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("bucket", "rid", F.lit(AGENTS)), "rid").rowsBetween(1, NEXT)
+    met = agents.join(small(mixed), "bucket").withColumn("salt", salt).withColumn("other", F.collect_list(F.struct("rid", "component")).over(w))
     met = met.select("rid", F.explode(F.expr("filter(other, x -> x.component <> component)")).alias("other"))
     more = met.select(F.least("rid", "other.rid").alias("a"), F.greatest("rid", "other.rid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return components(edges.union(_compared(texts, fp, cut(more), gram, blocks, similarity)))
+    return components(edges.union(_compared(texts, marks, cut(more), gram, blocks, similarity)))
 
 
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
