@@ -158,14 +158,24 @@ def _jaccard(similarity: float):
     return run
 
 
-def _compared(texts: DataFrame, marks: DataFrame, pairs: DataFrame, gram: int, blocks: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets reach the similarity; sets are looked up only for pairs of near shingle fingerprints."""
-    fa, fb = marks.select(F.col("rid").alias("a"), F.col("fps").alias("fa")), marks.select(F.col("rid").alias("b"), F.col("fps").alias("fb"))
-    # expected share of differing bits at the similarity, with five standard deviations to spare
+def _most(blocks: int, similarity: float) -> int:
+    """Differing bits of all blocks expected at the similarity, with five standard deviations to spare."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most = int(64 * blocks * p + 5 * (64 * blocks * p * (1 - p)) ** 0.5)
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = cut(pairs.join(fa, "a").join(fb, "b").where(apart <= most).select("a", "b"))
+    return int(64 * blocks * p + 5 * (64 * blocks * p * (1 - p)) ** 0.5)
+
+
+def _apart(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+
+
+def _close(marks: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """Those pairs (a, b) whose fingerprints are near."""
+    fa, fb = marks.select(F.col("rid").alias("a"), F.col("fps").alias("fa")), marks.select(F.col("rid").alias("b"), F.col("fps").alias("fb"))
+    return pairs.join(fa, "a").join(fb, "b").where(_apart("fa", "fb") <= most).select("a", "b")
+
+
+def _compared(texts: DataFrame, close: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b), already cut, whose shingle sets reach the similarity."""
     sets = texts.join(small(_ends(close)), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
     sets = cut(sets.groupBy("rid").agg(F.first("hs").alias("hs")))
     both = close.join(sets.select(F.col("rid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("rid").alias("b"), F.col("hs").alias("hb")), "b")
@@ -197,7 +207,8 @@ def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, simil
     members = cut(rows.join(small(buckets.where("n > 2").select("bucket", "head")), "bucket"))
     first = cut(buckets.where("n = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).union(members.where("rid <> head").select("head", "rid")).distinct())
     marks = _prints(texts.join(small(_ends(first)), "rid", "left_semi"), gram, blocks)
-    edges = _compared(texts, marks, first, gram, blocks, similarity)
+    most = _most(blocks, similarity)
+    edges = _compared(texts, cut(_close(marks, first, most)), gram, similarity)
     tied = components(edges)
 
     named = members.join(tied.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("component"))
@@ -207,11 +218,12 @@ def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, simil
     sizes = agents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = cut(sizes.where("low <> high").select("bucket", "n"))
     salt = F.pmod(F.xxhash64("rid", F.lit(AGENTS)), F.ceil(F.col("n") / GROUP))
-    w = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("bucket", "rid", F.lit(AGENTS)), "rid").rowsBetween(1, NEXT)
-    met = agents.join(small(mixed), "bucket").withColumn("salt", salt).withColumn("other", F.collect_list(F.struct("rid", "component")).over(w))
-    met = met.select("rid", F.explode(F.expr("filter(other, x -> x.component <> component)")).alias("other"))
-    more = met.select(F.least("rid", "other.rid").alias("a"), F.greatest("rid", "other.rid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return components(edges.union(_compared(texts, marks, cut(more), gram, blocks, similarity)))
+    w = Window.partitionBy("bucket", salt).orderBy(F.xxhash64("bucket", "rid", F.lit(AGENTS)), "rid").rowsBetween(1, NEXT)
+    met = agents.join(small(mixed), "bucket").join(marks, "rid").withColumn("other", F.collect_list(F.struct("rid", "component", "fps")).over(w))
+    near = F.filter("other", lambda x: (x["component"] != F.col("component")) & (_apart(x["fps"], F.col("fps")) <= most))
+    met = met.select("rid", F.explode(F.transform(near, lambda x: x["rid"])).alias("other"))
+    more = met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return components(edges.union(_compared(texts, cut(more), gram, similarity)))
 
 
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
