@@ -12,8 +12,10 @@ to its smallest holder. Radius 2 is therefore exact and linear in the number of
 
 Near-duplicate documents (`near_dedup`) take candidates from the same tables over several
 independent fingerprints, here of the distinct words: an edited word changes one word but five
-shingles, so that texts whose five-word shingles are similar at 0.8 have word fingerprints only a few bits
-apart. The sets of shingles of the candidates are then compared exactly (`near_components`).
+shingles, so that texts with scattered edits have word fingerprints only a few bits apart. A passage that
+is appended, cut off or replaced changes words as much as shingles; such pairs, and all others that meet in
+no bucket, come from an exact prefix join on rare shingles (`_completed`). The sets of shingles of the
+candidates are then compared exactly (`near_components`).
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other;
 fewer words than a shingle: the whole sequence is one shingle; repeated rows are each returned with
@@ -38,6 +40,8 @@ GRAM, RADIUS, SEED = 3, 2, 42
 NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 4, 6, 0.8
 #: Members that stand for a component in a bucket, successors each is compared with, and members of a bucket in one task.
 AGENTS, NEXT, GROUP = 4, 8, 4096
+#: Exact complement: bits of a set's parity, one text in so many counted for the order of shingles, shingles whose counts are kept, and rows of a batch.
+PARITY, SAMPLE, OFTEN, SLICE = 1024, 32, 200_000, 10_000
 _M = (1 << 64) - 1
 
 
@@ -192,6 +196,183 @@ def _prints(texts: DataFrame, gram: int, blocks: int) -> DataFrame:
     return cut(fp.groupBy("rid").agg(F.first("fps").alias("fps")))
 
 
+def _need(sizes, similarity: float):
+    """The shingles that sets of these sizes (their sum) share at the least if they reach the similarity."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-6)
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """PARITY bits, each the parity of the members of h that fall on it: two sets differ in no more bits than members."""
+    ones = np.bincount((mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketches(gram: int):
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", gram)) for t in b.column(1).cast(pa.binary())]
+            bits = np.concatenate([np.zeros(0, np.int64), *map(parity, sets)])
+            ends = np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bits))], ["rid", "size", "bits"])
+
+    return run
+
+
+def _possible(texts: DataFrame, pairs: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b), already cut, that sizes and parities of the shingle sets do not rule out; none that reaches the similarity is lost."""
+    marks = texts.join(small(_ends(pairs)), "rid", "left_semi").select("rid", "text").mapInArrow(released(_sketches(gram)), "rid long, size long, bits array<long>")
+    marks = cut(marks.groupBy("rid").agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
+    ma, mb = (marks.select(F.col("rid").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"f{x}")) for x in "ab")
+    both = F.col("na") + F.col("nb")
+    most = both - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-6)
+    return pairs.join(ma, "a").join(mb, "b").where(_apart("fa", "fb") <= most).select("a", "b")
+
+
+def _checked(texts: DataFrame, pairs: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b), already cut, whose shingle sets reach the similarity."""
+    return _compared(texts, cut(_possible(texts, pairs, gram, similarity)), gram, similarity)
+
+
+def _often(texts: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of frequent shingles of a sample of texts. They only order the shingles: any order gives the same pairs."""
+    every = max(1, min(SAMPLE, texts.count() // 4096))
+    part = texts.where(F.pmod(F.xxhash64("rid", F.lit(SEED)), F.lit(every)) == 0).select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
+    rows = part.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(OFTEN).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(gram: int, similarity: float, often: np.ndarray, counts: np.ndarray):
+    """For each set its first shingles in one order of all shingles, rare ones first: sets that reach the similarity share one of these."""
+
+    def run(batches):
+        for b in batches:
+            keys, places, sizes = [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                h = np.unique(shingle_hashes(t.as_py() or b"", gram))
+                n = len(h)
+                if n and len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.lexsort((h, np.where(often[at] == h, counts[at], 0)))]
+                h = h[: n - int(np.ceil(similarity * n - 1e-6)) + 1] if n else np.zeros(1, np.uint64)
+                keys.append(h.view(np.int64))
+                places.append(np.arange(len(h)))
+                sizes.append(n)
+            each = list(map(len, keys))
+            flat = [np.concatenate([np.zeros(0, np.int64), *keys]), np.repeat(b.column(0).to_numpy(), each), np.repeat(np.array(sizes, np.int64), each), np.concatenate([np.zeros(0, np.int64), *places])]
+            whole = pa.RecordBatch.from_arrays(list(map(pa.array, flat)), ["bucket", "rid", "size", "place"])
+            yield from (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE))
+
+    return run
+
+
+def _gathered(batches) -> list[np.ndarray]:
+    """The columns of all batches of a task."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else []
+
+
+def _starts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of a sorted column begin, and their lengths."""
+    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return start, np.diff(np.append(start, len(bucket)))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray):
+    """Batches of the distinct pairs, smaller member first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    if len(a):
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        a, b = a[new], b[new]
+    for i in range(0, len(a), SLICE):
+        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + SLICE]), pa.array(b[i : i + SLICE])], ["a", "b"])
+
+
+def _fit(similarity: float, na, pa_, nb, pb):
+    """Whether sets of these sizes, whose first common shingle has these places, can reach the similarity."""
+    return np.minimum(na - pa_, nb - pb) >= _need(na + nb, similarity)
+
+
+def _shared(similarity: float):
+    """The rows (bucket, rid, size, place), once each, of buckets that hold a pair."""
+
+    def run(batches):
+        got = _gathered(batches)
+        if not got:
+            return
+        order = np.lexsort((got[1], got[0]))
+        bucket, rid, size, place = (x[order] for x in got)
+        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (rid[1:] != rid[:-1])))
+        bucket, rid, size, place = (x[new] for x in (bucket, rid, size, place))
+        start, n = _starts(bucket)
+        keep, two = n > 1, start[n == 2]
+        keep[n == 2] = _fit(similarity, size[two], place[two], size[two + 1], place[two + 1])
+        keep = np.repeat(keep, n)
+        whole = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, rid, size, place)], ["bucket", "rid", "size", "place"])
+        yield from (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE))
+
+    return run
+
+
+def _untied(similarity: float, heads: bool):
+    """Pairs of different components in a bucket that can reach the similarity: those with its smallest rid, or all of a bucket of more than two."""
+
+    def run(batches):
+        got = _gathered(batches)
+        if not got:
+            return
+        order = np.lexsort((got[1] if heads else got[2], got[0]))
+        bucket, rid, size, place, comp = (x[order] for x in got)
+        start, n = _starts(bucket)
+        if heads:
+            first = np.repeat(start, n)
+            hit = (comp[first] != comp) & _fit(similarity, size[first], place[first], size, place)
+            yield from _pairs(rid[first][hit], rid[hit])
+            return
+        most, least = np.maximum.reduceat(comp, start), np.minimum.reduceat(comp, start)
+        todo = (n > 2) & (most > least)
+        a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for s, e in zip(start[todo], (start + n)[todo]):
+            tops = np.searchsorted(size[s:e], size[s:e] / similarity + 1e-6, side="right") + s
+            for i in range(s, e - 1):
+                j = slice(i + 1, tops[i - s])
+                hit = (comp[j] != comp[i]) & _fit(similarity, size[i], place[i], size[j], place[j])
+                other = rid[j][hit]
+                if len(other):
+                    a.append(np.full(len(other), rid[i]))
+                    b.append(other)
+                    held += len(other)
+            if held > 1 << 20:
+                yield from _pairs(np.concatenate(a), np.concatenate(b))
+                a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        yield from _pairs(np.concatenate(a), np.concatenate(b))
+
+    return run
+
+
+def _completed(texts: DataFrame, edges: DataFrame, tied: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Components of all pairs that reach the similarity, of which the edges, with components `tied`, are some.
+
+    Every pair that reaches the similarity shares a shingle of its prefixes. Members of such a bucket
+    are compared with its first unless tied already; then all pairs not tied yet are, however many.
+    """
+    often, counts = _often(texts, gram)
+    rows = texts.select("rid", "text").mapInArrow(released(_prefixes(gram, similarity, often, counts)), "bucket long, rid long, size long, place long")
+    live = cut(rows.repartition("bucket").mapInArrow(released(_shared(similarity)), "bucket long, rid long, size long, place long"))
+    tested = None
+    for heads in (True, False):
+        named = live.join(small(cut(tied.withColumnRenamed("node", "rid"))), "rid", "left").select("bucket", "rid", "size", "place", F.coalesce("component", "rid").alias("component"))
+        pairs = named.repartition("bucket").mapInArrow(released(_untied(similarity, heads)), "a long, b long").distinct()
+        tested = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not tested.isEmpty():
+            edges = edges.union(_checked(texts, tested, gram, similarity))
+            tied = components(edges)
+    return tied
+
+
 def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, similarity: float) -> DataFrame:
     """texts: rid (long, one for each text), text; copies may repeat. Components (node, component) of texts whose shingle sets reach the similarity.
 
@@ -223,7 +404,8 @@ def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, simil
     near = F.filter("other", lambda x: (x["component"] != F.col("component")) & (_apart(x["fps"], F.col("fps")) <= most))
     met = met.select("rid", F.explode(F.transform(near, lambda x: x["rid"])).alias("other"))
     more = met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return components(edges.union(_compared(texts, cut(more), gram, similarity)))
+    edges = edges.union(_compared(texts, cut(more), gram, similarity))
+    return _completed(texts, edges, components(edges), gram, similarity)
 
 
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:

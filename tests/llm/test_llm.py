@@ -309,3 +309,29 @@ def test_pipeline_stages(spark, tmp_path):
     out = c.run(spark, str(tmp_path))
     assert out.where("not round_trip").count() == 0
     assert {r.doc_id for r in out.collect()} <= set(range(30))
+
+
+def near_brute(texts, gram=5):
+    """The smallest index of each component of Jaccard similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + gram]) for i in range(max(1, len(w) - gram + 1))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i in range(j):
+            common = len(sets[i] & b)
+            if common >= 0.8 * (len(sets[i]) + len(b) - common):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    return sorted(set(root))
+
+
+def test_near_dedup_of_contiguous_changes(spark):
+    texts = []
+    for i in range(60):
+        w = prose(300 + i, 200 + 10 * i).split()
+        n = len(w)
+        new = prose(400 + i, n).split()
+        other = {0: w + new[: int(0.22 * n)], 1: w[: int(0.82 * n)], 2: w[: n // 3] + new[: int(0.09 * n)] + w[n // 3 + int(0.09 * n) :]}[i % 3]
+        texts += [" ".join(w), " ".join(other)]
+    want = near_brute(texts)
+    assert len(want) <= 62
+    assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == want
