@@ -30,7 +30,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import components, cut, mix, read, released, small
@@ -38,8 +38,6 @@ from .util import components, cut, mix, read, released, small
 GRAM, RADIUS, SEED = 3, 2, 42
 #: For whole documents: five-word shingles, Jaccard similarity, and blocks of fingerprints.
 NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 4, 6, 0.8
-#: Members that stand for a component in a bucket, successors each is compared with, and members of a bucket in one task.
-AGENTS, NEXT, GROUP = 4, 8, 4096
 #: Exact complement: bits of a set's parity, one text in so many counted for the order of shingles, shingles whose counts are kept, and rows of a batch.
 PARITY, SAMPLE, OFTEN, SLICE = 1024, 32, 200_000, 10_000
 _M = (1 << 64) - 1
@@ -291,6 +289,17 @@ def _pairs(a: np.ndarray, b: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + SLICE]), pa.array(b[i : i + SLICE])], ["a", "b"])
 
 
+def _heads(batches):
+    """The pairs of a bucket's smallest rid and each other member; rows are (bucket, rid)."""
+    got = _gathered(batches)
+    if got:
+        order = np.lexsort((got[1], got[0]))
+        bucket, rid = (x[order] for x in got)
+        start, n = _starts(bucket)
+        head = np.repeat(rid[start], n)
+        yield from _pairs(head[head != rid], rid[head != rid])
+
+
 def _fit(similarity: float, na, pa_, nb, pb):
     """Whether sets of these sizes, whose first common shingle has these places, can reach the similarity."""
     return np.minimum(na - pa_, nb - pb) >= _need(na + nb, similarity)
@@ -376,35 +385,15 @@ def _completed(texts: DataFrame, edges: DataFrame, tied: DataFrame, gram: int, s
 def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, similarity: float) -> DataFrame:
     """texts: rid (long, one for each text), text; copies may repeat. Components (node, component) of texts whose shingle sets reach the similarity.
 
-    First every member of a bucket is compared with the bucket's smallest rid, and components are
-    formed. A component is then represented in each bucket by up to AGENTS members, others in every
-    bucket, and the agents of a bucket are compared with their NEXT successors in an order that differs
-    from bucket to bucket, unless both are tied already. The work is linear in the number of members.
+    Every member of a bucket of fingerprints is compared with the bucket's smallest rid, which ties most
+    members of large groups; pairs that are not tied by then are compared by `_completed`, without a cap.
     """
     fp = _prints(texts, 1, blocks)
     keys = [F.xxhash64(F.lit(k), F.lit(t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m)).cast("long"))) for k in range(blocks) for t, m in enumerate(covering_masks(radius, k + 1))]
-    rows = fp.select("rid", F.explode(F.array(*keys)).alias("bucket"))
-    buckets = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("head"), F.max("rid").alias("last")).where("n > 1"))
-    members = cut(rows.join(small(buckets.where("n > 2").select("bucket", "head")), "bucket"))
-    first = cut(buckets.where("n = 2").select(F.col("head").alias("a"), F.col("last").alias("b")).union(members.where("rid <> head").select("head", "rid")).distinct())
+    rows = fp.select(F.explode(F.array(*keys)).alias("bucket"), "rid")
+    first = cut(rows.repartition("bucket").mapInArrow(released(_heads), "a long, b long").distinct())
     marks = _prints(texts.join(small(_ends(first)), "rid", "left_semi"), gram, blocks)
-    most = _most(blocks, similarity)
-    edges = _compared(texts, cut(_close(marks, first, most)), gram, similarity)
-    tied = components(edges)
-
-    named = members.join(tied.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("component"))
-    least = [F.min(F.struct(F.xxhash64("bucket", "rid", F.lit(k)), "rid")).getField("rid") for k in range(AGENTS)]
-    agents = named.groupBy("bucket", "component").agg(F.array_distinct(F.array(*least)).alias("rids"))
-    agents = cut(agents.select("bucket", "component", F.explode("rids").alias("rid")))
-    sizes = agents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = cut(sizes.where("low <> high").select("bucket", "n"))
-    salt = F.pmod(F.xxhash64("rid", F.lit(AGENTS)), F.ceil(F.col("n") / GROUP))
-    w = Window.partitionBy("bucket", salt).orderBy(F.xxhash64("bucket", "rid", F.lit(AGENTS)), "rid").rowsBetween(1, NEXT)
-    met = agents.join(small(mixed), "bucket").join(marks, "rid").withColumn("other", F.collect_list(F.struct("rid", "component", "fps")).over(w))
-    near = F.filter("other", lambda x: (x["component"] != F.col("component")) & (_apart(x["fps"], F.col("fps")) <= most))
-    met = met.select("rid", F.explode(F.transform(near, lambda x: x["rid"])).alias("other"))
-    more = met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    edges = edges.union(_compared(texts, cut(more), gram, similarity))
+    edges = _compared(texts, cut(_close(marks, first, _most(blocks, similarity))), gram, similarity)
     return _completed(texts, edges, components(edges), gram, similarity)
 
 

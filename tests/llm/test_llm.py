@@ -335,3 +335,15 @@ def test_near_dedup_of_contiguous_changes(spark):
     want = near_brute(texts)
     assert len(want) <= 62
     assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == want
+
+
+def test_near_dedup_of_crowded_buckets(spark, monkeypatch):
+    # one bucket for each block, so that all texts crowd in it
+    monkeypatch.setattr(simhash_dedup, "covering_masks", lambda radius, seed=1: [0])
+    texts = []
+    for i in range(60):
+        w = prose(500 + i, 120).split()
+        texts += [" ".join(w), " ".join(w[:60] + ["other"] + w[61:])]
+    order = random.Random(9)
+    order.shuffle(texts)
+    assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == near_brute(texts)
