@@ -160,22 +160,10 @@ def _jaccard(similarity: float):
     return run
 
 
-def _most(blocks: int, similarity: float) -> int:
-    """Differing bits of all blocks expected at the similarity, with five standard deviations to spare."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(64 * blocks * p + 5 * (64 * blocks * p * (1 - p)) ** 0.5)
-
-
 def _apart(x, y):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
 
 
-def _close(marks: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """Those pairs (a, b) whose fingerprints are near."""
-    fa, fb = marks.select(F.col("rid").alias("a"), F.col("fps").alias("fa")), marks.select(F.col("rid").alias("b"), F.col("fps").alias("fb"))
-    return pairs.join(fa, "a").join(fb, "b").where(_apart("fa", "fb") <= most).select("a", "b")
-
-
 def _compared(texts: DataFrame, close: DataFrame, gram: int, similarity: float) -> DataFrame:
     """Those pairs (a, b), already cut, whose shingle sets reach the similarity."""
     sets = texts.join(small(_ends(close)), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
@@ -392,8 +380,7 @@ def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, simil
     keys = [F.xxhash64(F.lit(k), F.lit(t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m)).cast("long"))) for k in range(blocks) for t, m in enumerate(covering_masks(radius, k + 1))]
     rows = fp.select(F.explode(F.array(*keys)).alias("bucket"), "rid")
     first = cut(rows.repartition("bucket").mapInArrow(released(_heads), "a long, b long").distinct())
-    marks = _prints(texts.join(small(_ends(first)), "rid", "left_semi"), gram, blocks)
-    edges = _compared(texts, cut(_close(marks, first, _most(blocks, similarity))), gram, similarity)
+    edges = _checked(texts, first, gram, similarity)
     return _completed(texts, edges, components(edges), gram, similarity)
 
 

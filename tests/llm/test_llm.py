@@ -347,3 +347,12 @@ def test_near_dedup_of_crowded_buckets(spark, monkeypatch):
     order = random.Random(9)
     order.shuffle(texts)
     assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == near_brute(texts)
+
+
+def test_near_dedup_of_short_texts(spark):
+    # sets of four and five shingles, of which fingerprints say little
+    texts = [t for i in range(1000) for w in [prose(1000 + i, 9, 10**6).split()] for t in (" ".join(w[:8]), " ".join(w))]
+    assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == list(range(0, 2000, 2))
+    edges = [(2 * i, 2 * i + 1) for i in range(1000)]
+    rids = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    assert simhash_dedup._possible(rids, util.cut(spark.createDataFrame(edges, "a long, b long")), 5, 0.8).count() == 1000
