@@ -29,10 +29,12 @@ SCRIPT_RE, TAG_RE = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", r"<[^
 HOST_RE = r"^[a-zA-Z]+://([^/:?#]+)"
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
-    """Rows (host, line, n, pages): hash of each line on more than `ratio` of a host's pages."""
-    each = pages.select(host.alias("host"), F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
-    total = pages.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, once: bool = False) -> DataFrame:
+    """Rows (host, line, n, pages): hash of each line on more than `ratio` of a host's pages; once: exact copies on a host are one page."""
+    each = pages.select(host.alias("host"), F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"), F.xxhash64(lines).alias("whole"))
+    if once:
+        each = each.groupBy("host", "whole").agg(F.first("lines").alias("lines"))
+    total = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = each.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_copies)
     both = counted.withColumnRenamed("host", "h").join(total, F.col("h").eqNullSafe(F.col("host")))
     return both.where((F.col("pages") >= min_pages) & (F.col("n") > ratio * F.col("pages"))).select("host", "line", "n", "pages")
@@ -41,24 +43,30 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
 def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, spare_copies: bool = False, limit: int = SMALL_LINES, salts: int = SALTS) -> DataFrame:
     """row (a struct of the page's columns), lines (the kept ones), n_lines and n_dropped (without blank lines).
 
-    spare_copies: a page that would lose all its lines is a copy of others rather than boilerplate, and keeps them.
+    spare_copies: a page that would lose all its lines keeps those that are not boilerplate where exact copies count as one page.
     """
+    none = F.array().cast("array<bigint>")
     bad = cut(boilerplate(pages, host, lines, ratio, min_pages, min_copies).groupBy("host").agg(F.collect_set("line").alias("bad")))
+    if spare_copies:
+        once = cut(boilerplate(pages, host, lines, ratio, min_pages, min_copies, True).groupBy("host").agg(F.collect_set("line").alias("once")).withColumnRenamed("host", "h"))
+        bad = cut(bad.join(once, F.col("host").eqNullSafe(F.col("h")), "left").select("host", "bad", F.coalesce("once", none).alias("once")))
+    else:
+        bad = bad.withColumn("once", none)
     tagged = pages.select(F.struct("*").alias("row"), host.alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
     if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= limit:
         met = tagged.join(F.broadcast(bad.withColumnRenamed("host", "h")), F.col("host").eqNullSafe(F.col("h")), "left")
     else:
-        dealt = bad.select(F.col("host").alias("h"), "bad", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+        dealt = bad.select(F.col("host").alias("h"), "bad", "once", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
         salt = F.pmod(F.xxhash64("lines"), F.lit(salts)).cast("int")
         met = tagged.withColumn("salt", salt).join(dealt, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s")), "left")
     hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    met = met.withColumn("hit", F.array_intersect(hashes, F.coalesce("bad", F.array().cast("array<bigint>"))))
-    dropped = lambda x: (x != "") & F.array_contains(F.col("hit"), F.xxhash64(x))
-    kept = F.when(F.size("hit") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~dropped(x)))
-    out = met.select("row", "lines", kept.alias("kept"), F.size(F.filter("lines", lambda x: x != "")).cast("long").alias("n_lines"))
+    met = met.withColumn("hit", F.array_intersect(hashes, F.coalesce("bad", none)))
+    dropped = lambda x, of: (x != "") & F.array_contains(F.col(of), F.xxhash64(x))
+    kept = F.when(F.size("hit") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~dropped(x, "hit")))
+    out = met.select("row", "lines", "once", kept.alias("kept"), F.size(F.filter("lines", lambda x: x != "")).cast("long").alias("n_lines"))
     left = F.size(F.filter("kept", lambda x: x != "")).cast("long")
     if spare_copies:
-        out = out.withColumn("kept", F.when(left > 0, F.col("kept")).otherwise(F.col("lines")))
+        out = out.withColumn("kept", F.when((left > 0) | (F.col("n_lines") == 0), F.col("kept")).otherwise(F.filter("lines", lambda x: ~dropped(x, "once"))))
     return out.select("row", F.col("kept").alias("lines"), "n_lines", (F.col("n_lines") - left).alias("n_dropped"))
 
 

@@ -356,3 +356,12 @@ def test_near_dedup_of_short_texts(spark):
     edges = [(2 * i, 2 * i + 1) for i in range(1000)]
     rids = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
     assert simhash_dedup._possible(rids, util.cut(spark.createDataFrame(edges, "a long, b long")), 5, 0.8).count() == 1000
+
+
+def test_line_dedup_of_pages_of_boilerplate(spark):
+    texts = ["licence\nterms"] * 10 + [f"licence\nterms\nunique {i}" for i in range(30)] + ["own\n\ntext"] * 6 + [None, "\n"]
+    for limit in (10, 0):
+        out = line_dedup.line_dedup(docs(spark, texts), F.col("source"), F.split("text", "\\n"), spare_copies=True, limit=limit)
+        got = {r.row.doc_id: (r.lines, r.n_dropped) for r in out.collect()}
+        want = [([], 2)] * 10 + [([f"unique {i}"], 2) for i in range(30)] + [(["own", "", "text"], 0)] * 6 + [([], 0), (["", ""], 0)]
+        assert got == dict(enumerate(want))
