@@ -25,6 +25,7 @@ empty result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import zlib
 from itertools import repeat
 
 import numpy as np
@@ -38,6 +39,8 @@ from .util import components, cut, mix, read, released, small
 GRAM, RADIUS, SEED = 3, 2, 42
 #: For whole documents: five-word shingles, Jaccard similarity, and blocks of fingerprints.
 NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 4, 6, 0.8
+#: Partners of a text that are compared with it in one task.
+GROUP = 1024
 #: Exact complement: bits of a set's parity, one text in so many counted for the order of shingles, shingles whose counts are kept, and rows of a batch.
 PARITY, SAMPLE, OFTEN, SLICE = 1024, 32, 200_000, 10_000
 _M = (1 << 64) - 1
@@ -142,20 +145,34 @@ def _pair_sets(gram: int):
     return run
 
 
-def _jaccard(similarity: float):
-    """Pairs (a, b, hs of a, hs of b) whose sorted sets reach the similarity."""
+def _packed(batches):
+    """Texts (rid, text, groups) compressed, since they are sent to each of their groups."""
+    for b in batches:
+        texts = [zlib.compress(t.as_py() or b"", 1) for t in b.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), b.column(2)], ["rid", "packed", "groups"])
+
+
+def _jaccard(gram: int, similarity: float):
+    """Pairs (a, b) of a group's head a and its other members whose shingle sets reach the similarity; rows are (a, part, rid, packed)."""
 
     def run(batches):
-        for b in batches:
-            va, vb = (c.flatten().to_numpy(zero_copy_only=False) for c in (b.column(2), b.column(3)))
-            la, lb = (c.value_lengths().to_numpy(zero_copy_only=False) for c in (b.column(2), b.column(3)))
-            ea, eb = np.cumsum(la), np.cumsum(lb)
-            good = []
-            for i in range(b.num_rows):
-                common = len(np.intersect1d(va[ea[i] - la[i] : ea[i]], vb[eb[i] - lb[i] : eb[i]], assume_unique=True))
-                whole = la[i] + lb[i] - common
-                good.append(bool(whole == 0 or common >= similarity * whole))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        a, part, rid = (table.column(c).to_numpy() for c in range(3))
+        one = lambda i: np.unique(shingle_hashes(zlib.decompress(table.column(3)[i].as_py()), gram))
+        order, at, head, left, right = np.lexsort((rid != a, part, a)), None, None, [], []
+        for i in order.tolist():
+            if (a[i], part[i]) != at:
+                at, head = (a[i], part[i]), one(i)
+            elif rid[i] != a[i]:
+                other = one(i)
+                common = len(np.intersect1d(head, other, assume_unique=True))
+                if common >= similarity * (len(head) + len(other) - common):
+                    left.append(a[i])
+                    right.append(rid[i])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -165,11 +182,17 @@ def _apart(x, y):
 
 
 def _compared(texts: DataFrame, close: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b), already cut, whose shingle sets reach the similarity."""
-    sets = texts.join(small(_ends(close)), "rid", "left_semi").select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
-    sets = cut(sets.groupBy("rid").agg(F.first("hs").alias("hs")))
-    both = close.join(sets.select(F.col("rid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("rid").alias("b"), F.col("hs").alias("hb")), "b")
-    return cut(both.select("a", "b", "ha", "hb").mapInArrow(released(_jaccard(similarity)), "a long, b long"))
+    """Those pairs (a, b), already cut, whose shingle sets reach the similarity.
+
+    The texts of a and of all its b meet in one task; the b of a crowded a are dealt over several.
+    """
+    sizes = cut(close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("n")))
+    dealt = close.join(small(sizes), "a").select("a", F.pmod(F.xxhash64("b"), "n").alias("part"), "b")
+    group = F.struct("a", "part")
+    groups = dealt.select(F.col("a").alias("rid"), group.alias("g")).union(dealt.select(F.col("b").alias("rid"), group.alias("g"))).groupBy("rid").agg(F.collect_set("g").alias("groups"))
+    sent = texts.select("rid", "text").join(small(cut(groups)), "rid").mapInArrow(released(_packed), "rid long, packed binary, groups array<struct<a: long, part: long>>")
+    rows = sent.select(F.explode("groups").alias("g"), "rid", "packed").select("g.a", "g.part", "rid", "packed")
+    return cut(rows.repartition("a", "part").mapInArrow(released(_jaccard(gram, similarity)), "a long, b long"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -393,7 +416,9 @@ def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rid, row_id = F.xxhash64(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     copies = cut(docs.select(rid.alias("rid"), row_id.alias("id")).groupBy("rid", "id").agg(F.count(F.lit(1)).alias("n")))
-    comp = near_components(docs.select(rid.alias("rid"), text.alias("text")), gram, radius, blocks, similarity)
+    more = copies.join(copies.groupBy("rid").agg(F.min("id").alias("least")), "rid").where("id > least").select("rid", "id")
+    texts = docs.select(rid.alias("rid"), row_id.alias("id"), text.alias("text")).join(small(cut(more)), ["rid", "id"], "left_anti").select("rid", "text")
+    comp = near_components(texts, gram, radius, blocks, similarity)
     named = copies.groupBy("rid").agg(F.min("id").alias("id")).join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     kept = named.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("k")).select("k.id", "k.rid")
     stays = cut(copies.join(kept.withColumn("kept", F.lit(True)), ["rid", "id"], "left").select("rid", "id", "n", F.coalesce("kept", F.lit(False)).alias("kept")))
