@@ -5,7 +5,7 @@ A value of the wrong type is null (or 0 for counters), as an absent one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -59,3 +59,8 @@ def iso_string(ts: Column) -> Column:
 def leading_int(s: Column) -> Column:
     """The integer at the start of a text, 0 if there is none."""
     return F.coalesce(F.nullif(F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long"), F.lit(0))
+
+
+def members(df: DataFrame, column: str) -> DataFrame:
+    """df with a row for each member of an object, as key and value (a variant)."""
+    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer()))

@@ -60,13 +60,85 @@ def repo_name(root: Column) -> Column:
 
 
 def repo_size(files: DataFrame, keys: list[str]) -> DataFrame:
-    """files: length, content. File count and lines; null lines over FILE_CAP files; large and binary files have no lines."""
+    """files: length, content. File count and lines; null lines over FILE_CAP files; large and binary files have no lines.
+
+    Line ends are counted on bytes, so that a file in any encoding has its lines.
+    """
     text = (F.col("length") <= FILE_BYTES) & ~F.contains(F.col("content"), F.lit(b"\x00"))
-    lines = F.when(text, F.size(F.split(F.decode("content", "UTF-8"), "\n")))
+    lines = F.when(text, F.size(F.split(F.decode("content", "ISO-8859-1"), "\n")))
     out = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum(lines), F.lit(0)).alias("loc"))
     return out.select(*keys, F.when(F.col("file_count") <= FILE_CAP, F.col("loc")).alias("total_loc"), "file_count")
 
 
+def last_branch(branch: Column, order: Column) -> Column:
+    """Aggregate or window function: the branch of the last row; an empty one is null."""
+    return F.max_by(F.nullif(branch, F.lit("")), order)
+
+
+def repo_of_cwd(cwds: DataFrame, roots: DataFrame) -> DataFrame:
+    """cwd and repo_root: the deepest of the known roots that holds the folder, null if none does.
+
+    Every folder is exploded to its parents, which are as many as it has parts, and joined to the roots by equality.
+    """
+    path = F.regexp_replace("cwd", r"(?<=.)/+$", "")
+    parts = F.split(path, "/")
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.when(n == 1, F.coalesce(F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.lit("/"))).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")).alias("repo_root")))
+    each = cwds.where("cwd is not null and cwd <> ''").select("cwd").distinct().select("cwd", F.explode(parents).alias("p")).select("cwd", "p.depth", "p.repo_root")
+    known = roots.select(F.regexp_replace("repo_root", r"(?<=.)/+$", "").alias("repo_root")).distinct()
+    return each.join(known.withColumn("hit", F.lit(True)), "repo_root", "left").groupBy("cwd").agg(F.max_by(F.when(F.col("hit"), F.col("repo_root")), F.when(F.col("hit"), F.col("depth"))).alias("repo_root"))
+
+
+def reachable(commits: DataFrame, refs: DataFrame) -> DataFrame:
+    """repo_root, ref and sha of every commit that is the ref's own or an ancestor of it; unknown commits have no ancestors.
+
+    commits: repo_root, sha, parents (array); refs: repo_root, ref, sha. A repository's graph is walked in one task.
+    """
+
+    def walk(graph, tips):
+        import pandas as pd
+
+        parents = dict(zip(graph["sha"], graph["parents"]))
+        rows = []
+        for repo, ref, sha in zip(tips["tip_root"], tips["tip_ref"], tips["tip"]):
+            seen, todo = set(), [sha] if sha in parents else []
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo.extend(p for p in (() if parents.get(x) is None else parents[x]) if p is not None and p in parents and p not in seen)
+            rows += [(repo, ref, x) for x in seen]
+        return pd.DataFrame(rows, columns=["repo_root", "ref", "sha"])
+
+    graph = commits.select("repo_root", "sha", "parents").groupBy("repo_root")
+    tips = refs.select(F.col("repo_root").alias("tip_root"), F.col("ref").alias("tip_ref"), F.col("sha").alias("tip")).groupBy("tip_root")
+    return graph.cogroup(tips).applyInPandas(walk, "repo_root string, ref string, sha string")
+
+
+def gather_facts(repos: DataFrame, recent: DataFrame, containing: DataFrame, tips: DataFrame, cherries: DataFrame, ancestors: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The tables of `fates` from the texts that the version control prints.
+
+    repos: repo_root, head (what origin's head points to, or null), heads (array of local heads), current (the branch checked out);
+    recent: repo_root, value (lines sha \\x1f date); containing: repo_root, sha, value (a branch on each line); tips: repo_root, branch, value
+    (a date, null if unknown); cherries: repo_root, branch, value (lines `- sha`); ancestors: repo_root, sha and `code`, the exit
+    code of the test against the default branch. Repositories without a default branch have no fates.
+    """
+    names = (F.regexp_replace("head", "^origin/", ""), F.lit("main"), F.lit("master"), F.col("current"))
+    ladder = F.array(*(F.struct(F.lit(rank).alias("rank"), name.cast("string").alias("branch")) for rank, name in enumerate(names)))
+    candidates = repos.select("repo_root", F.explode(ladder).alias("c")).select("repo_root", "c.rank", "c.branch").where("branch is not null and branch <> ''")
+    chosen = default_branch(candidates, repos.select("repo_root", F.explode("heads").alias("branch")), ["repo_root"])
+    held = repos.select("repo_root").join(chosen, "repo_root").withColumn("now", now)
+    line = containing.select("repo_root", "sha", F.posexplode(F.split("value", "\n")).alias("pos", "branch"))
+    other = cherries.join(chosen, "repo_root").where((F.col("branch") != F.col("default_branch")) & (F.col("branch") != F.concat(F.lit("origin/"), "default_branch")))
+    return {
+        "repos": held,
+        "shas": parse_recent(recent, ["repo_root"], now).select("repo_root", "sha").distinct(),
+        "ancestors": ancestors.where("code = 0").select("repo_root", "sha"),
+        "cherries": patch_equivalents(other, ["repo_root"]),
+        "contains": real_branches(line),
+        "tips": tips.select("repo_root", "branch", iso_timestamp(F.trim("value")).alias("tip")),
+    }
+
+
 def attribute(events: DataFrame, cwd_repo: DataFrame, commits: DataFrame, deny: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Usage events of attributed surfaces to the first commit at or after them, in their working directory's repository.
 
@@ -76,7 +148,7 @@ def attribute(events: DataFrame, cwd_repo: DataFrame, commits: DataFrame, deny:
     e = events.where(F.col("surface").isin(*ATTRIBUTED_SURFACES)).select("external_id", "occurred_at", "source_rank", "file_path", "line_no", F.col("metadata.cwd").alias("cwd"), F.col("metadata.git_branch").alias("git_branch")).where("cwd is not null and cwd <> ''")
     e = allowed(e.join(cwd_repo.where("repo_root is not null"), "cwd").withColumn("repo_name", repo_name(F.col("repo_root"))), deny)
     order = F.struct("source_rank", "file_path", "line_no")
-    e = e.withColumn("branch", F.max_by(F.nullif("git_branch", F.lit("")), order).over(Window.partitionBy("repo_root", "external_id")))
+    e = e.withColumn("branch", last_branch(F.col("git_branch"), order).over(Window.partitionBy("repo_root", "external_id")))
     hit = asof_forward(e.select("repo_root", "repo_name", "external_id", "occurred_at", "branch"), commits, ["repo_root"], "occurred_at", "committed_at", "ord", bucket_seconds=bucket_seconds)
     return hit.select("external_id", "repo_name", F.col("commit.sha").alias("commit_sha"), F.col("commit.committed_at").alias("committed_at"), "branch", F.col("commit.lines_added").alias("lines_added"), F.col("commit.lines_deleted").alias("lines_deleted"), F.col("commit.files_changed").alias("files_changed"))
 

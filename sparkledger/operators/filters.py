@@ -51,10 +51,15 @@ def watermark(surface: Column, own: Column, legacy: Column) -> Column:
 
 
 def unseen(incoming: DataFrame, sink: DataFrame, ident: str, order: list[str]) -> DataFrame:
-    """The first row of each id that the sink does not have."""
+    """The first row of each id that the sink does not have.
+
+    The sink's ids are met with the incoming ones, which AQE broadcasts while they are few, so that a sync of a
+    few new rows scans one column of the sink and shuffles none of it.
+    """
     from .usage import first_of
 
-    return first_of(incoming, [ident], order).join(sink.select(ident).distinct(), ident, "left_anti")
+    seen = sink.select(ident).join(incoming.select(ident), ident, "left_semi").distinct()
+    return first_of(incoming, [ident], order).join(seen, ident, "left_anti")
 
 
 def allowed(df: DataFrame, deny: DataFrame, name: str = "repo_name") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -46,9 +48,24 @@ def suffix_duplicates(df: DataFrame, ident: str, order: list[str]) -> DataFrame:
     return df.withColumn("_n", n).withColumn(ident, F.when(F.col("_n") > 1, F.concat(F.col(ident), F.lit(":"), F.col("_n"))).otherwise(F.col(ident))).drop("_n")
 
 
-def batches(df: DataFrame, size: int, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds batch_id: rows of each key in order, `size` to a batch."""
-    return df.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size).cast("long"))
+def batches(df: DataFrame, size: int, keys: list[str], order: list[str], runs: list[str] | None = None) -> DataFrame:
+    """Adds batch_id: rows of each key in order, `size` to a batch.
+
+    runs: leading columns of the order (or columns that grow with it), by which a key's rows are cut into runs. Rows are
+    then numbered within a run, after the rows of the earlier runs, which are counted with map-side combining, so that a key
+    with a third of all rows is many tasks.
+    """
+    if not runs:
+        n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("batch_id", F.floor((n - 1) / size).cast("long"))
+    part = [*keys, *runs]
+    earlier = Window.partitionBy(*keys).orderBy(*runs).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.select(*[F.col(c).alias(f"__{c}") for c in part], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in part))
+    n = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    out = df.withColumn("__n", n).join(counts, same).withColumn("batch_id", F.floor((F.col("__before") + F.col("__n") - 1) / size).cast("long"))
+    return out.select(*df.columns, "batch_id")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,10 +7,10 @@ watermark and is sent again; the sink drops ids it has.
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -48,66 +48,100 @@ def since_for(state: dict, surface: str):
     return iso_timestamp(F.lit(text)) if text else None
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file in any file system Spark knows; None if there is none."""
+    if not existing(spark, [path]):
+        return None
+    row = spark.read.text(path, wholetext=True).first()
+    return row.value if row else ""
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file in any file system Spark knows: written aside, then renamed."""
+    jvm = spark.sparkContext._jvm
+    at, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(aside, at)
+
+
 class Ledger:
-    """A folder with the stored relations and the state file."""
+    """A folder, in any file system Spark knows, with the stored relations, their wire forms and the state file."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        #: By surface, rows of the last sync that the sink had already (or that repeat an id).
+        self.skipped: dict[str, int] = {}
 
     def state(self) -> dict:
-        path = Path(self.folder, "state.json")
-        return parse_state(path.read_text() if path.exists() else None)
+        return parse_state(read_text(self.spark, f"{self.folder}/state.json"))
 
     def save_state(self, state: dict) -> None:
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-        Path(self.folder, "state.json").write_text(json.dumps(state, indent=2))
+        write_text(self.spark, f"{self.folder}/state.json", json.dumps(state, indent=2))
 
-    def deny(self) -> DataFrame:
-        path = Path(self.folder, "config.json")
+    def denied(self) -> list[str]:
         try:
-            names = json.loads(path.read_text()).get("denyRepos", [])
-        except (OSError, ValueError, AttributeError):
+            names = json.loads(read_text(self.spark, f"{self.folder}/config.json") or "{}").get("denyRepos", [])
+        except (ValueError, AttributeError):
             names = []
-        return self.spark.createDataFrame([(n,) for n in names if isinstance(n, str)], "repo_name string")
+        return [n for n in names if isinstance(n, str)]
+
+    def deny(self) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in self.denied()], "repo_name string")
 
     def exclude(self, repo: str) -> None:
-        names = sorted({r.repo_name for r in self.deny().collect()} | {repo})
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-        Path(self.folder, "config.json").write_text(json.dumps({"denyRepos": names}))
+        write_text(self.spark, f"{self.folder}/config.json", json.dumps({"denyRepos": sorted({*self.denied(), repo})}))
 
     def events(self) -> DataFrame:
         return stored(self.spark, f"{self.folder}/events", schemas.USAGE_EVENT + ", batch_id long")
 
-    def sync(self, full: bool = False, bases: dict[str, list[str]] | None = None, now: datetime | None = None) -> dict[str, int]:
-        """Stores the new events of every surface; returns their number by surface."""
+    def sync(self, full: bool = False, bases: dict[str, list[str]] | None = None, now: datetime | None = None, account: DataFrame | None = None) -> dict[str, int]:
+        """Stores the new events of every surface and the envelopes that carry them; returns their number by surface."""
         now = now or datetime.now(timezone.utc)
         state, out = self.state(), {}
+        account = self.spark.createDataFrame([], schemas.ACCOUNT) if account is None else account
         for surface, scan in SCANNERS.items():
             since = None if full else since_for(state, surface)
             rows = scan(self.spark, None if bases is None else bases.get(surface, []), since)
-            rows = rows.where(sane(F.col("external_id"), F.col("occurred_at"), F.lit(now)))
+            read = Observation(f"read-{surface}-{uuid.uuid4().hex}")
+            rows = rows.where(sane(F.col("external_id"), F.col("occurred_at"), F.lit(now))).observe(read, F.count(F.lit(1)).alias("n"))
+            found, staged = f"{self.folder}/found/{surface}", f"{self.folder}/staged/{surface}"
+            rows.write.mode("overwrite").parquet(found)
             order = ["source_rank", "file_path", "line_no"]
-            new = batches(unseen(rows, self.events(), "external_id", order), EVENT_BATCH, ["surface"], order)
-            staged = f"{self.folder}/staged/{surface}"
+            new = batches(unseen(self.spark.read.parquet(found), self.events(), "external_id", order), EVENT_BATCH, ["surface"], order, ["source_rank", "file_path"])
             new.write.mode("overwrite").parquet(staged)
             new = self.spark.read.parquet(staged)
             out[surface] = new.count()
+            self.skipped[surface] = read.get["n"] - out[surface]
+            wire_events(new, account if surface == "claude-code" else account.limit(0)).write.mode("append").parquet(f"{self.folder}/wire/events")
             new.write.mode("append").parquet(f"{self.folder}/events")
             state["surfaces"][surface] = now.astimezone(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
             self.save_state(state)
         return out
 
-    def attribute(self, events: DataFrame, cwd_repo: DataFrame, repo_commits: DataFrame) -> DataFrame:
-        """Stores and returns the attributions, in batches."""
+    def attribute(self, events: DataFrame, cwd_repo: DataFrame, repo_commits: DataFrame, files: DataFrame | None = None) -> DataFrame:
+        """Stores and returns the attributions, in batches, and their envelopes; files: repo_root, length, content of the tracked files."""
         rows = C.attribute(events, cwd_repo, repo_commits, self.deny())
-        batches(rows, ATTRIBUTION_BATCH, ["repo_name"], ["external_id", "commit_sha"]).write.mode("overwrite").parquet(f"{self.folder}/attributions")
-        return self.spark.read.parquet(f"{self.folder}/attributions")
+        at = f"{self.folder}/attributions"
+        batches(rows.withColumn("surface", F.lit("all")), ATTRIBUTION_BATCH, ["surface"], ["repo_name", "external_id", "commit_sha"], ["repo_name"]).drop("surface").write.mode("overwrite").parquet(at)
+        rows = self.spark.read.parquet(at)
+        met = C.allowed(cwd_repo.where("repo_root is not null").select("repo_root").distinct().withColumn("repo_name", C.repo_name(F.col("repo_root"))), self.deny())
+        sizes = met.join(C.repo_size(files, ["repo_root"]), "repo_root", "left") if files is not None else met.withColumns({"total_loc": F.lit(None).cast("long"), "file_count": F.lit(0).cast("long")})
+        sizes = sizes.select("repo_name", "total_loc", F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"))
+        sizes.write.mode("overwrite").parquet(f"{self.folder}/repo_sizes")
+        wire_attributions(rows, self.spark.read.parquet(f"{self.folder}/repo_sizes")).write.mode("overwrite").parquet(f"{self.folder}/wire/attributions")
+        return rows
 
     def classify(self, facts: dict[str, DataFrame]) -> DataFrame:
-        """Stores and returns the fates; facts: the tables of `operators.commits.fates` by name."""
-        rows = C.fates(**facts).withColumn("repo_name", C.repo_name(F.col("repo_root")))
-        batches(rows, FATE_BATCH, ["repo_name"], ["sha"]).write.mode("overwrite").parquet(f"{self.folder}/fates")
-        return self.spark.read.parquet(f"{self.folder}/fates")
+        """Stores and returns the fates, in batches, and their envelopes; facts: the tables of `operators.commits.fates` by name."""
+        rows = C.fates(**facts).withColumn("repo_name", C.repo_name(F.col("repo_root"))).withColumn("surface", F.lit("all"))
+        at = f"{self.folder}/fates"
+        batches(rows, FATE_BATCH, ["surface"], ["repo_root", "sha"], ["repo_root"]).drop("surface").write.mode("overwrite").parquet(at)
+        wire_fates(self.spark.read.parquet(at)).write.mode("overwrite").parquet(f"{self.folder}/wire/fates")
+        return self.spark.read.parquet(at)
 
 
 def wire_events(events: DataFrame, account: DataFrame) -> DataFrame:
@@ -120,6 +154,26 @@ def wire_events(events: DataFrame, account: DataFrame) -> DataFrame:
     return groups.join(F.broadcast(acct), F.lit(True), "left").select("surface", "batch_id", F.size("rows").alias("n_events"), body.alias("body"))
 
 
+def wire_attributions(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One envelope for each batch of attributions: batch_id, n_rows and the JSON of all repositories and the batch.
+
+    The repositories, few beside the events, stand in every envelope; a batch has ATTRIBUTION_BATCH rows at most.
+    """
+    one = F.struct(F.col("external_id").alias("externalId"), F.col("repo_name").alias("repoName"), F.col("commit_sha").alias("commitSha"), iso_string(F.col("committed_at")).alias("committedAt"), "branch", F.col("lines_added").alias("linesAdded"), F.col("lines_deleted").alias("linesDeleted"), F.col("files_changed").alias("filesChanged"))
+    repo = F.struct(F.col("repo_name").alias("name"), F.col("total_loc").alias("totalLoc"), F.col("file_count").alias("fileCount"))
+    repos = sizes.agg(F.array_sort(F.collect_list(repo)).alias("repos"))
+    groups = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_list(one)).alias("attributions"))
+    return groups.join(F.broadcast(repos), F.lit(True)).select("batch_id", "n_rows", F.to_json(F.struct("repos", "attributions"), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def wire_fates(rows: DataFrame) -> DataFrame:
+    """One envelope for each batch of fates: batch_id, n_rows and its JSON, with no repositories or attributions."""
+    one = F.struct(F.col("repo_name").alias("repoName"), F.col("sha").alias("commitSha"), "branch", "fate")
+    groups = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_list(one)).alias("fates"))
+    none = F.array().cast("array<string>")
+    return groups.select("batch_id", "n_rows", F.to_json(F.struct(none.alias("repos"), none.alias("attributions"), "fates"), {"ignoreNullFields": "false"}).alias("body"))
+
+
 def rollup(events: DataFrame, by: list[str]) -> DataFrame:
     """Extension: token totals; the neutral cache-write bucket replaces the two timed ones where it is set."""
     total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.coalesce("cache_write_tokens", F.col("cache_creation_5m_tokens") + F.col("cache_creation_1h_tokens"))

@@ -11,12 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.variant import iso_string, number_or_zero, parse_line, string_or_null
+from .functions.variant import iso_string, members, number_or_zero, parse_line, string_or_null
 from .operators import commits as C
 from .operators import usage as U
 from .operators.asof import asof_forward
 from .operators.filters import allowed, newer, sane, unseen, watermark
-from .sources.lines import key_values
+from .plans.sync import rollup
+from .sources import surfaces as S
+from .sources.lines import json_lines, key_values
+from .sources.surfaces import union_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,7 +93,7 @@ def commit_token_rollup(spark, sf_dir):
 FROM events GROUP BY user_id, event_type""")
 def branch_last_wins(spark, sf_dir):
     b = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("b"), (F.col("event_id") % 3).cast("string"))).otherwise("")
-    return _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by(F.nullif(b, F.lit("")), "event_id").alias("branch"))
+    return _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(C.last_branch(b, F.col("event_id")).alias("branch"))
 
 
 @query("""SELECT e.event_id, 'repo' || (c.c_nationkey) AS repo_name FROM events e JOIN customer c ON e.user_id = c.c_custkey
@@ -168,10 +171,13 @@ def incremental_since(spark, sf_dir):
     return e.join(F.broadcast(m), F.lit(True)).where(newer(F.col("at"), F.col("since")) & sane(F.col("event_id").cast("string"), F.col("at"), F.col("now"))).select("event_id")
 
 
-@query("""SELECT surface, since FROM (VALUES ('claude-code', '2024-02-01T00:00:00.000Z'), ('copilot-cli', NULL), ('codex', '2024-01-01T00:00:00.000Z'), ('later', NULL)) t(surface, since)""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 5 IN (2, 3) THEN CASE WHEN c_custkey % 4 < 3 THEN '2024-01-01T00:00:00.000Z' END
+ELSE strftime(TIMESTAMP '2024-02-01' + to_days(CAST(c_custkey % 300 AS INTEGER)), '%Y-%m-%dT%H:%M:%S.000Z') END AS since FROM customer""")
 def watermark_since(spark, sf_dir):
-    rows = spark.createDataFrame([("claude-code", "2024-02-01T00:00:00Z"), ("copilot-cli", "no date"), ("codex", ""), ("later", None)], "surface string, own string")
-    return rows.select("surface", iso_string(watermark(F.col("surface"), F.col("own"), F.lit("2024-01-01T00:00:00Z"))).alias("since"))
+    k = F.col("c_custkey")
+    surface = F.element_at(F.array(*map(F.lit, ("claude-code", "copilot-cli", "codex", "later"))), (k % 4 + 1).cast("int"))
+    own = F.when(k % 5 == 1, "no date").when(k % 5 == 2, "").when(k % 5 != 3, F.concat(F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    return _t(spark, sf_dir, "customer").select("c_custkey", iso_string(watermark(surface, own, F.lit("2024-01-01T00:00:00Z"))).alias("since"))
 
 
 @query("""WITH i AS (SELECT event_id, ts, user_id || ':' || event_type || ':' || strftime(ts, '%H') AS id FROM events),
@@ -185,7 +191,7 @@ def idempotent_ingest(spark, sf_dir):
 @query("""SELECT event_type AS surface, CAST(floor((n - 1) / 250) AS BIGINT) AS batch_id, count(*) AS n_events, min(event_id) AS first_id
 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) GROUP BY ALL""")
 def batching(spark, sf_dir):
-    rows = U.batches(_t(spark, sf_dir, "events"), 250, ["event_type"], ["ts", "event_id"])
+    rows = U.batches(_t(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), 250, ["event_type"], ["ts", "event_id"], ["day"])
     return rows.groupBy(F.col("event_type").alias("surface"), "batch_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_id"))
 
 
@@ -203,8 +209,7 @@ def segments_by_model(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
     maps = rows.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "n")))).alias("line"))
     v = maps.select("l_orderkey", parse_line(F.col("line")).alias("v"))
-    out = v.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    return out.select(F.col("l_orderkey").alias("segment"), F.col("key").alias("model"), F.variant_get("value", "$", "long").alias("tokens"))
+    return members(v, "v").select(F.col("l_orderkey").alias("segment"), F.col("key").alias("model"), F.variant_get("value", "$", "long").alias("tokens"))
 
 
 @query("""SELECT c_custkey AS id, c_name AS name, c_mktsegment AS branch FROM customer""")
@@ -265,12 +270,13 @@ def default_branch_ladder(spark, sf_dir):
     return C.default_branch(o.select("repo_root").distinct().join(F.broadcast(ladder), F.lit(True)), o, ["repo_root"])
 
 
-@query("""WITH f AS (SELECT source AS repo, text, length(text) > 0 AS ok FROM documents)
-SELECT repo, CASE WHEN count(*) <= 49 THEN CAST(coalesce(sum(len(string_split(text, chr(10)))), 0) AS BIGINT) END AS total_loc, count(*) AS file_count FROM f GROUP BY repo""")
+@query("""WITH f AS (SELECT source AS repo, encode(text) AS content FROM documents UNION ALL SELECT 'lineitem', encode(l_returnflag || chr(10) || l_linestatus) FROM lineitem)
+SELECT repo, CASE WHEN count(*) <= 5000 THEN CAST(coalesce(sum(CASE WHEN octet_length(content) <= 1048576 THEN len(string_split(decode(content), chr(10))) END), 0) AS BIGINT) END AS total_loc, count(*) AS file_count
+FROM f GROUP BY repo""")
 def loc_guard(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    lines = d.groupBy(F.col("source").alias("repo")).agg(F.coalesce(F.sum(F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("loc"), F.count(F.lit(1)).alias("file_count"))
-    return lines.select("repo", F.when(F.col("file_count") <= 49, F.col("loc")).alias("total_loc"), "file_count")
+    files = _t(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("text").cast("binary").alias("content"))
+    files = files.union(_t(spark, sf_dir, "lineitem").select(F.lit("lineitem"), F.concat("l_returnflag", F.lit("\n"), "l_linestatus").cast("binary")))
+    return C.repo_size(files.withColumn("length", F.octet_length("content")), ["repo"])
 
 
 @query("""SELECT surface, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM (
@@ -278,8 +284,7 @@ SELECT 'a' AS surface, user_id FROM events WHERE event_type = 'view' UNION ALL S
 def union_surfaces(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     parts = [e.where("event_type = 'view'").select(F.lit("a").alias("surface"), "user_id"), e.where("event_type = 'click'").select(F.lit("b").alias("surface"), "user_id"), _t(spark, sf_dir, "orders").select(F.lit("c").alias("surface"), F.col("o_custkey").alias("user_id"))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.groupBy("surface").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_users"))
+    return union_all(parts).groupBy("surface").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_users"))
 
 
 @query("""SELECT DISTINCT branch FROM (SELECT o_orderpriority AS branch FROM orders UNION SELECT l_linestatus FROM lineitem UNION SELECT '(HEAD detached)' UNION SELECT 'origin') WHERE branch NOT LIKE '(%' AND branch <> 'origin'""")
@@ -301,6 +306,122 @@ def x_daily_tokens(spark, sf_dir):
     return _events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n_events"), F.sum("cents").alias("tokens"))
 
 
-@query(f"""SELECT strftime(ts, '%Y-%m') AS month, event_type AS model, count(*) AS n_events, CAST(sum({CENTS}) AS BIGINT) AS tokens FROM events GROUP BY ROLLUP (strftime(ts, '%Y-%m'), event_type)""")
+@query(f"""SELECT strftime(ts, '%Y-%m') AS month, event_type AS model, count(*) AS events,
+CAST(sum({CENTS} + event_id % 50 + event_id % 7 + CASE WHEN event_id % 2 = 0 THEN event_id % 11 ELSE event_id % 5 + event_id % 3 END) AS BIGINT) AS tokens FROM events GROUP BY ROLLUP (strftime(ts, '%Y-%m'), event_type)""")
 def x_rollup(spark, sf_dir):
-    return _events(spark, sf_dir).rollup(F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n_events"), F.sum("cents").alias("tokens"))
+    i = F.col("event_id")
+    rows = _events(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("model"), F.col("cents").alias("input_tokens"), (i % 50).alias("output_tokens"), (i % 7).alias("cache_read_tokens"), F.when(i % 2 == 0, i % 11).alias("cache_write_tokens"), (i % 5).alias("cache_creation_5m_tokens"), (i % 3).alias("cache_creation_1h_tokens"))
+    return rollup(rows, ["month", "model"])
+
+
+def _logs(rows: DataFrame, line, folder: str = "/logs/u", file: str = "/log.jsonl") -> DataFrame:
+    """One log file for each user, of the lines in order, as the line reader gives it."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))), lambda x: x["line"]), "\n")
+    files = rows.groupBy("user_id").agg(text.alias("value"))
+    path = F.concat(F.lit(folder), F.col("user_id").cast("string"), F.lit(file))
+    return json_lines(files.select("value", path.alias("file_path"), F.lit(None).cast("timestamp").alias("modified"), F.lit(0).alias("source_rank")))
+
+
+def _iso(c: str):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def _mod(n: int):
+    return F.col("event_id") % n
+
+
+AT_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+@query(f"""SELECT 'r' || event_id AS external_id, 'm' || event_id % 3 AS model, {CENTS} AS input_tokens, event_id % 100 AS output_tokens, CASE WHEN event_id % 4 = 1 THEN 0 ELSE event_id % 9 END AS cache_creation_tokens,
+CASE WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 0 END AS cache_creation_5m_tokens, 's' || user_id AS session_id, {AT_SQL} AS occurred_at
+FROM events WHERE event_type = 'click' AND event_id % 10 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 29 <> 28""")
+def scan_first_surface(spark, sf_dir):
+    """Counters of a wrong type are 0; lines of another type, without usage, with a bad time or with text after the object drop."""
+    cached = F.when(_mod(2) == 0, F.format_string(', "cache_creation": {"ephemeral_5m_input_tokens": %d}', _mod(7))).otherwise("")
+    creation = F.when(_mod(4) == 1, F.format_string('"%d"', _mod(9))).otherwise(_mod(9).cast("string"))
+    usage = F.format_string('{"input_tokens": %d, "output_tokens": %d, "cache_creation_input_tokens": %s%s}', "cents", _mod(100), creation, cached)
+    line = F.format_string(
+        '{"type": "%s", "requestId": "r%d", "sessionId": "s%d", "timestamp": "%s", "message": {"model": "%s", "usage": %s}}%s',
+        F.when(F.col("event_type") == "click", "assistant").otherwise("user"), "event_id", "user_id", F.when(_mod(17) == 0, "never").otherwise(_iso("ts")),
+        F.when(_mod(10) == 0, "<synthetic>").otherwise(F.format_string("m%d", _mod(3))), F.when(_mod(13) == 0, "5").otherwise(usage), F.when(_mod(29) == 28, " x").otherwise(""),
+    )
+    out = S.claude_code_events(_logs(_events(spark, sf_dir), line))
+    return out.select("external_id", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_creation_5m_tokens", F.col("metadata.session_id").alias("session_id"), iso_string(F.col("occurred_at")).alias("occurred_at"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, {CENTS} AS cents, CASE WHEN event_id % 3 = 0 THEN '2024-01-01T00:00:00.000Z' ELSE {AT_SQL} END AS happened FROM events WHERE event_type = 'purchase' AND user_id % 6 <> 0),
+m AS (SELECT *, 'a' AS model, cents AS input_tokens FROM e UNION ALL SELECT *, 'b', event_id % 8 FROM e WHERE event_id % 4 <> 0),
+n AS (SELECT *, 's' || user_id || ':' || model || ':' || happened AS id FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS n FROM n)
+SELECT CASE WHEN n > 1 THEN id || ':' || n ELSE id END AS external_id, model, input_tokens, event_id % 5 AS cache_write_tokens FROM r""")
+def scan_second_surface(spark, sf_dir):
+    """A row for each model of a shutdown line; lines without a time take the folder's, folders without a workspace file drop."""
+    rows = _events(spark, sf_dir)
+    use = F.format_string('"a": {"usage": {"inputTokens": %d, "cacheWriteTokens": %d}}, "b": {"usage": %s}', "cents", _mod(5), F.when(_mod(4) == 0, "3").otherwise(F.format_string('{"inputTokens": %d, "cacheWriteTokens": %d}', _mod(8), _mod(5))))
+    time = F.when(_mod(3) == 0, "").otherwise(F.format_string('"timestamp": "%s", ', _iso("ts")))
+    line = F.format_string('{"type": "%s", %s"data": {"modelMetrics": {%s}}}', F.when(F.col("event_type") == "purchase", "session.shutdown").otherwise(F.col("event_type")), time, use)
+    user = F.col("user_id").cast("string")
+    spaces = rows.where("user_id % 6 <> 0").select("user_id").distinct().select(F.concat(F.lit("/logs/u"), user, F.lit("/workspace.yaml")).alias("file_path"), F.concat(F.lit("id: s"), user, F.lit("\ncreated_at: 2024-01-01T00:00:00Z\n")).alias("value"))
+    return S.copilot_cli_events(_logs(rows, line), key_values(spaces)).select("external_id", "model", "input_tokens", "cache_write_tokens")
+
+
+@query(f"""WITH f AS (SELECT *, {CENTS} AS cents, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER s AS meta,
+last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER s AS turn FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) END AS total, CASE WHEN event_id % 7 NOT IN (1, 2) THEN cents END AS own FROM f WHERE event_type = 'click'),
+s AS (SELECT *, last_value(total IGNORE NULLS) OVER p AS prev, coalesce(last_value(CASE WHEN total IS NOT NULL THEN TRUE WHEN own IS NOT NULL THEN FALSE END IGNORE NULLS) OVER p, TRUE) AS usable
+FROM c WHERE meta IS NOT NULL WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, coalesce(own, CASE WHEN total IS NOT NULL AND usable THEN greatest(0, total - coalesce(prev, 0)) END) AS use, 's' || meta || ':t' || turn || ':' || {AT_SQL} AS id FROM s WHERE turn % 4 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS n FROM u WHERE use IS NOT NULL)
+SELECT CASE WHEN n > 1 THEN id || ':' || n ELSE id END AS external_id, 'm' || turn % 4 AS model, '/w' || meta % 3 AS cwd, CAST(use AS BIGINT) AS input_tokens FROM n""")
+def scan_third_surface(spark, sf_dir):
+    """Session state over a file: the session and turn in force, and the growth of the totals where a count has no usage of its own."""
+    kind = F.col("event_type")
+    run = F.sum(F.when(kind == "click", F.col("cents"))).over(U.up_to(["user_id"], ["ts", "event_id"]))
+    rows = _events(spark, sf_dir).withColumn("run", run)
+    meta = F.format_string('{"type": "session_meta", "payload": {"id": "s%d", "cwd": "/w%d"}}', "event_id", _mod(3))
+    turn = F.format_string('{"type": "turn_context", "payload": {"turn_id": "t%d"%s}}', "event_id", F.when(_mod(4) == 0, "").otherwise(F.format_string(', "model": "m%d"', _mod(4))))
+    part = lambda name, value, absent: F.when(absent, "").otherwise(F.format_string(f', "{name}": {{"input_tokens": %d}}', value))
+    count = F.format_string('{"type": "event_msg", "timestamp": "%s", "payload": {"type": "token_count", "info": {"x": 1%s%s}}}', _iso("ts"), part("total_token_usage", F.col("run"), _mod(7) == 0), part("last_token_usage", F.col("cents"), _mod(7).isin(1, 2)))
+    line = F.when(kind == "signup", meta).when(kind == "view", turn).when(kind == "click", count).otherwise("noise")
+    out = S.codex_events(_logs(rows, line))
+    return out.select("external_id", "model", F.col("metadata.cwd").alias("cwd"), "input_tokens")
+
+
+@query("""WITH e AS (SELECT *, user_id % 5 AS repo FROM events), c AS (SELECT repo, ts, min(event_id) AS event_id FROM e WHERE event_type = 'purchase' AND repo <> 4 GROUP BY repo, ts)
+SELECT 'x' || e.event_id AS external_id, 'r' || e.repo AS repo_name, 'c' || c.event_id AS commit_sha, CASE WHEN e.event_id % 3 <> 0 THEN 'b' || e.event_id % 3 END AS branch
+FROM e ASOF JOIN c ON e.repo = c.repo AND e.ts <= c.ts WHERE e.event_type <> 'purchase' AND e.event_id % 11 <> 0 AND e.repo <> 0""")
+def attributed_events(spark, sf_dir):
+    """Working folders to repositories, surfaces, deny list, branch and as-of match together."""
+    e = _t(spark, sf_dir, "events").withColumn("repo", (F.col("user_id") % 5).cast("string"))
+    root = F.concat(F.lit("/src/r"), "repo")
+    usage = e.where("event_type <> 'purchase'").select(F.when(_mod(11) == 0, "copilot-cli").otherwise("codex").alias("surface"), F.format_string("x%d", "event_id").alias("external_id"), F.col("ts").alias("occurred_at"), F.lit(0).alias("source_rank"), F.lit("f").alias("file_path"), F.col("event_id").alias("line_no"), F.struct(F.concat(root, F.lit("/lib")).alias("cwd"), F.when(_mod(3) == 0, "").otherwise(F.format_string("b%d", _mod(3))).alias("git_branch")).alias("metadata"))
+    log = e.where("event_type = 'purchase' and repo <> '4'").select(root.alias("repo_root"), F.format_string("c%d", "event_id").alias("sha"), F.col("ts").alias("committed_at"), F.lit(1).alias("lines_added"), F.lit(0).alias("lines_deleted"), F.lit(1).alias("files_changed"), F.col("event_id").alias("ord"))
+    roots = e.select(root.alias("repo_root")).distinct()
+    deny = spark.createDataFrame([("r0",)], "repo_name string")
+    out = C.attribute(usage, C.repo_of_cwd(usage.select("metadata.cwd"), roots), log, deny)
+    return out.select("external_id", "repo_name", "commit_sha", "branch")
+
+
+@query("""SELECT DISTINCT '/src/r' || c_nationkey || '/a/b' || c_custkey % 3 AS cwd, CASE WHEN n_regionkey = 0 THEN '/src/r' || c_nationkey || '/a' WHEN n_regionkey <> 1 THEN '/src/r' || c_nationkey END AS repo_root
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def cwd_longest_root(spark, sf_dir):
+    """The deepest known root above a folder; none for the folders of one region."""
+    nation = _t(spark, sf_dir, "nation")
+    root = F.format_string("/src/r%d", "n_nationkey")
+    roots = nation.where("n_regionkey <> 1").select(root.alias("repo_root")).union(nation.where("n_regionkey = 0").select(F.concat(root, F.lit("/a/"))))
+    return C.repo_of_cwd(_t(spark, sf_dir, "customer").select(F.format_string("/src/r%d/a/b%d", "c_nationkey", F.col("c_custkey") % 3).alias("cwd")), roots)
+
+
+@query("""WITH o AS (SELECT o_custkey % 50 AS repo, o_orderkey AS sha, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey % 50) AS most FROM orders)
+SELECT CAST(repo AS VARCHAR) AS repo_root, CAST(sha AS VARCHAR) AS sha FROM o WHERE n <= most - 2 OR n = most AND n % 2 = 0""")
+def reachable_commits(spark, sf_dir):
+    """A line of commits in each repository, a branch at its end that merges it or not, and a tip two commits before the end."""
+    w = Window.partitionBy("repo_root").orderBy("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("string").alias("repo_root"), "o_orderkey")
+    o = o.select("repo_root", F.col("o_orderkey").cast("string").alias("sha"), F.lag(F.col("o_orderkey").cast("string")).over(w).alias("parent"), F.row_number().over(w).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("repo_root")).alias("most"))
+    side = (F.col("n") == F.col("most")) & (F.col("n") % 2 == 0)
+    parent = F.when(F.col("n") == F.col("most"), F.lit("unknown")).otherwise(F.col("parent"))
+    commits = o.select("repo_root", "sha", F.array(parent).alias("parents"))
+    refs = o.where("n = most - 2").select("repo_root", F.lit("main").alias("ref"), "sha").union(o.where(side).select("repo_root", F.lit("side"), "sha"))
+    return C.reachable(commits, refs).select("repo_root", "sha").distinct()

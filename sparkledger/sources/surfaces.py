@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.variant import at, is_object, iso_string, iso_timestamp, number_or_zero, string_or_null
+from ..functions.variant import at, is_object, iso_string, iso_timestamp, members, number_or_zero, string_or_null
 from ..operators import usage as U
 from ..operators.filters import newer
 from .lines import existing, json_lines, key_values, whole_files
@@ -69,9 +69,13 @@ def _metadata(cwd, branch, session, version, entrypoint, host, plat, client, cli
 
 
 def scan_claude_code(spark: SparkSession, bases: list[str] | None = None, since: Column | None = None) -> DataFrame:
-    """One event for each assistant line with a model, an id and a valid time; `<base>/<project>/<file>.jsonl`."""
+    """The events of `<base>/<project>/<file>.jsonl`."""
+    return claude_code_events(json_lines(whole_files(spark, claude_project_dirs() if bases is None else bases, "/*/*.jsonl"), since), since)
+
+
+def claude_code_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
+    """One event for each assistant line with a model, an id and a valid time."""
     v = F.col("v")
-    rows = json_lines(whole_files(spark, claude_project_dirs() if bases is None else bases, "/*/*.jsonl"), since)
     u = "$.message.usage"
     rows = rows.where((string_or_null(v, "$.type") == "assistant") & is_object(at(v, "$.message")) & is_object(at(v, u)))
     ident, model, time = string_or_null(v, "$.requestId"), string_or_null(v, "$.message.model"), iso_timestamp(string_or_null(v, "$.timestamp"))
@@ -83,17 +87,21 @@ def scan_claude_code(spark: SparkSession, bases: list[str] | None = None, since:
 
 
 def scan_copilot_cli(spark: SparkSession, bases: list[str] | None = None, since: Column | None = None) -> DataFrame:
-    """One event for each model of each shutdown line, in session folders that have a workspace file."""
+    """The events of session folders that have a workspace file."""
     bases = [str(Path.home() / ".copilot" / "session-state")] if bases is None else bases
+    return copilot_cli_events(json_lines(whole_files(spark, bases, "/*/events.jsonl")), key_values(whole_files(spark, bases, "/*/workspace.yaml")), since)
+
+
+def copilot_cli_events(rows: DataFrame, spaces: DataFrame, since: Column | None = None) -> DataFrame:
+    """One event for each model of each shutdown line in a folder that has a workspace file (spaces: file_path, kv)."""
     folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
-    spaces = key_values(whole_files(spark, bases, "/*/workspace.yaml")).select(folder.alias("dir"), "kv")
-    rows = json_lines(whole_files(spark, bases, "/*/events.jsonl")).withColumn("dir", folder).join(spaces, "dir")
+    rows = rows.withColumn("dir", folder).join(spaces.select(folder.alias("dir"), "kv"), "dir")
     v = F.col("v")
     rows = rows.where((string_or_null(v, "$.type") == "session.shutdown") & is_object(at(v, "$.data.modelMetrics")))
     time = F.coalesce(iso_timestamp(string_or_null(v, "$.timestamp")), iso_timestamp(F.col("kv")["created_at"]))
     rows = rows.withColumn("time", time).withColumn("metrics", at(v, "$.data.modelMetrics")).where(F.col("time").isNotNull() & newer(F.col("time"), since))
     rows = rows.withColumn("session", F.coalesce(F.col("kv")["id"], F.element_at(F.split("dir", "/"), -1)))
-    rows = rows.lateralJoin(spark.tvf.variant_explode(F.col("metrics").outer())).withColumnRenamed("key", "model").withColumn("use", at(F.col("value"), "$.usage")).where(is_object(F.col("use")))
+    rows = members(rows, "metrics").withColumnRenamed("key", "model").withColumn("use", at(F.col("value"), "$.usage")).where(is_object(F.col("use")))
     n = lambda name: number_or_zero(F.col("use"), f"$.{name}")
     none = F.lit(None).cast("string")
     meta = _metadata(F.col("kv")["cwd"], F.col("kv")["branch"], F.col("session"), none, none, F.lit(""), F.lit(""), F.lit("copilot-cli"), none)
@@ -122,14 +130,19 @@ def _usage_block(v: Column, path: str) -> Column:
 
 
 def scan_codex(spark: SparkSession, bases: list[str] | None = None, since: Column | None = None) -> DataFrame:
+    """The events of the session files of all homes, or of the given folders."""
+    files = codex_files(spark, codex_homes()) if bases is None else whole_files(spark, bases, recursive=True, name="*.jsonl")
+    return codex_events(json_lines(files, since), since)
+
+
+def codex_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
     """Events of token counts, with the session state rebuilt by windows over each file.
 
     The windows of a file share one shuffle and one sort; `since` drops events only after the state is whole.
     """
-    files = codex_files(spark, codex_homes()) if bases is None else whole_files(spark, bases, recursive=True, name="*.jsonl")
     v = F.col("v")
     text = lambda path: string_or_null(v, path, keep_empty=False)
-    rows = json_lines(files, since).where(is_object(at(v, "$.payload")))
+    rows = rows.where(is_object(at(v, "$.payload")))
     kind = string_or_null(v, "$.type")
     meta, turn = kind == "session_meta", kind == "turn_context"
     count = (kind == "event_msg") & (string_or_null(v, "$.payload.type") == "token_count")
@@ -160,6 +173,14 @@ def scan_codex(spark: SparkSession, bases: list[str] | None = None, since: Colum
     return U.suffix_duplicates(out, "external_id", ["source_rank", "file_path", "line_no"])
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all surfaces."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 #: Surfaces by name; add a scan to extend the engine.
 SCANNERS: dict[str, Callable[..., DataFrame]] = {"claude-code": scan_claude_code, "copilot-cli": scan_copilot_cli, "codex": scan_codex}
 

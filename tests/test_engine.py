@@ -147,6 +147,24 @@ def test_asof_equals_brute_force(spark, events, commits, bucket):
     assert got == want
 
 
+def test_asof_is_linear_in_a_key(spark):
+    import time
+
+    n = 100_000
+    e = spark.range(n).select("id", F.lit(1).alias("k"), (F.col("id") * 7 % n).alias("t"))
+    c = spark.range(0, n, 10).select(F.col("id").alias("o"), F.lit(1).alias("k"), F.col("id").alias("t"))
+    start = time.perf_counter()
+    got = asof_forward(e, c, ["k"], "t", "t", "o").agg(F.count("*"), F.sum(F.col("commit.t") - F.col("t"))).first()
+    assert tuple(got) == (n - 9, 45 * n // 10 - 45) and time.perf_counter() - start < 60
+
+
+def test_asof_of_any_names_and_order_types(spark):
+    e = spark.createDataFrame([("x", 1, "e1"), (None, 1, "e2"), ("x", 3, "e3")], "k string, t int, o string")
+    c = spark.createDataFrame([("x", 2, "b"), ("x", 2, "a"), (None, 1, "z")], "k string, t int, o string")
+    got = {r.o: r.commit and r.commit.o for r in asof_forward(e, c, ["k"], "t", "t", "o", keep_unmatched=True).collect()}
+    assert got == {"e1": "a", "e2": "z", "e3": None}
+
+
 def test_commit_log(spark):
     text = "\x1eaaa\x1f2024-05-01T10:00:00+02:00\n\n3\t1\tf\n-\t-\tbin\n12x\t\tg\n\x1ebbb\x1fno date\n1\t1\tf\n\x1eccc\x1f2024-05-02T00:00:00Z\n"
     got = [(r.sha, r.lines_added, r.lines_deleted, r.files_changed) for r in C.parse_commit_log(spark.createDataFrame([("r", text)], "repo string, value string"), ["repo"]).orderBy("ord").collect()]
@@ -161,8 +179,8 @@ def test_recent_branches_and_equivalents(spark):
 
 
 def test_repo_size(spark):
-    files = spark.createDataFrame([("r", 4, bytearray(b"a\nb\n")), ("r", 3, bytearray(b"a\x00b")), ("r", 1 << 21, bytearray(b"big")), ("s", 0, bytearray(b""))], "repo string, length long, content binary")
-    assert sorted(map(tuple, C.repo_size(files, ["repo"]).collect())) == [("r", 3, 3), ("s", 1, 1)]
+    files = spark.createDataFrame([("r", 4, bytearray(b"a\nb\n")), ("r", 3, bytearray(b"a\x00b")), ("r", 1 << 21, bytearray(b"big")), ("s", 0, bytearray(b"")), ("t", 4, bytearray(b"\xe9\n\xff\xfe"))], "repo string, length long, content binary")
+    assert sorted(map(tuple, C.repo_size(files, ["repo"]).collect())) == [("r", 3, 3), ("s", 1, 1), ("t", 2, 1)]
 
 
 def test_fates(spark):
@@ -187,6 +205,28 @@ def test_key_values(spark):
     assert {r.file_path: r.kv for r in got} == {"f": {"a": "x: y", "b": "q", "c": "'"}, "g": {}}
 
 
+def test_facts_from_texts(spark):
+    df, day = spark.createDataFrame, lambda d: (T0 - timedelta(days=d)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    repos = df([("r", "origin/trunk", ["trunk", "f"], "f"), ("q", None, ["own"], "own"), ("z", None, ["x"], None)], "repo_root string, head string, heads array<string>, current string")
+    recent = df([("r", f"a\x1f{day(1)}\nb\x1f{day(2)}\nc\x1f{day(3)}\nd\x1f{day(99)}"), ("q", f"k\x1f{day(1)}"), ("z", f"k\x1f{day(1)}")], "repo_root string, value string")
+    containing = df([("r", "a", "trunk\norigin\n  origin/trunk"), ("r", "b", "(HEAD detached)\nf"), ("r", "c", "origin/old\n"), ("q", "k", "own")], "repo_root string, sha string, value string")
+    tips = df([("r", "f", day(2)), ("r", "origin/old", day(40)), ("r", "trunk", None), ("q", "own", day(1))], "repo_root string, branch string, value string")
+    cherries = df([("r", "origin/old", "- c\n+ b"), ("r", "trunk", "- b")], "repo_root string, branch string, value string")
+    ancestors = df([("r", "a", 0), ("r", "b", 1)], "repo_root string, sha string, code int")
+    got = C.fates(**C.gather_facts(repos, recent, containing, tips, cherries, ancestors, F.lit(T0)))
+    assert sorted(map(tuple, got.collect())) == [("q", "k", "own", "in_flight"), ("r", "a", "trunk", "shipped"), ("r", "b", "f", "in_flight"), ("r", "c", "old", "shipped")]
+
+
+def test_reachable_and_roots(spark):
+    g = spark.createDataFrame([("r", "a", []), ("r", "b", ["a"]), ("r", "c", ["a", None]), ("r", "m", ["b", "c", "gone"]), ("q", "a", None)], "repo_root string, sha string, parents array<string>")
+    refs = spark.createDataFrame([("r", "main", "b"), ("r", "top", "m"), ("r", "none", "zz"), ("q", "main", "a")], "repo_root string, ref string, sha string")
+    got = sorted((r.repo_root, r.ref, r.sha) for r in C.reachable(g, refs).collect())
+    assert got == [("q", "main", "a")] + [("r", "main", x) for x in "ab"] + [("r", "top", x) for x in "abcm"]
+    cwd = spark.createDataFrame([("/s/a/b",), ("/s/ab",), ("/s/a/",), ("/s",), ("x/y",), (None,), ("",)], "cwd string")
+    roots = spark.createDataFrame([("/s/a",), ("/s/a/b/",), ("x",)], "repo_root string")
+    assert {r.cwd: r.repo_root for r in C.repo_of_cwd(cwd, roots).collect()} == {"/s/a/b": "/s/a/b", "/s/ab": None, "/s/a/": "/s/a", "/s": None, "x/y": "x"}
+
+
 def test_state_and_urls():
     assert parse_state('{"lastSyncAt": 3, "surfaces": {"a": "x", "b": 1}}') == {"lastSyncAt": None, "surfaces": {"a": "x"}}
     assert parse_state("broken") == {"lastSyncAt": None, "surfaces": {}}
@@ -199,6 +239,9 @@ def test_state_and_urls():
 def test_batches_and_suffixes(spark):
     df = batches(spark.range(5).withColumn("k", F.lit(1)), 2, ["k"], ["id"])
     assert [r.batch_id for r in df.orderBy("id").collect()] == [0, 0, 1, 1, 2]
+    rows = spark.range(1000).select("id", (F.col("id") % 2).alias("k"), (F.col("id") % 37).alias("file"), F.lit(None).cast("string").alias("z"))
+    whole = batches(rows, 7, ["k"], ["file", "id"])
+    assert sorted(map(tuple, whole.collect())) == sorted(tuple(r[c] for c in whole.columns) for r in batches(rows, 7, ["k"], ["file", "id"], ["file", "z"]).collect())
     got = suffix_duplicates(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a", 4)], "i string, o int"), "i", ["o"])
     assert sorted((r.o, r.i) for r in got.collect()) == [(1, "a"), (2, "a:2"), (3, "b"), (4, "a:3")]
 
@@ -211,6 +254,8 @@ def test_sync_is_incremental_and_idempotent(spark, tmp_path):
     write(logs / "p" / "b.jsonl", [assistant("late", time="2024-05-01T09:00:00Z"), assistant("r3", time="2024-05-01T10:00:01Z")])
     assert book.sync(bases=bases, now=T0 + timedelta(hours=1))["claude-code"] == 1
     assert book.sync(full=True, bases=bases, now=T0 + timedelta(hours=1))["claude-code"] == 1
+    assert book.skipped == {"claude-code": 4, "copilot-cli": 0, "codex": 0}
+    assert spark.read.parquet(str(tmp_path / "book" / "wire" / "events")).agg(F.sum("n_events")).first()[0] == 4
     assert sorted(r.external_id for r in book.events().collect()) == ["late", "r1", "r2", "r3"]
     body = wire_events(book.events().where("batch_id = 0"), spark.createDataFrame([("u", None, None, None)], S.schemas.ACCOUNT)).first()
     assert json.loads(body.body)["account"] == {"accountUuid": "u"} or json.loads(body.body)["account"] == {"account_uuid": "u"}
@@ -219,6 +264,14 @@ def test_sync_is_incremental_and_idempotent(spark, tmp_path):
     cwd = spark.createDataFrame([("/w", "/src/app")], "cwd string, repo_root string")
     log = spark.createDataFrame([("/src/app", "c1", T0 + timedelta(minutes=30), 1, 1, 1, 0)], "repo_root string, sha string, committed_at timestamp, lines_added long, lines_deleted long, files_changed long, ord int")
     assert {r.external_id: (r.commit_sha, r.branch) for r in book.attribute(book.events(), cwd, log).collect()} == {i: ("c1", "b") for i in ("late", "r1", "r2", "r3")}
+    files = spark.createDataFrame([("/src/app", 4, bytearray(b"a\nb\n"))], "repo_root string, length long, content binary")
+    book.attribute(book.events(), cwd, log, files)
+    wired = json.loads(spark.read.parquet(str(tmp_path / "book" / "wire" / "attributions")).first().body)
+    assert wired["repos"] == [{"name": "app", "totalLoc": 3, "fileCount": 1}] and len(wired["attributions"]) == 4 and wired["attributions"][0]["branch"] == "b"
+    df = spark.createDataFrame
+    facts = {"repos": df([("/src/app", "main", T0)], "repo_root string, default_branch string, now timestamp"), "shas": df([("/src/app", "c1")], "repo_root string, sha string"), "ancestors": df([], "repo_root string, sha string"), "cherries": df([], "repo_root string, sha string"), "contains": df([], "repo_root string, sha string, branch string, pos int"), "tips": df([], "repo_root string, branch string, tip timestamp")}
+    assert book.classify(facts).first().fate == "unshipped"
+    assert json.loads(spark.read.parquet(str(tmp_path / "book" / "wire" / "fates")).first().body) == {"repos": [], "attributions": [], "fates": [{"repoName": "app", "commitSha": "c1", "branch": None, "fate": "unshipped"}]}
     book.exclude("app")
     assert book.attribute(book.events(), cwd, log).count() == 0
 
