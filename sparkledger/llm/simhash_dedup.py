@@ -31,18 +31,20 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import components, cut, mix, read, released, small
+from .util import components, cut, drop, mix, read, released, small
 
 GRAM, RADIUS, SEED = 3, 2, 42
 #: For whole documents: five-word shingles, Jaccard similarity, and blocks of fingerprints.
-NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 4, 6, 0.8
-#: Partners of a text that are compared with it in one task.
-GROUP = 1024
-#: Exact complement: bits of a set's parity, one text in so many counted for the order of shingles, shingles whose counts are kept, and rows of a batch.
-PARITY, SAMPLE, OFTEN, SLICE = 1024, 32, 200_000, 10_000
+NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 3, 2, 0.8
+#: Partners of a text that are compared with it in one task, members of a bucket in one block, and rows of a frequent bucket in one task.
+GROUP, BLOCK, DEALT = 256, 2048, 1 << 20
+#: Exact complement: one text in so many counted for the order of shingles, shingles whose counts are kept, and rows of a batch.
+SAMPLE, OFTEN, SLICE = 32, 200_000, 10_000
+#: Documents whose parities may be broadcast.
+SMALL_MARKS = 100_000
 _M = (1 << 64) - 1
 
 
@@ -177,10 +179,6 @@ def _jaccard(gram: int, similarity: float):
     return run
 
 
-def _apart(x, y):
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-
-
 def _compared(texts: DataFrame, close: DataFrame, gram: int, similarity: float) -> DataFrame:
     """Those pairs (a, b), already cut, whose shingle sets reach the similarity.
 
@@ -189,222 +187,284 @@ def _compared(texts: DataFrame, close: DataFrame, gram: int, similarity: float)
     sizes = cut(close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("n")))
     dealt = close.join(small(sizes), "a").select("a", F.pmod(F.xxhash64("b"), "n").alias("part"), "b")
     group = F.struct("a", "part")
-    groups = dealt.select(F.col("a").alias("rid"), group.alias("g")).union(dealt.select(F.col("b").alias("rid"), group.alias("g"))).groupBy("rid").agg(F.collect_set("g").alias("groups"))
-    sent = texts.select("rid", "text").join(small(cut(groups)), "rid").mapInArrow(released(_packed), "rid long, packed binary, groups array<struct<a: long, part: long>>")
+    groups = cut(dealt.select(F.col("a").alias("rid"), group.alias("g")).union(dealt.select(F.col("b").alias("rid"), group.alias("g"))).groupBy("rid").agg(F.collect_set("g").alias("groups")))
+    sent = texts.select("rid", "text").join(small(groups), "rid").mapInArrow(released(_packed), "rid long, packed binary, groups array<struct<a: long, part: long>>")
     rows = sent.select(F.explode("groups").alias("g"), "rid", "packed").select("g.a", "g.part", "rid", "packed")
-    return cut(rows.repartition("a", "part").mapInArrow(released(_jaccard(gram, similarity)), "a long, b long"))
-
+    out = cut(rows.repartition("a", "part").mapInArrow(released(_jaccard(gram, similarity)), "a long, b long"))
+    drop(sizes, groups)
+    return out
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct())
 
+def _linked(texts: DataFrame, pairs: DataFrame, edges: DataFrame | None, gram: int, similarity: float) -> DataFrame:
+    """The edges and those of the pairs, already cut, that reach the similarity."""
+    got = _compared(texts, pairs, gram, similarity)
+    if edges is None:
+        return got
+    out = cut(edges.union(got))
+    drop(edges, got)
+    return out
 
-def _prints(texts: DataFrame, gram: int, blocks: int) -> DataFrame:
-    """rid and fps, once for each text."""
-    fp = fingerprints(texts.select(F.col("rid").alias("doc_id"), "text"), gram, blocks, sets=True).withColumnRenamed("doc_id", "rid")
-    return cut(fp.groupBy("rid").agg(F.first("fps").alias("fps")))
 
+def _covered(texts: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Pairs (a, b) of texts whose distinct words have a fingerprint within the radius of the smallest rid of one of its buckets.
 
-def _need(sizes, similarity: float):
-    """The shingles that sets of these sizes (their sum) share at the least if they reach the similarity."""
-    return np.ceil(similarity / (1 + similarity) * sizes - 1e-6)
-
-
-def parity(h: np.ndarray) -> np.ndarray:
-    """PARITY bits, each the parity of the members of h that fall on it: two sets differ in no more bits than members."""
-    ones = np.bincount((mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def _sketches(gram: int):
-    def run(batches):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", gram)) for t in b.column(1).cast(pa.binary())]
-            bits = np.concatenate([np.zeros(0, np.int64), *map(parity, sets)])
-            ends = np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bits))], ["rid", "size", "bits"])
-
-    return run
-
-
-def _possible(texts: DataFrame, pairs: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b), already cut, that sizes and parities of the shingle sets do not rule out; none that reaches the similarity is lost."""
-    marks = texts.join(small(_ends(pairs)), "rid", "left_semi").select("rid", "text").mapInArrow(released(_sketches(gram)), "rid long, size long, bits array<long>")
-    marks = cut(marks.groupBy("rid").agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
-    ma, mb = (marks.select(F.col("rid").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"f{x}")) for x in "ab")
-    both = F.col("na") + F.col("nb")
-    most = both - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-6)
-    return pairs.join(ma, "a").join(mb, "b").where(_apart("fa", "fb") <= most).select("a", "b")
-
-
-def _checked(texts: DataFrame, pairs: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b), already cut, whose shingle sets reach the similarity."""
-    return _compared(texts, cut(_possible(texts, pairs, gram, similarity)), gram, similarity)
+    Texts of equal fingerprint are one row for the tables, whose smallest rid they are paired with.
+    """
+    prints = fingerprints(texts.select(F.col("rid").alias("doc_id"), "text"), 1, blocks, sets=True)
+    prints = cut(prints.select(F.col("doc_id").alias("rid"), F.posexplode("fps").alias("block", "fp")))
+    first = cut(prints.groupBy("block", "fp").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("n")))
+    copies = prints.join(small(cut(first.where("n > 1"))), ["block", "fp"]).where("rid <> a").select("a", F.col("rid").alias("b"))
+    keys = F.array(*(F.when(F.col("block") == k, F.array(*(F.xxhash64(F.lit(k), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for t, m in enumerate(covering_masks(radius, k + 1))))) for k in range(blocks)))
+    rows = first.select(F.explode(F.flatten(F.filter(keys, lambda x: x.isNotNull()))).alias("bucket"), "a", "fp")
+    head = F.first(F.struct("a", "fp")).over(Window.partitionBy("bucket").orderBy("a"))
+    near = rows.withColumn("head", head).where(F.col("a") != F.col("head.a")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius)
+    out = cut(near.select(F.col("head.a").alias("a"), F.col("a").alias("b")).union(copies).distinct())
+    drop(prints, first)
+    return out
 
 
 def _often(texts: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of frequent shingles of a sample of texts. They only order the shingles: any order gives the same pairs."""
+    """Hashes, sorted, and counts of frequent shingles of a sample of texts. They only order and deal the shingles: any order gives the same pairs."""
     every = max(1, min(SAMPLE, texts.count() // 4096))
     part = texts.where(F.pmod(F.xxhash64("rid", F.lit(SEED)), F.lit(every)) == 0).select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
-    rows = part.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(OFTEN).collect()
+    rows = part.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(OFTEN).collect()
     h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order] * every
 
 
 def _prefixes(gram: int, similarity: float, often: np.ndarray, counts: np.ndarray):
-    """For each set its first shingles in one order of all shingles, rare ones first: sets that reach the similarity share one of these."""
+    """For each set its first shingles in one order of all shingles, rare ones first: sets that reach the similarity share one of these.
+
+    Rows are (bucket, salt, rid, at); at holds the size and the place. Buckets known to be frequent are dealt over salts.
+    """
 
     def run(batches):
         for b in batches:
-            keys, places, sizes = [], [], []
-            for t in b.column(1).cast(pa.binary()):
+            keys, salts, places, sizes = [], [], [], []
+            for rid, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
                 h = np.unique(shingle_hashes(t.as_py() or b"", gram))
                 n = len(h)
+                seen = np.zeros(n, np.int64)
                 if n and len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    h = h[np.lexsort((h, np.where(often[at] == h, counts[at], 0)))]
-                h = h[: n - int(np.ceil(similarity * n - 1e-6)) + 1] if n else np.zeros(1, np.uint64)
-                keys.append(h.view(np.int64))
-                places.append(np.arange(len(h)))
+                    seen = np.where(often[at] == h, counts[at], 0)
+                    order = np.lexsort((h, seen))
+                    h, seen = h[order], seen[order]
+                k = _prefix(n, similarity)
+                keys.append((h[:k] if n else np.zeros(1, np.uint64)).view(np.int64))
+                # a frequent bucket has so many parts; 0 is that of all others
+                parts = -(-seen[:k] // DEALT) if n else np.zeros(1, np.int64)
+                salts.append(np.where(parts > 1, 1 + rid % np.maximum(parts, 1), 0).astype(np.int32))
+                places.append(np.arange(k))
                 sizes.append(n)
             each = list(map(len, keys))
-            flat = [np.concatenate([np.zeros(0, np.int64), *keys]), np.repeat(b.column(0).to_numpy(), each), np.repeat(np.array(sizes, np.int64), each), np.concatenate([np.zeros(0, np.int64), *places])]
-            whole = pa.RecordBatch.from_arrays(list(map(pa.array, flat)), ["bucket", "rid", "size", "place"])
+            none = [np.zeros(0, np.int64)]
+            at = np.repeat(np.array(sizes, np.int64), each) << 32 | np.concatenate([*none, *places])
+            whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate([*none, *keys])), pa.array(np.concatenate([np.zeros(0, np.int32), *salts])), pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array(at)], ["bucket", "salt", "rid", "at"])
             yield from (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE))
 
     return run
 
 
-def _gathered(batches) -> list[np.ndarray]:
-    """The columns of all batches of a task."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else []
-
-
-def _starts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of a sorted column begin, and their lengths."""
-    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    return start, np.diff(np.append(start, len(bucket)))
+def _prefix(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-6)) + 1
 
 
-def _pairs(a: np.ndarray, b: np.ndarray):
-    """Batches of the distinct pairs, smaller member first."""
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    if len(a):
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        a, b = a[new], b[new]
-    for i in range(0, len(a), SLICE):
-        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + SLICE]), pa.array(b[i : i + SLICE])], ["a", "b"])
+def _need(sizes, similarity: float):
+    """The shingles that sets of these sizes (their sum) share at the least if they reach the similarity."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-6)
 
 
-def _heads(batches):
-    """The pairs of a bucket's smallest rid and each other member; rows are (bucket, rid)."""
-    got = _gathered(batches)
-    if got:
-        order = np.lexsort((got[1], got[0]))
-        bucket, rid = (x[order] for x in got)
-        start, n = _starts(bucket)
-        head = np.repeat(rid[start], n)
-        yield from _pairs(head[head != rid], rid[head != rid])
+def _can(na, pa_, nb, pb, similarity: float):
+    """Whether two sets of these sizes can reach the similarity if they share members at these places."""
+    return (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= _need(na + nb, similarity)) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6)
 
 
-def _fit(similarity: float, na, pa_, nb, pb):
-    """Whether sets of these sizes, whose first common shingle has these places, can reach the similarity."""
-    return np.minimum(na - pa_, nb - pb) >= _need(na + nb, similarity)
+def parity(h: np.ndarray) -> bytes:
+    """At least 2 len(h) bits, a power of two, each the parity of the members of h that fall on it: two sets differ in no more bits than members.
 
+    The two halves, one xor the other, are the parities for half the bits.
+    """
+    m = 1 << max(6, int(2 * len(h) - 1).bit_length()) if len(h) else 64
+    ones = np.bincount((mix(h) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
 
-def _shared(similarity: float):
-    """The rows (bucket, rid, size, place), once each, of buckets that hold a pair."""
 
+def _parities(gram: int):
     def run(batches):
-        got = _gathered(batches)
-        if not got:
-            return
-        order = np.lexsort((got[1], got[0]))
-        bucket, rid, size, place = (x[order] for x in got)
-        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (rid[1:] != rid[:-1])))
-        bucket, rid, size, place = (x[new] for x in (bucket, rid, size, place))
-        start, n = _starts(bucket)
-        keep, two = n > 1, start[n == 2]
-        keep[n == 2] = _fit(similarity, size[two], place[two], size[two + 1], place[two + 1])
-        keep = np.repeat(keep, n)
-        whole = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, rid, size, place)], ["bucket", "rid", "size", "place"])
-        yield from (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE))
+        for b in batches:
+            bits = [parity(np.unique(shingle_hashes(t.as_py() or b"", gram))) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["rid", "bits"])
 
     return run
 
 
-def _untied(similarity: float, heads: bool):
-    """Pairs of different components in a bucket that can reach the similarity: those with its smallest rid, or all of a bucket of more than two."""
+class _Apart:
+    """Number of parity bits in which the rows of a task differ."""
+
+    def __init__(self, bits: pa.ChunkedArray):
+        cells = bits.to_pylist()
+        self.words = np.array([len(c) // 8 for c in cells], np.int64)
+        self.at = np.zeros(len(cells), np.int64)
+        self.of = {}
+        for n in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == n)
+            self.at[own] = np.arange(len(own))
+            self.of[n] = np.frombuffer(b"".join(cells[i] for i in own), np.uint64).reshape(len(own), n)
+
+    def _rows(self, i: np.ndarray, n: int, to: int) -> np.ndarray:
+        rows = self.of[n][self.at[i]]
+        while rows.shape[1] > to:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        return rows
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        kind = self.words[i] << 32 | self.words[j]
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == k)
+            n, m = k >> 32, k & 0xFFFFFFFF
+            out[own] = np.bitwise_count(self._rows(i[own], n, min(n, m)) ^ self._rows(j[own], m, min(n, m))).sum(1, dtype=np.int64)
+        return out
+
+
+def _met(similarity: float):
+    """The pairs (a, b) of different components of a group that places, sizes and parities do not rule out; no pair that reaches the similarity is lost.
+
+    Rows are (bucket, x, y, side, rid, at, component, bits). Groups with x = y hold one block of a bucket,
+    others two blocks, whose rows are compared across.
+    """
 
     def run(batches):
-        got = _gathered(batches)
-        if not got:
-            return
-        order = np.lexsort((got[1] if heads else got[2], got[0]))
-        bucket, rid, size, place, comp = (x[order] for x in got)
-        start, n = _starts(bucket)
-        if heads:
-            first = np.repeat(start, n)
-            hit = (comp[first] != comp) & _fit(similarity, size[first], place[first], size, place)
-            yield from _pairs(rid[first][hit], rid[hit])
+        held = list(batches)
+        if not held:
             return
-        most, least = np.maximum.reduceat(comp, start), np.minimum.reduceat(comp, start)
-        todo = (n > 2) & (most > least)
-        a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for s, e in zip(start[todo], (start + n)[todo]):
-            tops = np.searchsorted(size[s:e], size[s:e] / similarity + 1e-6, side="right") + s
-            for i in range(s, e - 1):
-                j = slice(i + 1, tops[i - s])
-                hit = (comp[j] != comp[i]) & _fit(similarity, size[i], place[i], size[j], place[j])
-                other = rid[j][hit]
-                if len(other):
-                    a.append(np.full(len(other), rid[i]))
-                    b.append(other)
-                    held += len(other)
-            if held > 1 << 20:
-                yield from _pairs(np.concatenate(a), np.concatenate(b))
-                a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        yield from _pairs(np.concatenate(a), np.concatenate(b))
+        table = pa.Table.from_batches(held)
+        bucket, x, y, side, rid, at, comp = (c.to_numpy() for c in table.columns[:-1])
+        size, place, apart = at >> 32, at & 0xFFFFFFFF, _Apart(table.column(7))
+        order = np.lexsort((size, y, x, bucket))
+        bucket, x, y = bucket[order], x[order], y[order]
+        start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+
+        def couples():
+            """Positions of the members of pairs, some pairs at a time."""
+            n = np.diff(np.append(start, len(bucket)))
+            two = start[n == 2]
+            yield order[two], order[two + 1]
+            for s, e in zip(start[n > 2], (start + n)[n > 2]):
+                own = order[s:e]
+                sizes = size[own]
+                tops = np.searchsorted(sizes, sizes / similarity + 1e-6, side="right")
+                for k in range(len(own) - 1):
+                    if tops[k] > k + 1:
+                        yield np.full(tops[k] - k - 1, own[k]), own[k + 1 : tops[k]]
+
+        def filtered():
+            parts, n = [], 0
+            for i, j in couples():
+                hit = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == x_of[i]) & (x_of[i] == y_of[i])) & _can(size[i], place[i], size[j], place[j], similarity)
+                if hit.any():
+                    parts.append((i[hit], j[hit]))
+                    n += int(hit.sum())
+                if n > 1 << 15:
+                    yield map(np.concatenate, zip(*parts))
+                    parts, n = [], 0
+            if parts:
+                yield map(np.concatenate, zip(*parts))
+
+        x_of, y_of = (table.column(c).to_numpy() for c in ("x", "y"))
+        seen = np.zeros((0, 2), np.int64)
+        for i, j in filtered():
+            both = size[i] + size[j]
+            hit = apart(i, j) <= both - 2 * _need(both, similarity)
+            found = np.stack((np.minimum(rid[i], rid[j])[hit], np.maximum(rid[i], rid[j])[hit]), axis=1)
+            seen = np.unique(np.concatenate((seen, found)), axis=0)
+            if len(seen) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+                seen = seen[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
 
     return run
 
 
-def _completed(texts: DataFrame, edges: DataFrame, tied: DataFrame, gram: int, similarity: float) -> DataFrame:
-    """Components of all pairs that reach the similarity, of which the edges, with components `tied`, are some.
+def _named(live: DataFrame, tied: DataFrame) -> DataFrame:
+    return live.join(small(tied.withColumnRenamed("node", "rid")), "rid", "left").select("bucket", "rid", "at", F.coalesce("component", "rid").alias("component"))
+
+
+def _head_pairs(texts: DataFrame, live: DataFrame, tied: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's head, the text whose prefix has the largest share in common with others, and its members of another component.
+
+    Only a help to tie large groups at little cost: such a pair must share enough of the buckets of which one of them is the head.
+    """
+    size = F.shiftright("at", 32)
+    shares = cut(live.groupBy("rid", size.alias("size")).agg(F.count(F.lit(1)).alias("n")).select("rid", (F.col("n") / (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-6) + 1)).alias("share")))
+    named = _named(live, tied)
+    best = F.min(F.struct((-F.col("share")).alias("share"), "rid", "at", "component")).alias("h")
+    heads = cut(named.join(small(shares), "rid").groupBy("bucket").agg(best, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "h.rid", "h.at", "h.component").toDF("bucket", "a", "a_at", "a_component"))
+    met = named.join(small(heads), "bucket").where("component <> a_component")
+    na, nb = F.shiftright("a_at", 32), F.shiftright("at", 32)
+    both, most = na + nb, F.greatest(na, nb)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * both - 1e-6) - F.ceil(F.lit(similarity) * most - 1e-6) + 1)
+    fits = F.least(na, nb) >= F.lit(similarity) * most - 1e-6
+    pairs = met.where(fits).select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"), need.alias("need"))
+    out = cut(pairs.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b"))
+    drop(shares, heads)
+    return out
+
+
+def _other_pairs(texts: DataFrame, live: DataFrame, tied: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different components in a bucket that may reach the similarity; a crowded bucket is compared block by block."""
+    named = _named(live, tied)
+    mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = cut(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("rid"), "blocks").cast("int")
+    rows = cut(named.join(small(mixed), "bucket").withColumn("own", own))
+    some = cut(rows.select("rid").distinct())
+    marks = cut(texts.select("rid", "text").join(small(some), "rid", "left_semi").mapInArrow(released(_parities(gram)), "rid long, bits binary"))
+    rows_of = rows.join(small(marks, SMALL_MARKS), "rid").select("bucket", "rid", "at", "component", "own", "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows_of = rows_of.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"), "rid", "at", "component", "bits")
+    out = cut(rows_of.repartition("bucket", "x", "y").mapInArrow(released(_met(similarity)), "a long, b long").distinct())
+    drop(mixed, rows, some, marks)
+    return out
+
+
+def _completed(texts: DataFrame, edges: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Components of all pairs that reach the similarity, of which the edges are some.
 
     Every pair that reaches the similarity shares a shingle of its prefixes. Members of such a bucket
-    are compared with its first unless tied already; then all pairs not tied yet are, however many.
+    are compared with its head unless tied already; then all pairs not tied yet are, however many.
     """
     often, counts = _often(texts, gram)
-    rows = texts.select("rid", "text").mapInArrow(released(_prefixes(gram, similarity, often, counts)), "bucket long, rid long, size long, place long")
-    live = cut(rows.repartition("bucket").mapInArrow(released(_shared(similarity)), "bucket long, rid long, size long, place long"))
-    tested = None
-    for heads in (True, False):
-        named = live.join(small(cut(tied.withColumnRenamed("node", "rid"))), "rid", "left").select("bucket", "rid", "size", "place", F.coalesce("component", "rid").alias("component"))
-        pairs = named.repartition("bucket").mapInArrow(released(_untied(similarity, heads)), "a long, b long").distinct()
-        tested = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not tested.isEmpty():
-            edges = edges.union(_checked(texts, tested, gram, similarity))
-            tied = components(edges)
+    rows = texts.select("rid", "text").mapInArrow(released(_prefixes(gram, similarity, often, counts)), "bucket long, salt int, rid long, at long")
+    live = cut(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket", "salt"))).where("n > 1 or salt > 0").select("bucket", "rid", "at"))
+    tied, tested = components(edges), None
+    for find in (_head_pairs, _other_pairs):
+        pairs = find(texts, live, tied, gram, similarity)
+        if tested is not None:
+            fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+            drop(pairs, tested)
+            pairs = fresh
+        tested = pairs
+        if not pairs.isEmpty():
+            edges = _linked(texts, pairs, edges, gram, similarity)
+            old, tied = tied, components(edges)
+            drop(old)
+    drop(live, tested, edges)
     return tied
 
 
 def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, similarity: float) -> DataFrame:
-    """texts: rid (long, one for each text), text; copies may repeat. Components (node, component) of texts whose shingle sets reach the similarity.
+    """texts: rid (long, one row for each), text. Components (node, component) of texts whose shingle sets reach the similarity.
 
     Every member of a bucket of fingerprints is compared with the bucket's smallest rid, which ties most
     members of large groups; pairs that are not tied by then are compared by `_completed`, without a cap.
     """
-    fp = _prints(texts, 1, blocks)
-    keys = [F.xxhash64(F.lit(k), F.lit(t), F.col("fps")[k].bitwiseAND(F.lit(_signed(m)).cast("long"))) for k in range(blocks) for t, m in enumerate(covering_masks(radius, k + 1))]
-    rows = fp.select(F.explode(F.array(*keys)).alias("bucket"), "rid")
-    first = cut(rows.repartition("bucket").mapInArrow(released(_heads), "a long, b long").distinct())
-    edges = _checked(texts, first, gram, similarity)
-    return _completed(texts, edges, components(edges), gram, similarity)
+    pairs = _covered(texts, radius, blocks)
+    edges = _linked(texts, pairs, None, gram, similarity)
+    drop(pairs)
+    return _completed(texts, edges, gram, similarity)
 
 
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
@@ -415,20 +475,23 @@ def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rid, row_id = F.xxhash64(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    copies = cut(docs.select(rid.alias("rid"), row_id.alias("id")).groupBy("rid", "id").agg(F.count(F.lit(1)).alias("n")))
-    more = copies.join(copies.groupBy("rid").agg(F.min("id").alias("least")), "rid").where("id > least").select("rid", "id")
-    texts = docs.select(rid.alias("rid"), row_id.alias("id"), text.alias("text")).join(small(cut(more)), ["rid", "id"], "left_anti").select("rid", "text")
-    comp = near_components(texts, gram, radius, blocks, similarity)
-    named = copies.groupBy("rid").agg(F.min("id").alias("id")).join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    kept = named.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("k")).select("k.id", "k.rid")
-    stays = cut(copies.join(kept.withColumn("kept", F.lit(True)), ["rid", "id"], "left").select("rid", "id", "n", F.coalesce("kept", F.lit(False)).alias("kept")))
     key = ["rid", "id"]
-    tagged = docs.select(F.struct("*").alias("row"), rid.alias("rid"), row_id.alias("id")).join(small(stays.where("not kept").select(*key)), key, "left_anti")
-    repeated = stays.where("kept and n > 1").select(*key)
-    if repeated.isEmpty():
+    copies = cut(docs.select(rid.alias("rid"), row_id.alias("id")).groupBy("rid", "id").agg(F.count(F.lit(1)).alias("n")))
+    least = copies.groupBy("rid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("ids"))
+    more = cut(copies.join(cut(least.where("ids > 1")), "rid").where("id > least").select(*key))
+    again = cut(copies.where("n > 1").select(*key))
+    texts = docs.select(rid.alias("rid"), row_id.alias("id"), text.alias("text")).join(small(more), key, "left_anti")
+    if not again.isEmpty():
+        texts = texts.join(small(again), key, "left_anti").union(texts.join(small(again), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")))
+    comp = near_components(texts.select("rid", "text"), gram, radius, blocks, similarity)
+    named = copies.groupBy("rid").agg(F.min("id").alias("id")).join(small(comp.withColumnRenamed("node", "rid")), "rid").withColumn("component", F.coalesce("component", "rid"))
+    first = named.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("k")).select("component", "k.id", "k.rid")
+    gone = cut(named.join(first.toDF("component", "k_id", "k_rid"), "component").where("rid <> k_rid").select(*key).union(more))
+    drop(copies, more, comp)
+    tagged = docs.select(F.struct("*").alias("row"), rid.alias("rid"), row_id.alias("id")).join(small(gone), key, "left_anti")
+    if again.isEmpty():
         return tagged.select("row.*")
-    repeated = small(repeated)
-    return tagged.join(repeated, key, "left_anti").select("row.*").union(tagged.join(repeated, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*"))
+    return tagged.join(small(again), key, "left_anti").select("row.*").union(tagged.join(small(again), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and everything runs on one machine (tests)."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-")
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="ckpt-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,9 +49,20 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder: lineage ends here and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, written as a table in the shared folder and read again: lineage ends here and lost executors cost nothing."""
+    at = scratch(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables made by `cut` that nothing reads any more."""
+    for df in tables:
+        if (at := getattr(df, "_cut_at", None)) is not None:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of keys that may be broadcast; more are joined by a shuffle.
@@ -128,28 +143,44 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star steps, each cut in the shared folder. A hub's edges are
-    aggregated by minimum with map-side combining and joined by a join that AQE may split, so no
-    group is gathered in one place and nothing but two counters reaches the driver.
+    aggregated by minimum with map-side combining. The minima are broadcast while the edges are at most
+    SMALL_ROWS; beyond that they are cut, so that both sides of the join come from plain shuffles, which AQE may
+    split. No group is gathered in one place and nothing but two counters reaches the driver.
     """
+
+    def least(rows: DataFrame, n: int, made: list) -> DataFrame:
+        out = rows.groupBy("u").agg(F.min("v").alias("m"))
+        if 2 * n <= SMALL_ROWS:
+            return F.broadcast(out)
+        made.append(cut(out))
+        return made[-1]
+
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = cur.agg(F.count(F.lit(1)), total).first()
     for _ in range(max_rounds):
         if not was[0]:
             break
+        made: list = []
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = least(both, was[0], made).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        cur = cut(small)
+        if 2 * was[0] > SMALL_ROWS:
+            made.append(large := cut(large))
+        first = least(large, was[0], made)
+        star = large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(first.select("u", F.col("m").alias("v"))).distinct()
+        made.append(cur)
+        cur = cut(star)
+        drop(*made)
         now = cur.agg(F.count(F.lit(1)), total).first()
         if now == was:
             break
         was = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v"), F.col("v")).distinct())
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v"), F.col("v")).distinct())
+    out._cut_at = cur._cut_at
+    return out
 
 
 def open_fs(uri: str):
@@ -163,6 +194,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def unused(name: str, names: list[str]) -> str:
+    """A column name that none of the names equals, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def parts(n: int, most: int = 4096) -> int:
     """Partitions for n work items."""
     return max(1, min(n, most))
