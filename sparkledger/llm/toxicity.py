@@ -1,20 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar, scored over clauses.
 
-Sequential transducers rewrite the tags of a clause: one marks insults that a negation precedes
-within three words, one those after reported speech, one those in a clause that addresses someone,
-and one turns a threat verb in such a clause into a threat. Their composition is a single machine;
-what a clause emits is weighed, and a document's score is the logistic of the sum over its clauses.
+Five weighted transducers are composed. The insult transducer reads the words of a clause and writes
+classes; the arcs of insults carry their weights. The threat transducer turns a threat verb into a threat
+where the clause addresses someone, the target transducer marks insults in such a clause, the negation transducer
+those within three words after a negation, the reported-speech transducer what a verb of saying governs, before or after
+it. Arcs add weights, guesses about words to come (nondeterminism) must be kept by the end of the clause, and the best
+accepted path of the composition is what the clause weighs, at least nothing. A document's score is the logistic
+of the sum over its clauses that hold an insult or a threat verb.
 
 The insult transducer's entries (whole words and stems) and all weights are fitted on at most
-`FIT_ROWS` labelled rows, the first in the order of a hash of the id, so the model and what the
+`FIT_ROWS` labelled rows and `FIT_BYTES` of text, the first in the order of a hash of the id, so the model and what the
 driver holds do not grow with the data. An entry must be held by more toxic rows than chance over
-all candidates allows, counted over documents that are not copies of each other.
+all candidates allows, counted over documents that are not copies of each other. The weights of the four other transducers are
+fitted too, drawn to priors where the rows say little.
 A document is read whole: an Aho-Corasick machine finds the entries, and only clauses that hold one run
 through the grammar.
 
 Defined results: a null, empty or blank text has no clause and gets the base score; repeated rows
 get equal scores; without toxic labels (or an empty labels table) every score is the base rate;
-label rows that are null or name no document are ignored; columns other than doc_id and text are ignored.
+label rows that are null or name no document are ignored; columns other than doc_id and text are carried, whatever their names
+(a column score is replaced).
 """
 
 from __future__ import annotations
@@ -23,90 +28,140 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import read, released
+from .util import read, released, unused
 
-FIT_ROWS, FOLDS, NEED, LONGEST_STEM = 6000, 5, 3, 8
+FIT_ROWS, FIT_BYTES, FOLDS, NEED, LONGEST_STEM = 6000, 64 << 20, 5, 3, 8
 
 #: The closed classes of the grammar.
 TARGET = "you your yours yourself u ya toi tu te vous ton ta votre du dich dir dein deine euch tú ti tus usted ustedes vosotros".split()
 NEGATION = "not never no isn't aren't wasn't don't doesn't without neither pas jamais aucun nicht kein keine nie nunca jamás tampoco sin".split()
 REPORTED = "said says say saying wrote writes called calls claimed quoted reported told dit disait écrit sagte sagt schrieb meinte dijo dice escribió".split()
 THREAT = "kill murder hurt destroy beat burn shoot stab hang tuer frapper détruire töten schlagen vernichten matar golpear destruir".split()
-#: Prior factors of an insult's weight by its context, and rows that the priors count for.
-PRIOR = {"": 1.0, "n": 0.4, "r": 0.6, "y": 1.2}
-PRIOR_ROWS, THREAT_WEIGHT = 4.0, 4.0
+#: Prior weights: scale of the insults' own, threat (T), target (y), negation (n), reported speech (r); and how strongly the fit is drawn to them.
+PRIOR = {"I": 1.0, "T": 6.0, "y": 0.5, "n": -8.0, "r": -4.0}
+PULL = 0.5
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-STOP = re.compile(r"[.!?;:\n]")
+STOP = re.compile(r"[.!?;\n]")
 
 
 class Transducer:
-    """A sequential transducer: (state, symbol) -> (state, symbol); symbols without an arc stay and keep the state."""
+    """A weighted transducer: arcs (state, class) -> [(state, added mark or class, weight)].
 
-    def __init__(self, start, arcs: dict):
-        self.start, self.arcs = start, arcs
+    The class of a symbol is its first character; marks follow it. A symbol whose class has no arc from a state
+    passes unchanged and keeps the state, one whose list is empty is refused. All states but `open_` accept.
+    """
 
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol)) or self.arcs.get((state, symbol[0])) and self._keep(state, symbol) or (state, symbol)
+    def __init__(self, start, arcs: dict, open_: frozenset = frozenset()):
+        self.start, self.arcs, self.open = start, arcs, open_
 
-    def _keep(self, state, symbol):
-        to, out = self.arcs[(state, symbol[0])]
-        return to, out + symbol[1:]
+    def step(self, state, symbol: str) -> list[tuple]:
+        arcs = self.arcs.get((state, symbol[0]))
+        if arcs is None:
+            return [(state, symbol, 0.0)]
+        return [(to, symbol + out[1:] if out[:1] == "+" else out + symbol[1:], weight) for to, out, weight in arcs]
 
-    def run(self, symbols: list[str]) -> list[str]:
-        state, out = self.start, []
-        for x in symbols:
-            state, y = self.step(state, x)
-            out.append(y)
-        return out
+    def accepts(self, state) -> bool:
+        return state not in self.open
 
     def __matmul__(self, other: Transducer) -> Transducer:
         """Composition: this machine's output is the other's input."""
-        machine = _Composed(self, other)
-        return machine
+        return _Composed(self, other)
+
+    def best(self, symbols) -> tuple[float, list[str]]:
+        """Weight and output of the heaviest accepted path (0 and nothing if there is none)."""
+        paths = {self.start: (0.0, ())}
+        for x in symbols:
+            then: dict = {}
+            for state, (total, out) in paths.items():
+                for to, y, weight in self.step(state, x):
+                    if to not in then or then[to][0] < total + weight:
+                        then[to] = total + weight, (out, y)
+            paths = then
+        ends = [p for state, p in paths.items() if self.accepts(state)]
+        total, out = max(ends, key=lambda p: p[0], default=(0.0, ()))
+        written = []
+        while out:
+            out, y = out
+            written.append(y)
+        return total, written[::-1]
 
 
 class _Composed(Transducer):
     def __init__(self, first: Transducer, then: Transducer):
         super().__init__((first.start, then.start), {})
         self.first, self.then = first, then
+        self.known: dict = {}
 
     def step(self, state, symbol):
         key = (state, symbol)
-        if key not in self.arcs:
-            a, x = self.first.step(state[0], symbol)
-            b, y = self.then.step(state[1], x)
-            self.arcs[key] = ((a, b), y)
-        return self.arcs[key]
+        got = self.known.get(key)
+        if got is None:
+            got = [((a, b), y, v + w) for a, x, v in self.first.step(state[0], symbol) for b, y, w in self.then.step(state[1], x)]
+            if len(symbol) <= 8:  # classes with their marks; words are as many as the text likes
+                self.known[key] = got
+        return got
+
+    def accepts(self, state) -> bool:
+        return self.first.accepts(state[0]) and self.then.accepts(state[1])
+
+
+class Insults(Transducer):
+    """Words to classes: I insult (its weight on the arc), K threat verb, Y target, N negation, R verb of saying, o other."""
+
+    def __init__(self, weight, classes: dict[str, str]):
+        super().__init__(0, {})
+        self.weight, self.classes = weight, classes
+
+    def step(self, state, symbol):
+        w = self.weight(symbol)
+        return [(0, "I", w)] if w > 0 else [(0, self.classes.get(symbol, "o"), 0.0)]
+
+
+def threat(weight: float) -> Transducer:
+    """A threat verb in a clause that addresses someone, before (state 1) or after it (state 2, a promise), becomes T; else it is o."""
+    arcs = {(0, "Y"): [(1, "Y", 0.0)], (0, "K"): [(0, "o", 0.0), (2, "T", weight)], (1, "K"): [(1, "T", weight)], (2, "Y"): [(1, "Y", 0.0)], (2, "K"): [(2, "T", weight)]}
+    return Transducer(0, arcs, frozenset({2}))
 
 
-def grammar() -> Transducer:
-    """Tags: I insult, T threat verb, Y target, N negation, R reported speech, o other. Insults come out as I with marks n, r, y."""
-    negation = {(s, "N"): (3, "N") for s in range(4)} | {(s, "I"): (s - 1, "In") for s in range(1, 4)} | {(s, x): (s - 1, x) for s in range(1, 4) for x in "oTYR"}
-    reported = {(0, "R"): (1, "R"), (1, "I"): (1, "Ir"), (1, "T"): (1, "Tr")}
-    target = {(0, "Y"): (1, "Y"), (1, "I"): (1, "Iy"), (1, "T"): (1, "Ty")}
-    return Transducer(0, negation) @ Transducer(0, reported) @ Transducer(0, target)
+def target(weight: float) -> Transducer:
+    """An insult in a clause that addresses someone gets the mark y."""
+    arcs = {(0, "Y"): [(1, "Y", 0.0)], (0, "I"): [(0, "I", 0.0), (2, "+y", weight)], (1, "I"): [(1, "+y", weight)], (2, "Y"): [(1, "Y", 0.0)], (2, "I"): [(2, "+y", weight)]}
+    return Transducer(0, arcs, frozenset({2}))
 
 
-def clauses(words_of: str):
-    """Spans of clauses."""
-    at = 0
-    for m in STOP.finditer(words_of):
-        yield at, m.start()
-        at = m.end()
-    yield at, len(words_of)
+def negation(weight: float) -> Transducer:
+    """An insult or a threat within three words after a negation gets the mark n."""
+    arcs = {(s, "N"): [(3, "N", 0.0)] for s in range(4)}
+    arcs |= {(s, x): [(s - 1, "+n", weight)] for s in range(1, 4) for x in "IT"}
+    arcs |= {(s, x): [(s - 1, x, 0.0)] for s in range(1, 4) for x in "oYR"}
+    return Transducer(0, arcs)
+
+
+def reported(weight: float) -> Transducer:
+    """An insult or a threat in a clause with a verb of saying gets the mark r: after it (state 1), or before it (state 2, a promise; state 3 has none)."""
+    arcs = {(0, "R"): [(1, "R", 0.0)], (2, "R"): [(1, "R", 0.0)], (3, "R"): []}
+    for x in "IT":
+        arcs |= {(0, x): [(3, x, 0.0), (2, "+r", weight)], (1, x): [(1, "+r", weight)], (2, x): [(2, "+r", weight)]}
+    return Transducer(0, arcs, frozenset({2}))
+
+
+def grammar(weights: dict[str, float] = PRIOR) -> Transducer:
+    """The composition over classes; insults come out as I, threats as T, with the marks y, n, r."""
+    return threat(weights["T"]) @ target(weights["y"]) @ negation(weights["n"]) @ reported(weights["r"])
 
 
 class Model:
-    """Weights of insult entries, factors of their contexts and the base score."""
+    """The entries of the insult transducer, the weights of the others and the base score."""
 
-    def __init__(self, exact: dict[str, float], stems: dict[str, float], base: float, factors: dict[str, float] | None = None):
-        self.exact, self.stems, self.base, self.factors = exact, stems, base, factors or dict(PRIOR)
-        self.tags = {**dict.fromkeys(TARGET, "Y"), **dict.fromkeys(NEGATION, "N"), **dict.fromkeys(REPORTED, "R"), **dict.fromkeys(THREAT, "T")}
+    def __init__(self, exact: dict[str, float], stems: dict[str, float], base: float, weights: dict[str, float] | None = None):
+        self.exact, self.stems, self.base, self.weights = exact, stems, base, weights or dict(PRIOR)
+        self.classes = {**dict.fromkeys(TARGET, "Y"), **dict.fromkeys(NEGATION, "N"), **dict.fromkeys(REPORTED, "R"), **dict.fromkeys(THREAT, "K")}
         self._machine = None
 
     def __getstate__(self):
@@ -116,7 +171,7 @@ class Model:
         best = self.exact.get(word, 0.0)
         for k in range(1, min(len(word), LONGEST_STEM) + 1):
             best = max(best, self.stems.get(word[:k], 0.0))
-        return best
+        return best * self.weights["I"]
 
     def _ready(self):
         if self._machine is None:
@@ -126,53 +181,67 @@ class Model:
             for x in {*self.exact, *self.stems, *THREAT}:
                 find.add_word(x, len(x))
             find.make_automaton()
-            self._machine = find, grammar()
+            self._machine = find, Insults(self.weight, self.classes), grammar(self.weights)
         return self._machine
 
-    def matches(self, text: str):
-        """(context, weight) of every insult or threat in a text."""
-        find, machine = self._ready()
+    def clauses(self, text: str):
+        """Weight and written classes of every clause that holds an entry or a threat verb."""
+        find, words, machine = self._ready()
         low = text.lower()
         seen = -1
         for end, size in find.iter(low):
             begin = end - size + 1
             if begin <= seen or begin and low[begin - 1].isalpha():
                 continue
-            a = max((m for m in (low.rfind(c, 0, begin) for c in ".!?;:\n")), default=-1) + 1
+            a = max(low.rfind(c, 0, begin) for c in ".!?;\n") + 1
             stop = STOP.search(low, end)
             b = stop.start() if stop else len(low)
             seen = b - 1
-            words = WORD.findall(low, a, b)
-            weights = [self.weight(w) for w in words]
-            tags = [self.tags.get(w) or ("I" if x else "o") for w, x in zip(words, weights)]
-            for out, w in zip(machine.run(tags), weights):
-                if out[0] == "I":
-                    yield out[1:], w
-                elif out[0] == "T" and "y" in out:
-                    yield out[1:].replace("y", ""), THREAT_WEIGHT
-
-    def total(self, hits) -> float:
-        """The summed weight of a document's matches."""
-        out = 0.0
-        for marks, w in hits:
-            for m in marks:
-                w *= self.factors[m]
-            out += w
-        return out
+            tagged = [words.step(0, w)[0] for w in WORD.findall(low, a, b)]
+            total, out = machine.best([x for _, x, _ in tagged])
+            yield total + sum(w for *_, w in tagged), out
+
+    def total(self, text: str) -> float:
+        """The summed weight of a document's clauses, none of which counts less than nothing."""
+        return sum(max(0.0, w) for w, _ in self.clauses(text))
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.total(self.matches(text or ""))))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.total(text or "")))))
+
+
+_NEGATION, _REPORTED = frozenset(NEGATION), frozenset(REPORTED)
+#: Words of the other transducers are no entries of the insult transducer.
+_CLOSED = frozenset((*TARGET, *NEGATION, *REPORTED, *THREAT))
+
+
+def plain_words(text: str) -> list[str]:
+    """The words that the grammar would mark neither as negated nor as reported if they were insults."""
+    out = []
+    for clause in STOP.split(text.lower()):
+        words = WORD.findall(clause)
+        if not _REPORTED.isdisjoint(words):
+            continue
+        if _NEGATION.isdisjoint(words):
+            out += words
+            continue
+        free = 0
+        for i, w in enumerate(words):
+            if w in _NEGATION:
+                free = i + 4
+            elif i >= free:
+                out.append(w)
+    return out
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """rows: (text, toxic).
 
-    An entry is a word, whose presence counts, or a stem, whose second occurrence counts (a stem may
+    Words that are negated or reported count for no entry. An entry is a word, whose presence counts, or a stem, whose second occurrence counts (a stem may
     turn up once by chance), each occurrence with half of the weight. Entries are taken greedily
     until each toxic row holds NEED of them, as far as evidence goes; a logistic fit of the
     documents' totals then sets the base score and the scale.
     """
-    bags = [(Counter(WORD.findall((t or "").lower())), y) for t, y in rows]
+    bags = [(Counter(plain_words(t or "")), y) for t, y in rows]
     toxic = [b for b, y in bags if y]
     clean = len(bags) - len(toxic)
     if not toxic or not clean:
@@ -184,7 +253,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         for w, n in bag.items():
             for k in range(3, min(len(w), LONGEST_STEM) + 1):
                 stems[w[:k]] += n
-        return {(w, False) for w in bag} | {(s, True) for s, n in stems.items() if n > 1}
+        return {(w, False) for w in bag if w not in _CLOSED} | {(s, True) for s, n in stems.items() if n > 1}
 
     holders: dict[tuple[str, bool], list[int]] = defaultdict(list)
     for i, b in enumerate(toxic):
@@ -230,49 +299,56 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         for i in holders[best]:
             need[i] -= 2 if stem else 1
     model = Model(exact, stems, 0.0)
-    hits = [(y, list(model.matches(t or ""))) for t, y in rows]
-    for mark in "nry":
-        got = Counter(y for y, h in hits if h and all(mark in m for m, _ in h))
-        if got:
-            seen_rate = (got[1] + 0.5) / (sum(got.values()) + 1)
-            every = Counter(y for y, h in hits if h)
-            usual = (every[1] + 0.5) / (sum(every.values()) + 1)
-            n = sum(got.values())
-            learned = (PRIOR_ROWS * PRIOR[mark] + n * min(1.2, seen_rate / usual)) / (PRIOR_ROWS + n)
-            model.factors[mark] = max(1.0, learned) if mark == "y" else min(1.0, learned)
-    totals = [(model.total(h), y) for y, h in hits]
-    a, b = _logistic(totals)
-    model.exact, model.stems = {k: a * v for k, v in exact.items()}, {k: a * v for k, v in stems.items()}
-    model.base = b
-    return model
-
-
-def _logistic(points: list[tuple[float, int]], ridge: float = 0.5) -> tuple[float, float]:
-    """Scale and offset of a logistic curve, by Newton steps; the ridge pulls the scale to 1."""
-    groups = Counter(points)
-    a, b = 1.0, -3.0
-    for _ in range(50):
-        ga, gb, haa, hab, hbb = ridge * (a - 1), 0.0, ridge, 0.0, 1e-6
-        for (x, y), n in groups.items():
-            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b))))
-            v = n * q * (1 - q)
-            ga, gb = ga + n * (q - y) * x, gb + n * (q - y)
-            haa, hab, hbb = haa + v * x * x, hab + v * x, hbb + v
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        size = max(1.0, abs(da), abs(db))
-        a, b = max(0.05, a - da / size), b - db / size
-        if abs(da) + abs(db) < 1e-9:
+    model.base, model.weights = _weights([(_counts(model, t or ""), y) for t, y in rows])
+    return Model(exact, stems, model.base, model.weights)
+
+
+def _counts(model: Model, text: str) -> tuple[float, ...]:
+    """Of a document's clauses that weigh anything or hold a mark: summed weights of insults, number of threats and of the marks y, n, r."""
+    own, marks = 0.0, Counter()
+    for total, out in model.clauses(text):
+        here = Counter(c for x in out if x[0] in "IT" for c in (x[1:] if x[0] == "I" else x))
+        own += total - sum(PRIOR[c] * n for c, n in here.items())
+        marks += here
+    return own, *(float(marks[c]) for c in "Tynr")
+
+
+def _weights(points: list[tuple[tuple[float, ...], int]], rounds: int = 50) -> tuple[float, dict[str, float]]:
+    """Base score and weights by a logistic fit (Newton steps); a ridge draws the weights to their priors, and none changes its sign."""
+    x = np.array([p for p, _ in points])
+    y = np.array([v for _, v in points], float)
+    x = np.column_stack((x, np.ones(len(x))))
+    names = "ITynr"
+    prior = np.array([*(PRIOR[c] for c in names), -3.0])
+    ridge = np.array([PULL] * len(names) + [1e-6])
+    at = prior.copy()
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (q - y) + ridge * (at - prior)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge), slope)
+        at = at - step / max(1.0, np.abs(step).max())
+        if np.abs(step).sum() < 1e-9:
             break
-    return a, b
+    low, high = [0.05, 0, 0, -np.inf, -np.inf, -np.inf], [np.inf, np.inf, np.inf, 0, 0, np.inf]
+    at = np.clip(at, low, high)
+    return float(at[-1]), dict(zip(names, map(float, at)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """At most `limit` labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, most: int = FIT_BYTES) -> list[tuple[str, int]]:
+    """At most `limit` labelled rows outside the held-out fold, of at most `most` bytes of text in all."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     some = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    used, last = 0, len(sizes)
+    for i, r in enumerate(sizes):
+        used += r.bytes
+        if used > most:
+            last = i
+            break
+    if last < len(sizes):
+        texts = texts.where(F.col("doc_id").isin([r.doc_id for r in sizes[:last]]))
+    rows = texts.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(last or 1).collect() if last else []
     return [(r.text, r.toxic) for r in rows]
 
 
@@ -290,7 +366,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shared.value.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
-    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(released(run), schema)
+    return docs.select(*names, F.col("text").cast("string").alias(unused("text", names))).mapInArrow(released(run), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
