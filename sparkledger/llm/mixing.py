@@ -2,20 +2,22 @@
 
 A source's target is its weight's share of the mix, at most `most` times its size; what a full
 source leaves is shared again by weight, which one pass over the sources in the order of
-(capacity / weight) settles exactly. floor(target / size) whole copies of every document are
-certain. For the rest each document has inclusion odds p / (1 - p), p the fraction still wanted,
-and random odds u / (1 - u); documents are ranked by the quotient and taken in that order until
-their words reach the rest (a document is taken if its middle lies before the end), so a source's
+(capacity / weight) settles exactly. Within a source a document's expected copies m grow with its length: they are
+proportional to the bits of its number of words, at most `most`, and scaled so that the source's expected words are its target.
+floor(m) whole copies are certain. The rest is a fixed-size sample of unequal probabilities p = m - floor(m): a document has
+inclusion odds p / (1 - p) and random odds u / (1 - u); documents are ranked by the quotient and taken in that order until
+their words reach what the certain copies leave (a document is taken if its middle lies before the end), so a source's
 words miss the target by at most half of one document.
 
-No source is sorted in one place: u falls into `buckets` ranges, whose word sums are made with
+No source is sorted in one place: quotients q fall by q / (1 + q) into `buckets` ranges, whose word sums are made with
 map-side combining; a running sum over the buckets of a source finds the one in which its end lies,
 and only the documents of that bucket are ranked. A source then has one cut, (quotient, doc_id), at
-which every document is judged on its own.
+which every document is judged on its own. Expected copies need the word sums of a source's length classes only, of
+which there are 64 at most. One row for each source meets in one task, nothing larger.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is the last
-source; documents with equal doc_id in one source have equal random odds and are taken or left together;
-a source of size 0 has target 0; an empty table gives an empty result; other columns are carried
+source; documents with equal doc_id and length class in one source have equal quotients and are taken or left together;
+a source of size 0 has target 0; an empty table gives an empty result; other columns, whatever their names, are carried
 unchanged by `mix_documents` and ignored by `mix`.
 """
 
@@ -59,52 +61,70 @@ def quotient(u: Column, p: Column) -> Column:
     return F.try_divide(u / (1 - u), p / (1 - p))
 
 
-def cuts(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
-    """sized: doc_id, source, size, u, bucket. One row for each source: source_size, target, copies, p and its cut (last_bucket, end)."""
-    held = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    goal = targets(held.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    goal = cut(goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = held.select(F.col("source").alias("s"), "bucket", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("before"))
-    reached = before.join(goal, F.col("s").eqNullSafe(F.col("source"))).where(F.col("before") < F.col("rest"))
-    last = cut(reached.groupBy("s", "rest", "p").agg(F.max("bucket").alias("last_bucket"), F.max("before").alias("before")))
-    inside = sized.join(small(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket"))).withColumn("at", F.struct(quotient(F.col("u"), F.col("p")).alias("q"), "id"))
-    ranked = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("at"))).withColumn("same", F.sum("size").over(Window.partitionBy("s", "at")))
-    end = ranked.where(F.col("upto") - F.col("same") / 2 < F.col("rest")).groupBy("s").agg(F.max("at").alias("end"))
-    last = last.select(F.col("s").alias("l"), "last_bucket")
-    out = goal.join(last, F.col("l").eqNullSafe(F.col("source")), "left").join(end, F.col("s").eqNullSafe(F.col("source")), "left")
-    return out.select(F.col("source").alias("c_source"), "source_size", "target", "copies", "p", "last_bucket", "end")
-
-
-def _sized(docs: DataFrame, buckets: int) -> DataFrame:
+def shares(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """sized: source, bits, size. For each source and length class: source_size, target, rest (words to be sampled), copies and p."""
+    classes = cut(sized.groupBy("source", "bits").agg(F.sum("size").alias("words")))
+    goal = cut(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most))
+    each = classes.join(goal.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g"))).drop("g")
+    down = Window.partitionBy("source").orderBy(F.desc("bits"))
+    full = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("words") * F.col("bits")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    each = each.withColumn("level", F.try_divide(F.col("target") - F.lit(float(most)) * full, open_.cast("double")))
+    # the longest class that is not full sets the level of all shorter ones
+    level = F.max(F.when(F.col("level") * F.col("bits") <= most, F.struct("bits", "level"))).over(Window.partitionBy("source"))["level"]
+    m = F.when(F.col("source_size") == 0, 0.0).otherwise(F.coalesce(F.least(F.lit(float(most)), level * F.col("bits")), F.lit(float(most))))
+    each = each.withColumn("m", m).withColumn("copies", F.floor("m").cast("long"))
+    certain = F.sum(F.col("copies") * F.col("words")).over(Window.partitionBy("source"))
+    return each.select("source", "bits", "source_size", "target", "copies", (F.col("m") - F.col("copies")).alias("p"), (F.col("target") - certain).alias("rest"))
+
+
+def _ranked(docs: DataFrame, share: DataFrame, buckets: int) -> DataFrame:
+    """docs: doc_id, source, bits. Adds each document's share, its rank `at` (quotient and id) and bucket, null where p is 0."""
+    share = share.withColumnsRenamed({"source": "s_source", "bits": "s_bits"})
     u = draw(F.col("doc_id"))
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "u": u, "bucket": F.floor(u * buckets).cast("int")})
+    q = quotient(u, F.col("p"))
+    met = docs.join(small(share), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bits") == F.col("s_bits"))).drop("s_source", "s_bits")
+    return met.withColumns({"q": q, "bucket": F.floor(q / (1 + q) * buckets).cast("int"), "id": F.coalesce(F.col("doc_id"), F.lit(-(2**63)))})
+
+
+def cuts(ranked: DataFrame) -> DataFrame:
+    """ranked: source, size, rest, q, bucket, id. One row for each source that samples: its cut (last_bucket, end)."""
+    held = cut(ranked.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
+    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).where(F.col("before") < F.col("rest"))
+    last = cut(before.groupBy("source").agg(F.max("bucket").alias("last_bucket"), F.max("before").alias("before")).withColumnRenamed("source", "s"))
+    inside = ranked.join(small(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket"))).withColumn("at", F.struct("q", "id"))
+    placed = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("at"))).withColumn("same", F.sum("size").over(Window.partitionBy("s", "at")))
+    end = placed.where(F.col("upto") - F.col("same") / 2 < F.col("rest")).groupBy("s").agg(F.max("at").alias("end")).withColumnRenamed("s", "e")
+    out = last.join(end, F.col("e").eqNullSafe(F.col("s")), "left")
+    return cut(out.select(F.col("s").alias("c_source"), "last_bucket", "end"))
+
+
+def _times(docs: DataFrame, weights, share: float, most: int, buckets: int) -> DataFrame:
+    """docs: doc_id (long), source, size. Adds source_size, target and times, the copies that the mix takes."""
+    sized = docs.withColumn("bits", F.length(F.bin("size")))
+    plain = cut(sized.select("doc_id", "source", "size", "bits"))
+    parted = cut(shares(plain, weights, share, most))
+    ends = cuts(_ranked(plain, parted, buckets))
+    met = _ranked(sized, parted, buckets).join(small(ends), F.col("source").eqNullSafe(F.col("c_source")), "left")
+    more = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (F.struct("q", "id") <= F.col("end")))
+    return met.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0).cast("long")))
 
 
-def _times(met: DataFrame) -> Column:
-    """Copies of a document that the mix takes."""
-    at = F.struct(quotient(F.col("u"), F.col("p")).alias("q"), "id")
-    more = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (at <= F.col("end")))
-    return F.when(F.col("size") > 0, F.col("copies") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0).cast("long"))
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")]
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs (doc_id, source, text)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"))
-    sized = _sized(cut(plain), buckets)
-    met = sized.join(small(cut(cuts(sized, weights, share, most, buckets))), F.col("source").eqNullSafe(F.col("c_source")))
-    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(met)).alias("taken"))
+    met = _times(cut(docs.select(*_own(docs))), weights, share, most, buckets)
+    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
-    source, ident = F.col("source").cast("string"), F.col("doc_id").cast("long")
-    sized = _sized(docs.select(F.struct("*").alias("row"), ident.alias("doc_id"), source.alias("source"), words(F.col("text").cast("string")).alias("size")), buckets)
-    ends = cuts(_sized(cut(docs.select(ident.alias("doc_id"), source.alias("source"), words(F.col("text").cast("string")).alias("size"))), buckets), weights, share, most, buckets)
-    met = sized.join(small(cut(ends)), F.col("source").eqNullSafe(F.col("c_source")))
-    return met.withColumn("times", _times(met)).where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
+    met = _times(docs.select(F.struct("*").alias("row"), *_own(docs)), weights, share, most, buckets)
+    return met.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +149,26 @@ levels AS (
   FROM weighed),
 goal AS (
   SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, k) FROM levels WHERE level * w <= cap) * w, cap)) AS target FROM levels),
+classes AS (SELECT source, length(bin(size)) AS bits, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+steps AS (
+  SELECT c.*, g.source_size, g.target,
+         (g.target - 2.0::DOUBLE * coalesce(sum(words) OVER down, 0)::DOUBLE) / nullif(sum(words * bits) OVER rest, 0)::DOUBLE AS level
+  FROM classes c JOIN goal g ON c.source IS NOT DISTINCT FROM g.source
+  WINDOW down AS (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         rest AS (PARTITION BY c.source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+expected AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
+            ELSE coalesce(least(2.0::DOUBLE, (arg_max(level, bits) FILTER (level * bits <= 2) OVER (PARTITION BY source)) * bits), 2.0::DOUBLE) END AS m
+  FROM steps),
+shares AS (SELECT *, floor(m) AS copies, m - floor(m) AS p, target - sum(floor(m) * words) OVER (PARTITION BY source) AS rest FROM expected),
 met AS (
-  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS copies
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
+  SELECT d.*, s.source_size, s.target, s.copies, s.rest, CASE WHEN s.p > 0 THEN (u / (1 - u)) / (s.p / (1 - s.p)) END AS q
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source AND length(bin(d.size)) = s.bits),
 ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-            - sum(size) OVER (PARTITION BY source, u, doc_id) / 2.0 AS middle
+  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            - sum(size) OVER (PARTITION BY source, q, doc_id) / 2.0 AS middle
   FROM met)
 SELECT doc_id, size, source_size, target,
-       (size * (copies + CASE WHEN middle < target - copies * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (copies + CASE WHEN q IS NOT NULL AND middle < rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked
 """
