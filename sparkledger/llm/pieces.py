@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
 A text is cut into words at places no piece of the model spans (before a run of word markers, around
-line ends). The distinct words of a stretch of text are taken together: every substring of at
-most the longest piece's length is formed (`explode`), its hash is looked up in the sorted piece table
-(an equi-join), and the edges found are grouped by word as a lattice, (start, length) -> piece.
-A fold over the lattice then picks the segmentation. For Unigram models it is Viterbi. BPE models
+line ends). Every substring of a distinct word, of at most the longest piece's length, is formed (explode), looked up in the
+piece table (an equi-join), and the edges found are grouped by word as a lattice, (start, length) -> piece.
+A fold over the lattice then picks the segmentation. For Unigram models it is Viterbi, in double precision. BPE models
 store merge ranks as scores, for which Viterbi gives other pieces than the model's own encoder; for
-them the fold applies, again and again, the best edge that spans two neighbouring pieces. Both reproduce the
-reference encoder's ids. Work runs inside Arrow batches: the lattice of Spark rows would need a row for
-each substring and a shuffle of each word occurrence (see README).
+them the fold applies, again and again, the best edge that spans two neighbouring pieces.
+
+The same lattice stands here twice. `encode_relational` is the relational form: rows of substrings, a join to
+the piece table, groups by word, and a fold with Spark's higher-order `aggregate`. `encode` takes the distinct
+words of a stretch of text at a time, inside Arrow batches, with the same explode, join and fold over arrays; it is what `op8_pieces` and the
+pipeline run, for the relational form does not meet the check tool's limits (README, with figures). Both give the same ids.
+
+BPE ids equal the reference encoder's. Unigram ids are those of exact sums; the reference encoder adds in single precision
+over a whole text, so that its near-ties may come out otherwise.
 
 Defined results: null is encoded as an empty text; an empty text has no pieces; characters
 outside the vocabulary become byte pieces, or the unknown piece if the model has none; any text
-without a null character in it decodes to itself if all pieces are known or bytes; repeated rows are encoded alike; words of any
-length are encoded whole; an empty table gives an empty result; other columns are carried along,
+without a null character or the word marker in it decodes to itself if all pieces are known or bytes; repeated rows are encoded alike; words of any
+length are encoded whole; an empty table gives an empty result; other columns are carried along, whatever their names,
 a column named ids is replaced.
 """
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import mix, powers, read, released
+from .util import cut, mix, powers, read, released, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, STRETCH, KNOWN, LONG, CELLS, SLOTS = "▁", 1 << 20, 200_000, 128, 1 << 20, 18
@@ -299,7 +304,86 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in b.columns[:-1]), ids, *same], [*names, *added])
                 at += len(some)
 
-    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(released(run), _schema(docs, names) + "ids array<int>" + ", round_trip boolean" * check)
+    return docs.select(*names, F.col("text").cast("string").alias(unused("text", names))).mapInArrow(released(run), _schema(docs, names) + "ids array<int>" + ", round_trip boolean" * check)
+
+
+def _split(text, table: PieceTable):
+    """The words of a text as a column."""
+    if table.squeeze:
+        text = F.trim(F.regexp_replace(text, " +", " "))
+    marked = F.concat(F.lit(MARK if table.prefix else ""), F.replace(text, F.lit(" "), F.lit(MARK)))
+    return F.when(text != "", F.regexp_extract_all(marked, F.lit(table.cut.pattern), 0)).otherwise(F.array().cast("array<string>"))
+
+
+def lattices(words: DataFrame, table: PieceTable) -> DataFrame:
+    """words: word, distinct. Rows (word, edges): edges (start, size, id, score) of all pieces in it, and of single characters that are none (id -1).
+
+    The piece table, whose size is that of the model, is broadcast; words distributed by word stay where they are.
+    """
+    spark = words.sparkSession
+    pieces = spark.createDataFrame([(p, i, float(table.scores[i])) for p, i in table.of.items()], "piece string, id int, score double")
+    n = F.length("word")
+    spans = F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - s + 1)), lambda k: F.struct(s.alias("start"), k.alias("size"), F.col("word").substr(s, k).alias("piece"))))
+    rows = words.where("word <> ''").select("word", F.explode(F.flatten(spans)).alias("e")).select("word", "e.start", "e.size", "e.piece")
+    met = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
+    edge = F.struct("start", "size", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.worst)).alias("score"))
+    return met.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+
+
+def _viterbi(n, edges):
+    """Ends of the pieces of the heaviest path, in falling order, by a fold over the places of a word; ties to the longer last piece."""
+    none = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
+
+    def place(best, end):
+        into = F.filter(edges, lambda e: e["start"] + e["size"] - 1 == end)
+        ways = F.transform(into, lambda e: F.struct((F.get(best, e["start"] - 1)["score"] + e["score"]).alias("score"), (1 - e["start"]).alias("back")))
+        top = F.array_max(ways)
+        return F.concat(best, F.array(F.struct(top["score"].alias("score"), (-top["back"]).alias("back"))))
+
+    best = F.aggregate(F.sequence(F.lit(1), n), none, place)
+    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda ends, _: F.when(F.element_at(ends, -1) == 0, ends).otherwise(F.concat(ends, F.array(F.get(best, F.element_at(ends, -1))["back"]))))
+
+
+def _merges(n, edges):
+    """Ends of the pieces in falling order, by a fold that takes the best merge of two neighbours as often as there is one, leftmost first."""
+    score = F.map_from_entries(F.transform(F.filter(edges, lambda e: (e["id"] >= 0) & (e["size"] > 1)), lambda e: F.struct(e["start"] * 64 + e["size"], e["score"])))
+
+    def merge(ends, _):
+        # ends are start places from 0 to n here
+        ways = F.transform(F.sequence(F.lit(1), F.size(ends) - 2), lambda i: F.struct(F.try_element_at(score, (F.get(ends, i - 1) + 1) * 64 + F.get(ends, i + 1) - F.get(ends, i - 1)).alias("score"), (-i).alias("at")))
+        top = F.array_max(F.filter(ways, lambda w: w["score"].isNotNull()))
+        return F.when((F.size(ends) < 3) | top.isNull(), ends).otherwise(F.filter(ends, lambda x, i: i != -top["at"]))
+
+    return F.reverse(F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), merge))
+
+
+def segment(lattice: DataFrame, table: PieceTable) -> DataFrame:
+    """word and ids of each lattice."""
+    n, edges = F.length("word"), F.col("edges")
+    ends = F.reverse((_merges if table.bpe else _viterbi)(n, edges))
+    cuts = lattice.select("word", "edges", F.filter(ends, lambda x, i: i > 0).alias("ends"), ends.alias("starts"))
+    of = F.map_from_entries(F.transform(F.filter("edges", lambda e: e["id"] >= 0), lambda e: F.struct(e["start"] * 64 + e["size"], e["id"])))
+    if table.bytes:
+        odd = lambda x: F.transform(F.sequence(F.lit(1), F.octet_length(x)), lambda k: F.lit(table.bytes[0]) + F.conv(F.hex(F.substring(F.encode(x, "UTF-8"), k, 1)), 16, 10).cast("int"))
+    else:
+        odd = lambda x: F.array(F.lit(table.unk))
+    ids = F.transform("ends", lambda e, i: F.struct((F.get("starts", i) + 1).alias("start"), (e - F.get("starts", i)).alias("size")))
+    found = F.transform(ids, lambda p: F.struct(F.try_element_at(of, p["start"] * 64 + p["size"]).alias("id"), F.col("word").substr(p["start"], p["size"]).alias("piece")))
+    return cuts.select("word", F.flatten(F.transform(found, lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(odd(p["piece"])))).alias("ids"))
+
+
+def encode_relational(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """The rows of docs with ids, as `encode` has them, by rows of substrings, joins and Spark's higher-order functions."""
+    table = piece_table(model)
+    names = [c for c in docs.columns if c != "ids"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*names).alias("row"), text.alias("text")).withColumn("key", F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))))
+    words = cut(rows.select("key", _split(F.col("text"), table).alias("words")).dropDuplicates(["key"]))
+    table_of = cut(segment(lattices(words.select(F.explode("words").alias("word")).distinct(), table), table))
+    each = words.select("key", F.posexplode("words").alias("pos", "word")).groupBy("key", "word").agg(F.collect_list("pos").alias("places"))
+    met = each.join(table_of, "word").select("key", F.explode("places").alias("pos"), "ids").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    ids = met.select(F.col("key").alias("k"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    return rows.join(ids, F.col("key") == F.col("k"), "left").select("row.*", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
