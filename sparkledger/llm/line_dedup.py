@@ -9,7 +9,7 @@ host is dealt over many tasks.
 
 Defined results: a null or empty text has no lines; blank lines are neither counted nor dropped; a
 line that repeats within a page counts once and goes from all its places; a null host is a host of
-its own; hosts with fewer than `min_pages` pages and lines on fewer than `min_copies` pages lose
+its own (op3 takes the host of the URL in lower case, without user and port); hosts with fewer than `min_pages` pages and lines on fewer than `min_copies` pages lose
 nothing; repeated rows are separate pages; an empty table gives an empty result; other columns are
 carried in the struct `row`, whatever their names.
 """
@@ -26,7 +26,7 @@ SMALL_LINES, SALTS = 200_000, 32
 
 #: Lines of a web page: scripts and styles go, tags end lines, outer spaces go.
 SCRIPT_RE, TAG_RE = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", r"<[^>]*>"
-HOST_RE = r"^[a-zA-Z]+://([^/:?#]+)"
+HOST_RE = r"^[a-zA-Z]+://(?:[^/?#@]*@)?([^/:?#@]+)"
 
 
 def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES, once: bool = False) -> DataFrame:
@@ -77,14 +77,14 @@ def html_lines(html: Column) -> Column:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every page: its lines, how many of them are its host's boilerplate, and the digest of the rest."""
-    host = F.nullif(F.regexp_extract("url", HOST_RE, 1), F.lit(""))
+    host = F.nullif(F.lower(F.regexp_extract("url", HOST_RE, 1)), F.lit(""))
     out = line_dedup(read(spark, sf_dir, "pages").select("page_id", "url", "html"), host, html_lines(F.col("html")))
     return out.select("row.page_id", "n_lines", "n_dropped", F.sha2(F.array_join("lines", "\n"), 256).alias("kept_sha256"))
 
 
 OP3_SQL = f"""
 WITH split AS (
-  SELECT page_id, row_number() OVER () AS rid, nullif(regexp_extract(url, '{HOST_RE}', 1), '') AS host,
+  SELECT page_id, row_number() OVER () AS rid, nullif(lower(regexp_extract(url, '{HOST_RE}', 1)), '') AS host,
          coalesce(list_transform(string_split(regexp_replace(regexp_replace(html, '{SCRIPT_RE}', chr(10), 'g'), '{TAG_RE}', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), []) AS lines
   FROM pages),
 each AS (SELECT DISTINCT rid, host, line FROM (SELECT rid, host, unnest(lines) AS line FROM split) WHERE line <> ''),
