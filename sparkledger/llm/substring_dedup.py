@@ -2,14 +2,16 @@
 
 Every window of `window` words belongs to one anchor, its smallest `gram`-word hash, so equal windows
 have equal anchors. Windows under one anchor that stand side by side form a segment, also in text
-that repeats itself; a segment has LONGEST windows at most. A segment whose anchor stands nowhere else cannot hold a repeated window; the others meet by anchor
+that repeats itself; a segment has LONGEST windows at most. Anchors are counted with map-side combining; a segment whose
+anchor stands nowhere else cannot hold a repeated window, the others meet by anchor
 in shards. A shard indexes its distinct segments (wavelet matrix over the Burrows-Wheeler
-transform, suffix counts weighted by the copies of a segment), and the same segments are streamed
-through backward search, whose matching statistics tell which windows occur again. An anchor with
-more than `shard_rows` segments is split over several shards; the windows that are single in such a
-shard then meet once more by their own hash, so nothing is capped and no shard is unbounded.
+transform, suffix counts weighted by the copies of a segment), and the windows of the same segments are streamed
+through backward search, which starts from the suffix interval of a window's last words (32 for windows of 35), kept
+from the sort, and whose matching statistics tell which windows occur again. An anchor with
+more than `shard_rows` segments is dealt over several shards by a hash of the segment; the windows that are single in such a
+shard then meet once more by anchor and their own hash, so nothing is capped and no shard is unbounded.
 
-Words are compared by 64-bit hashes over windows of 35 words.
+Words are compared by 64-bit hashes over windows of 35 words, documents by two 64-bit hashes.
 
 Defined results: null or empty text has 0 words, nothing removed and the digest of the empty
 string; fewer words than a window: nothing removed; repeated rows are copies of each other, so
@@ -26,22 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import mix, read, run_hashes, word_hashes, word_spans
+from .util import cut, mix, read, run_hashes, small, word_hashes, word_spans
 
-WINDOW, GRAM, SHARD_ROWS, INDEX_WORDS, LONGEST = 35, 8, 4096, 1_200_000, 512
+WINDOW, GRAM, SHARD_ROWS, INDEX_WORDS, LONGEST, QUERIES = 35, 8, 4096, 1_200_000, 512, 1 << 16
 
 
 class FMIndex:
-    """FM-index of sequences of integers from 1; each sequence ends in a separator of its own."""
+    """FM-index of sequences of integers from 1; each sequence ends in a separator of its own.
 
-    def __init__(self, text: np.ndarray, offsets: np.ndarray, weights: np.ndarray):
+    Suffixes are sorted by their first `depth` symbols or more, which is enough for patterns of that length.
+    For each position the suffix interval of the `known` symbols that begin there is kept from the sort, so
+    that a search starts with an interval of so many symbols (a table of k-mers).
+    """
+
+    def __init__(self, text: np.ndarray, offsets: np.ndarray, weights: np.ndarray, depth: int):
         """text: symbols, 0 at each separator; offsets: start of each sequence; weights: copies of each."""
         n, k = len(text), len(offsets)
         self.text, self.n = text, n
+        self.known = 1 << (depth.bit_length() - 1)
         seps = np.flatnonzero(text == 0)
         first = text + (k - 1)
         first[seps] = np.arange(k)
-        sa, rank = self._sort(first)
+        sa, self.lo, self.hi = self._sort(first, self.known, depth)
         bwt = text[sa - 1]
         sigma = int(text.max()) + 1
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))[:sigma]
@@ -61,20 +69,32 @@ class FMIndex:
         self.base = self._down(symbols, np.zeros(sigma, np.int64))
 
     @staticmethod
-    def _sort(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order by prefix doubling."""
+    def _sort(first: np.ndarray, known: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix order by prefix doubling of what is not in order yet, and the interval of each position's first `known` symbols.
+
+        A suffix's rank is the place where the run of its equals begins.
+        """
         n, h = len(first), 1
-        rank = first.astype(np.int64)
-        sa = np.argsort(rank, kind="stable")
+        sa = np.argsort(first)
+        open_, key = np.arange(n), first[sa]
+        rank, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lo = hi = None
         while True:
-            s = rank[sa]
-            new = np.empty(n, np.int64)
-            new[sa] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
-            if n == 0 or new[sa[-1]] == n - 1:
-                return sa, new
-            rank = new * (n + 1)
-            rank[: n - h] += new[h:] + 1
-            sa = np.argsort(rank, kind="stable")
+            if len(open_):
+                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                size = np.diff(np.append(start, len(key)))
+                i = sa[open_]
+                rank[i] = np.repeat(open_[start], size)
+                end[i] = np.repeat(open_[start] + size, size)
+                open_ = open_[np.repeat(size, size) > 1]
+            if h == known:
+                lo, hi = rank.copy(), end.copy()
+            if h >= depth:
+                return sa, lo, hi
+            i = sa[open_]
+            key = rank[i] * (n + 1) + np.where(i + h < n, rank[np.minimum(i + h, n - 1)] + 1, 0)
+            order = np.argsort(key)
+            sa[open_], key = i[order], key[order]
             h *= 2
 
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -91,39 +111,27 @@ class FMIndex:
         shift = self.before[c] - self.base[c]
         return both[: len(c)] + shift, both[len(c) :] + shift
 
-    def reach(self, end: np.ndarray, floor: np.ndarray) -> np.ndarray:
-        """For each query the smallest j >= floor such that text[j:end] occurs at least twice."""
-        j, p = end.copy(), end - 1
-        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
-        act = np.flatnonzero(p >= floor)
-        while act.size:
-            left, right = self.step(self.text[p[act]], lo[act], hi[act])
-            again = self.weight[right] - self.weight[left] >= 2
-            act = act[again]
-            lo[act], hi[act], j[act] = left[again], right[again], p[act]
-            p[act] -= 1
-            act = act[p[act] >= floor[act]]
-        return j
-
-    def repeated(self, start: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
-        """Marks, over the text, the starts of windows that occur at least twice."""
-        marks = np.zeros(self.n + 1, np.int64)
-        j = self.reach(end, start)
-        hit = end - j >= window
-        np.add.at(marks, j[hit], 1)
-        np.add.at(marks, (end - window + 1)[hit], -1)
-        last = np.where(hit, j - 1, end - window - 1)
-        act = np.flatnonzero(start <= last)
-        u, last = start[act], last[act]
-        while u.size:
-            j = self.reach(u + window, u)
-            hit = j == u
-            np.add.at(marks, u[hit], 1)
-            np.add.at(marks, u[hit] + 1, -1)
-            u = np.where(hit, u + 1, j)
-            go = u <= last
-            u, last = u[go], last[go]
-        return np.cumsum(marks[:-1]) > 0
+    def reach(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Matching statistics: for each query the smallest j >= start such that text[j:end] occurs at least twice, or end if its last `known` symbols do not."""
+        j = end - self.known
+        lo, hi = self.lo[j], self.hi[j]
+        act = np.flatnonzero(self.weight[hi] - self.weight[lo] >= 2)
+        out = end.copy()
+        out[act] = j[act]
+        lo, hi = lo[act], hi[act]
+        while True:
+            more = out[act] > start[act]
+            act, lo, hi = act[more], lo[more], hi[more]
+            if not act.size:
+                return out
+            lo, hi = self.step(self.text[out[act] - 1], lo, hi)
+            again = self.weight[hi] - self.weight[lo] >= 2
+            act, lo, hi = act[again], lo[again], hi[again]
+            out[act] -= 1
+
+    def repeated(self, start: np.ndarray, window: int) -> np.ndarray:
+        """Whether the windows that begin at these positions occur at least twice."""
+        return np.concatenate([np.zeros(0, bool)] + [self.reach(p, p + window) == p for p in np.split(start, range(QUERIES, len(start), QUERIES))])
 
 
 def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,17 +156,16 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
 def _emit_anchors(window: int, gram: int):
     def run(batches):
         for b in batches:
-            keys, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary())
             out = []
-            for key, t in zip(keys, texts):
+            for key, key2, t in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())):
                 data = t.as_py()
                 s, e = word_spans(data)
                 if len(s) >= window:
                     a, *rest = _anchors(word_hashes(data, s, e), window, gram)
-                    out.append((np.full(len(a), key), a.view(np.int64), *rest))
+                    out.append((np.full(len(a), key), np.full(len(a), key2), a.view(np.int64), *rest))
             if out:
-                k, a, f, n, twice = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(twice)], ["key", "anchor", "first", "n", "twice"])
+                k, k2, a, f, n, twice = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(k2), pa.array(a), pa.array(f, pa.int64()), pa.array(n, pa.int32()), pa.array(twice)], ["key", "key2", "anchor", "first", "n", "twice"])
 
     return run
 
@@ -167,34 +174,36 @@ def _emit_segments(window: int):
     def run(batches):
         for b in batches:
             texts = b.column(2).cast(pa.binary())
-            rows = {x: [] for x in ("shard", "split", "key", "first", "n", "words")}
-            for key, t, segs in zip(b.column(0).to_pylist(), texts, b.column(3).to_pylist()):
+            rows = {x: [] for x in ("shard", "anchor", "split", "key", "key2", "first", "n", "words")}
+            for key, key2, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(3).to_pylist()):
                 data = t.as_py()
                 s, e = word_spans(data)
                 for g in segs:
                     f, n = g["first"], g["n"]
-                    for name, v in zip(rows, (g["shard"], g["split"], key, f, n, data[s[f] : e[f + n + window - 2]])):
+                    for name, v in zip(rows, (g["shard"], g["anchor"], g["split"], key, key2, f, n, data[s[f] : e[f + n + window - 2]])):
                         rows[name].append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
     return run
 
 
 def _search(rows: list[tuple], window: int):
-    """Intervals of repeated windows for the segments of one index: key, lo, hi, hash, known."""
-    shard, split, key, first, n, words = zip(*rows)
+    """Intervals of repeated windows for the segments of one index: key, key2, lo, hi, anchor, hash, known."""
+    shard, anchor, split, key, key2, first, n, words = zip(*rows)
     data = b" ".join(words)
     s, e = word_spans(data)
     h = word_hashes(data, s, e)
-    n, key, first, split = np.array(n, np.int64), np.array(key, np.int64), np.array(first, np.int64), np.array(split, bool)
+    anchor, key, key2, first, n, split = (np.array(x, np.int64) for x in (anchor, key, key2, first, n, split))
     size = n + window - 1
     off = np.cumsum(size) - size
     full = np.zeros(len(h) + 1, np.uint64)
     prefix = np.zeros(len(h) + 1, np.uint64)
+    plain = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(mix(h + np.uint64(7)), dtype=np.uint64, out=full[1:])
     np.cumsum(h * np.arange(1, len(h) + 1, dtype=np.uint64), dtype=np.uint64, out=prefix[1:])
-    ident = mix(prefix[off + size] - prefix[off] - off.astype(np.uint64) * (np.cumsum(np.append(np.uint64(0), h), dtype=np.uint64)[off + size] - np.cumsum(np.append(np.uint64(0), h), dtype=np.uint64)[off])) ^ (full[off + size] - full[off])
+    np.cumsum(h, dtype=np.uint64, out=plain[1:])
+    ident = mix(prefix[off + size] - prefix[off] - off.astype(np.uint64) * (plain[off + size] - plain[off])) ^ (full[off + size] - full[off])
     ident = mix(ident + np.array(shard, np.int64).view(np.uint64))
     _, pick, inverse, count = np.unique(ident, return_index=True, return_inverse=True, return_counts=True)
     lens = size[pick]
@@ -204,12 +213,11 @@ def _search(rows: list[tuple], window: int):
     src, dst = np.repeat(off[pick], lens) + inner, np.repeat(start, lens) + inner
     _, sym = np.unique(h[src], return_inverse=True)
     text[dst] = sym + 1
-    marks = FMIndex(text, start, count).repeated(start, start + lens, window)
-    # runs of marked windows in each distinct segment, then for each of its copies
+    # runs of repeated windows in each distinct segment, then for each of its copies
     wins = n[pick]
     inner = np.arange(int(wins.sum())) - np.repeat(np.cumsum(wins) - wins, wins)
     seg = np.repeat(np.arange(len(pick)), wins)
-    hit = marks[np.repeat(start, wins) + inner]
+    hit = FMIndex(text, start, count, window).repeated(np.repeat(start, wins) + inner, window)
     opens = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (seg[1:] != seg[:-1]))))
     closes = np.flatnonzero(hit & np.concatenate((~hit[1:] | (seg[1:] != seg[:-1]), [True])))
     runs = np.bincount(seg[opens], minlength=len(pick))
@@ -223,27 +231,30 @@ def _search(rows: list[tuple], window: int):
 
     r, i = spread(runs, at)
     lo, hi = first[r] + inner[opens[i]], first[r] + inner[closes[i]]
-    own = mix(key[r].view(np.uint64) + mix(lo.view(np.uint64)))
-    out = [(key[r], lo, hi, own.view(np.int64), np.ones(len(r), bool))]
+    own = mix(key[r].view(np.uint64) + mix(lo.view(np.uint64))).view(np.int64)
+    out = [(key[r], key2[r], lo, hi, own, own, np.ones(len(r), bool))]
     if split.any():
         whole = np.zeros(len(text), np.uint64)
         whole[dst] = h[src]
-        wh = np.append(run_hashes(whole, window), np.zeros(window, np.uint64))[np.repeat(start, wins) + inner]
-        in_split = split[pick][seg]
-        seen = np.unique(wh[hit & in_split])
+        wh = np.append(run_hashes(whole, window), np.zeros(window, np.uint64))[np.repeat(start, wins) + inner].view(np.int64)
+        in_split = split[pick][seg] > 0
+        again = np.flatnonzero(hit & in_split)
+        seen = np.unique(np.stack((anchor[pick[seg[again]]], wh[again])), axis=1)
         single = np.flatnonzero(~hit & in_split)  # in one segment without copies, so of one row
         row = pick[seg[single]]
         pos = first[row] + inner[single]
-        out.append((key[row], pos, pos, wh[single].view(np.int64), np.zeros(len(row), bool)))
-        none = np.full(len(seen), -1, np.int64)
-        out.append((none, none, none, seen.view(np.int64), np.ones(len(seen), bool)))
+        out.append((key[row], key2[row], pos, pos, anchor[row], wh[single], np.zeros(len(row), bool)))
+        none = np.full(seen.shape[1], -1, np.int64)
+        out.append((none, none, none, none, seen[0], seen[1], np.ones(seen.shape[1], bool)))
     return [np.concatenate(x) for x in zip(*out)]
 
 
+FOUND = ["key", "key2", "lo", "hi", "anchor", "wh", "known"]
+
+
 def _index_shards(window: int, index_words: int):
     def result(rows):
-        k, lo, hi, wh, known = _search(rows, window)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(lo), pa.array(hi), pa.array(wh), pa.array(known)], ["key", "lo", "hi", "wh", "known"])
+        return pa.RecordBatch.from_arrays(list(map(pa.array, _search(rows, window))), FOUND)
 
     def run(batches):
         rows, words, last = [], 0, None
@@ -253,7 +264,7 @@ def _index_shards(window: int, index_words: int):
                     yield result(rows)
                     rows, words = [], 0
                 rows.append(row)
-                words += row[4] + window - 1
+                words += row[6] + window - 1
                 last = row[0]
         if rows:
             yield result(rows)
@@ -286,18 +297,19 @@ def _apply(window: int):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows: int = SHARD_ROWS, index_words: int = INDEX_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text for every row of docs (doc_id, text)."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    anchors = keyed.where("text is not null").select("key", "text").mapInArrow(_emit_anchors(window, gram), "key long, anchor long, first long, n int, twice boolean")
-    w = Window.partitionBy("anchor")
-    met = anchors.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(w.orderBy("key", "first"))).where("copies > 1 or twice")
-    split = F.col("copies") > shard_rows
-    shard = F.when(split, F.xxhash64("anchor", F.floor((F.col("nth") - 1) / shard_rows))).otherwise(F.xxhash64("anchor"))
-    of_doc = met.groupBy("key").agg(F.collect_set(F.struct("first", "n", shard.alias("shard"), split.alias("split"))).alias("segs"))
-    segments = keyed.join(of_doc.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "segs").mapInArrow(_emit_segments(window), "shard long, split boolean, key long, first long, n int, words binary")
-    found = segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_index_shards(window, index_words), "key long, lo long, hi long, wh long, known boolean")
-    again = found.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("wh"))).where("lo >= 0 and (known or met > 1)")
-    spans = again.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(spans.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "spans").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text", "doc_id", F.lit(gram)).alias("key2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    anchors = cut(keyed.where("text is not null").select("key", "key2", "text").mapInArrow(_emit_anchors(window, gram), "key long, key2 long, anchor long, first long, n int, twice boolean"))
+    met = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies"), F.bool_or("twice").alias("twice")).where("copies > 1 or twice").select("anchor", "copies"))
+    # a crowded anchor is dealt over shards by a hash of the segment
+    parts = F.ceil(F.col("copies") / shard_rows)
+    shard = F.when(parts > 1, F.xxhash64("anchor", F.pmod(F.xxhash64("key", "first"), parts))).otherwise(F.col("anchor"))
+    segment = F.struct("first", "n", shard.alias("shard"), "anchor", (parts > 1).alias("split"))
+    of_doc = anchors.join(small(met), "anchor").groupBy("key", "key2").agg(F.collect_set(segment).alias("segs"))
+    segments = keyed.join(of_doc.hint("shuffle_hash"), ["key", "key2"]).select("key", "key2", "text", "segs").mapInArrow(_emit_segments(window), "shard long, anchor long, split boolean, key long, key2 long, first long, n int, words binary")
+    found = segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_index_shards(window, index_words), "key long, key2 long, lo long, hi long, anchor long, wh long, known boolean")
+    again = found.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor", "wh"))).where("lo >= 0 and (known or met > 1)")
+    spans = again.groupBy("key", "key2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return keyed.join(spans.hint("shuffle_hash"), ["key", "key2"], "left").select("key", "doc_id", "text", "spans").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
