@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import cut, mix, read, run_hashes, small, word_hashes, word_spans
+from .util import cut, drop, mix, read, run_hashes, small, word_hashes, word_spans
 
 WINDOW, GRAM, SHARD_ROWS, INDEX_WORDS, LONGEST, QUERIES = 35, 8, 4096, 1_200_000, 512, 1 << 16
 
@@ -173,16 +173,16 @@ def _emit_anchors(window: int, gram: int):
 def _emit_segments(window: int):
     def run(batches):
         for b in batches:
-            texts = b.column(2).cast(pa.binary())
-            rows = {x: [] for x in ("shard", "anchor", "split", "key", "key2", "first", "n", "words")}
-            for key, key2, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(3).to_pylist()):
+            texts = b.column(3).cast(pa.binary())
+            rows = {x: [] for x in ("anchor", "part", "key", "key2", "first", "n", "words")}
+            for key, key2, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(4).to_pylist()):
                 data = t.as_py()
                 s, e = word_spans(data)
                 for g in segs:
                     f, n = g["first"], g["n"]
-                    for name, v in zip(rows, (g["shard"], g["anchor"], g["split"], key, key2, f, n, data[s[f] : e[f + n + window - 2]])):
+                    for name, v in zip(rows, (g["anchor"], g["part"], key, key2, f, n, data[s[f] : e[f + n + window - 2]])):
                         rows[name].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
 
     return run
@@ -190,11 +190,11 @@ def _emit_segments(window: int):
 
 def _search(rows: list[tuple], window: int):
     """Intervals of repeated windows for the segments of one index: key, key2, lo, hi, anchor, hash, known."""
-    shard, anchor, split, key, key2, first, n, words = zip(*rows)
+    anchor, part, key, key2, first, n, words = zip(*rows)
     data = b" ".join(words)
     s, e = word_spans(data)
     h = word_hashes(data, s, e)
-    anchor, key, key2, first, n, split = (np.array(x, np.int64) for x in (anchor, key, key2, first, n, split))
+    anchor, part, key, key2, first, n = (np.array(x, np.int64) for x in (anchor, part, key, key2, first, n))
     size = n + window - 1
     off = np.cumsum(size) - size
     full = np.zeros(len(h) + 1, np.uint64)
@@ -204,7 +204,7 @@ def _search(rows: list[tuple], window: int):
     np.cumsum(h * np.arange(1, len(h) + 1, dtype=np.uint64), dtype=np.uint64, out=prefix[1:])
     np.cumsum(h, dtype=np.uint64, out=plain[1:])
     ident = mix(prefix[off + size] - prefix[off] - off.astype(np.uint64) * (plain[off + size] - plain[off])) ^ (full[off + size] - full[off])
-    ident = mix(ident + np.array(shard, np.int64).view(np.uint64))
+    ident = mix(ident + mix(anchor.view(np.uint64) + mix(part.view(np.uint64))))
     _, pick, inverse, count = np.unique(ident, return_index=True, return_inverse=True, return_counts=True)
     lens = size[pick]
     start = np.cumsum(lens + 1) - (lens + 1)
@@ -233,11 +233,11 @@ def _search(rows: list[tuple], window: int):
     lo, hi = first[r] + inner[opens[i]], first[r] + inner[closes[i]]
     own = mix(key[r].view(np.uint64) + mix(lo.view(np.uint64))).view(np.int64)
     out = [(key[r], key2[r], lo, hi, own, own, np.ones(len(r), bool))]
-    if split.any():
+    if (part >= 0).any():
         whole = np.zeros(len(text), np.uint64)
         whole[dst] = h[src]
         wh = np.append(run_hashes(whole, window), np.zeros(window, np.uint64))[np.repeat(start, wins) + inner].view(np.int64)
-        in_split = split[pick][seg] > 0
+        in_split = part[pick][seg] >= 0
         again = np.flatnonzero(hit & in_split)
         seen = np.unique(np.stack((anchor[pick[seg[again]]], wh[again])), axis=1)
         single = np.flatnonzero(~hit & in_split)  # in one segment without copies, so of one row
@@ -260,12 +260,12 @@ def _index_shards(window: int, index_words: int):
         rows, words, last = [], 0, None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if words >= index_words and row[0] != last:
+                if words >= index_words and row[:2] != last:
                     yield result(rows)
                     rows, words = [], 0
                 rows.append(row)
-                words += row[6] + window - 1
-                last = row[0]
+                words += row[5] + window - 1
+                last = row[:2]
         if rows:
             yield result(rows)
 
@@ -276,7 +276,7 @@ def _apply(window: int):
     def run(batches):
         for b in batches:
             total, removed, digest = [], [], []
-            for t, spans in zip(b.column(2).cast(pa.binary()), b.column(3).to_pylist()):
+            for t, spans in zip(b.column(3).cast(pa.binary()), b.column(4).to_pylist()):
                 words = (t.as_py() or b"").split()
                 if spans:
                     keep = np.zeros(len(words) + 1, np.int64)
@@ -290,7 +290,7 @@ def _apply(window: int):
                 removed.append(len(words) - len(kept))
                 digest.append(b" ".join(kept))
             sha = [hashlib.sha256(x).hexdigest() for x in digest]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(digest, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(digest, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -300,16 +300,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text", "doc_id", F.lit(gram)).alias("key2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     anchors = cut(keyed.where("text is not null").select("key", "key2", "text").mapInArrow(_emit_anchors(window, gram), "key long, key2 long, anchor long, first long, n int, twice boolean"))
     met = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies"), F.bool_or("twice").alias("twice")).where("copies > 1 or twice").select("anchor", "copies"))
-    # a crowded anchor is dealt over shards by a hash of the segment
+    # a crowded anchor is dealt over parts by a hash of the segment; -1: the only part
     parts = F.ceil(F.col("copies") / shard_rows)
-    shard = F.when(parts > 1, F.xxhash64("anchor", F.pmod(F.xxhash64("key", "first"), parts))).otherwise(F.col("anchor"))
-    segment = F.struct("first", "n", shard.alias("shard"), "anchor", (parts > 1).alias("split"))
-    of_doc = anchors.join(small(met), "anchor").groupBy("key", "key2").agg(F.collect_set(segment).alias("segs"))
-    segments = keyed.join(of_doc.hint("shuffle_hash"), ["key", "key2"]).select("key", "key2", "text", "segs").mapInArrow(_emit_segments(window), "shard long, anchor long, split boolean, key long, key2 long, first long, n int, words binary")
-    found = segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(_index_shards(window, index_words), "key long, key2 long, lo long, hi long, anchor long, wh long, known boolean")
+    part = F.when(parts > 1, F.pmod(F.xxhash64("key", "first"), parts)).otherwise(-1).cast("int")
+    of_doc = cut(anchors.join(small(met), "anchor").groupBy("key", "key2").agg(F.collect_set(F.struct("first", "n", "anchor", part.alias("part"))).alias("segs")))
+    drop(anchors, met)
+    # the same columns as in the last join, so that both share one shuffle of the texts
+    segments = keyed.join(of_doc.hint("shuffle_hash"), ["key", "key2"]).select("key", "key2", "doc_id", "text", "segs").mapInArrow(_emit_segments(window), "anchor long, part int, key long, key2 long, first long, n int, words binary")
+    found = segments.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_index_shards(window, index_words), "key long, key2 long, lo long, hi long, anchor long, wh long, known boolean")
     again = found.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor", "wh"))).where("lo >= 0 and (known or met > 1)")
     spans = again.groupBy("key", "key2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(spans.hint("shuffle_hash"), ["key", "key2"], "left").select("key", "doc_id", "text", "spans").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return keyed.join(spans.hint("shuffle_hash"), ["key", "key2"], "left").select("key", "key2", "doc_id", "text", "spans").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
