@@ -31,7 +31,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .util import components, cut, drop, mix, read, released, small
@@ -227,8 +227,9 @@ def _often(texts: DataFrame, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of frequent shingles of a sample of texts. They only order and deal the shingles: any order gives the same pairs."""
     every = max(1, min(SAMPLE, texts.count() // 4096))
     part = texts.where(F.pmod(F.xxhash64("rid", F.lit(SEED)), F.lit(every)) == 0).select("rid", "text").mapInArrow(released(_pair_sets(gram)), "rid long, hs array<long>")
-    rows = part.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(OFTEN).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    rows = part.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(OFTEN).toArrow()
+    h, n = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "n"))
+    h = h.view(np.uint64)
     order = np.argsort(h)
     return h[order], n[order] * every
 
@@ -281,6 +282,14 @@ def _can(na, pa_, nb, pb, similarity: float):
     return (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= _need(na + nb, similarity)) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6)
 
 
+def _possible(low: Column, high: Column, similarity: float) -> Column:
+    """As `_can`, for two rows of a bucket, the smaller set first."""
+    na, nb = F.shiftright(low, 32), F.shiftright(high, 32)
+    pa_, pb = low.bitwiseAND(F.lit(0xFFFFFFFF)), high.bitwiseAND(F.lit(0xFFFFFFFF))
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (na + nb) - 1e-6)
+    return (F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need) & (na >= F.lit(similarity) * nb - 1e-6)
+
+
 def parity(h: np.ndarray) -> bytes:
     """At least 2 len(h) bits, a power of two, each the parity of the members of h that fall on it: two sets differ in no more bits than members.
 
@@ -438,7 +447,9 @@ def _completed(texts: DataFrame, edges: DataFrame, gram: int, similarity: float)
     """
     often, counts = _often(texts, gram)
     rows = texts.select("rid", "text").mapInArrow(released(_prefixes(gram, similarity, often, counts)), "bucket long, salt int, rid long, at long")
-    live = cut(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket", "salt"))).where("n > 1 or salt > 0").select("bucket", "rid", "at"))
+    w = Window.partitionBy("bucket", "salt")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(w), "low": F.min("at").over(w), "high": F.max("at").over(w)})
+    live = cut(rows.where((F.col("salt") > 0) | (F.col("n") > 2) | (F.col("n") == 2) & _possible(F.col("low"), F.col("high"), similarity)).select("bucket", "rid", "at"))
     tied, tested = components(edges), None
     for find in (_head_pairs, _other_pairs):
         pairs = find(texts, live, tied, gram, similarity)
@@ -471,24 +482,25 @@ def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS
     """The rows of docs, with all their columns, of which each group of near-duplicates keeps one.
 
     The one that stays has the smallest doc_id (null last; then the smallest hash of its text).
-    Exact copies are folded by hash first; the row kept among repeated rows is any of them.
+    Exact copies are folded by two 64-bit hashes first; the row kept among repeated rows is any of them.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rid, row_id = F.xxhash64(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    key = ["rid", "id"]
-    copies = cut(docs.select(rid.alias("rid"), row_id.alias("id")).groupBy("rid", "id").agg(F.count(F.lit(1)).alias("n")))
-    least = copies.groupBy("rid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("ids"))
-    more = cut(copies.join(cut(least.where("ids > 1")), "rid").where("id > least").select(*key))
+    key = ["rid", "check", "id"]
+    ids = [F.xxhash64(text).alias("rid"), F.xxhash64(text, F.lit(1)).alias("check"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id")]
+    copies = cut(docs.select(*ids).groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    least = cut(copies.groupBy("rid", "check").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("ids")).where("ids > 1"))
+    more = cut(copies.join(least, ["rid", "check"]).where("id > least").select(*key))
     again = cut(copies.where("n > 1").select(*key))
-    texts = docs.select(rid.alias("rid"), row_id.alias("id"), text.alias("text")).join(small(more), key, "left_anti")
+    texts = docs.select(*ids, text.alias("text")).join(small(more), key, "left_anti")
     if not again.isEmpty():
         texts = texts.join(small(again), key, "left_anti").union(texts.join(small(again), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")))
     comp = near_components(texts.select("rid", "text"), gram, radius, blocks, similarity)
-    named = copies.groupBy("rid").agg(F.min("id").alias("id")).join(small(comp.withColumnRenamed("node", "rid")), "rid").withColumn("component", F.coalesce("component", "rid"))
-    first = named.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("k")).select("component", "k.id", "k.rid")
-    gone = cut(named.join(first.toDF("component", "k_id", "k_rid"), "component").where("rid <> k_rid").select(*key).union(more))
-    drop(copies, more, comp)
-    tagged = docs.select(F.struct("*").alias("row"), rid.alias("rid"), row_id.alias("id")).join(small(gone), key, "left_anti")
+    named = copies.groupBy("rid").agg(F.min("id").alias("id")).join(small(comp.withColumnRenamed("node", "rid")), "rid")
+    first = named.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("k")).select("component", F.col("k.rid").alias("kept"))
+    lost = cut(named.join(first, "component").where("rid <> kept").select("rid"))
+    gone = cut(copies.join(small(lost), "rid", "left_semi").select(*key).union(more))
+    drop(copies, least, more, comp, lost)
+    tagged = docs.select(F.struct("*").alias("row"), *ids).join(small(gone), key, "left_anti")
     if again.isEmpty():
         return tagged.select("row.*")
     return tagged.join(small(again), key, "left_anti").select("row.*").union(tagged.join(small(again), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*"))

@@ -66,7 +66,7 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 #: Rows of keys that may be broadcast; more are joined by a shuffle.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 250_000
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
