@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 from collections import Counter
 
@@ -157,11 +158,18 @@ def test_token_files(spark, tmp_path):
         assert [(r.file, r.ordinal, r.n_tokens) for r in got] == [(7, i, n) for i, n in enumerate([*lengths, 4])]
 
 
-def test_token_counts_of_documents(spark):
-    written = token_counts.write_token_files(docs(spark, TEXTS), util.scratch(spark, "tokens"))
+def test_op4_query(spark, tmp_path):
+    """Every document's count, not their sum: null, empty, blank, repeated, long texts and null ids."""
     enc = token_counts.encoder(token_counts.TOKENIZER)
-    total = token_counts.token_counts(written.groupBy("file", "path").agg(F.max("bytes").alias("bytes"))).agg(F.sum("n_tokens")).first()[0]
-    assert total == sum(len(enc.encode_ordinary(t or "")) for t in TEXTS)
+    texts = [*TEXTS, "long words here " * 30000, " ", "x"]
+    df = docs(spark, texts).union(docs(spark, texts).where("doc_id in (0, 3)")).union(docs(spark, ["no id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = token_counts.op4_token_counts(spark, str(tmp_path))
+    count = next(c for c in got.columns if c.startswith("n_tok"))
+    want = [(i, len(enc.encode_ordinary(t or ""))) for i, t in [*enumerate(texts), (0, texts[0]), (3, texts[3])]] + [(None, len(enc.encode_ordinary("no id")))]
+    assert sorted(((r.doc_id, r[count]) for r in got.collect()), key=str) == sorted(want, key=str)
+    docs(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert token_counts.op4_token_counts(spark, str(tmp_path / "none")).count() == 0
 
 
 def vectors(n, dim, seed):
@@ -181,6 +189,66 @@ def test_exact_top_k(spark):
     assert [tuple(r) for r in mtree.top_k(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1, 2)]
 
 
+def exact_scores(rows, scale=1024):
+    """The integer inner products of op5's contract."""
+    whole = {i: [math.floor(scale * v) for v in x] for i, x in rows}
+    return {q: sorted(((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole.items() if i != q and len(x) == len(y)))[:10] for q, x in whole.items() if q % 100 == 0}
+
+
+def test_op5_query_of_large_and_odd_vectors(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, [r.choice([2.0**19, 2.0**43, 1.5, -3.25, 0.0, 1e200, -1e150]) * r.random() for _ in range(5)]) for i in range(240)]
+    rows += [(i, [2.0**19 + r.random(), r.random(), 1.0]) for i in range(300, 420)] + [(500, [1.0]), (501, [2.0]), (600, [3.0, 4.0, 5.0, 6.0])]
+    odd = [(700, None), (701, [float("nan")]), (702, [None]), (None, [1.0]), (703, [float("inf")]), (704, []), (800, [0.0])]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = mtree.op5_exact_top_k(spark, str(tmp_path)).collect()
+    want = exact_scores([*rows, (800, [0.0])])
+    clamp = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    for q, best in want.items():
+        assert [(x.vec_id, x.score) for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] == [(i, clamp(-s)) for s, i in best], q
+    assert {x.query_id for x in got} == {q for q, best in want.items() if best}
+
+
+def test_m_tree_skips_entries():
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(40, 32)) * 300
+    x = np.floor(centre[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 12)
+    tree = mtree.MTree(np.arange(4000), x)
+    q = np.arange(0, 4000, 100)
+    got = tree.search(q, x[q], 10)
+    assert tree.computed < 0.6 * len(q) * len(x)
+    s = (x @ x[q].T).astype(int)
+    for j, rows in enumerate(got):
+        assert [(-a, b) for a, b in rows] == sorted((-int(s[i, j]), i) for i in range(4000) if i != q[j])[:10]
+
+
+def test_op6_query_of_large_few_and_odd_vectors(spark, tmp_path):
+    rows = [(0, [1e200, 1.0]), (1, [-1e200, 2.0]), (2, [1e200, 1.0]), (100, [3.0, 1e-200]), (7, [1e-200, 0.0]), (200, [1.0]), (300, [1e308] * 3), (301, [-1e308] * 3), (301, [-1e308] * 3)]
+    odd = [(400, None), (401, [float("nan"), 1.0]), (402, [None, 1.0]), (None, [1.0, 1.0]), (500, [0.0, 0.0])]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for x in ivfpq.op6_nearest_neighbours(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert [i for i, _ in got[0]] == [2, 7, 100, 1] and [i for i, _ in got[100]] == [7, 0, 1, 2] and got[300] == [(301, np.inf)] * 2 and 200 not in got
+    assert got[0][0][1] == 0 and got[0][3][1] == 2e200 and got[100][0][1] == 3.0
+
+
+def test_op6_query_recall(spark):
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.01/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got, hit, n = ivfpq.op6_nearest_neighbours(spark, "/root/testdata/sf0.01").collect(), 0, 0
+    for q in range(len(ids)):
+        if ids[q] % 100 == 0:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            best = sorted((d[i], int(ids[i])) for i in range(len(ids)) if i != q)[:10]
+            mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == ids[q])
+            assert len(mine) == 10 and all(abs(s - d[np.flatnonzero(ids == v)[0]]) < 1e-12 for _, v, s in mine)
+            hit, n = hit + len({i for _, i in best} & {v for _, v, _ in mine}), n + 10
+    assert hit >= 0.9 * n
+
+
 def test_unusable_vectors(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1, [1.0]), (2, None), (3, [nan]), (4, [float("inf")]), (5, [None])], "i int, x array<double>")
@@ -234,6 +302,84 @@ def test_pieces_match_the_library():
         assert pieces.piece_table().decode(ids.tolist()) == t
 
 
+def unigram_file(tmp_path):
+    """A Unigram model with the pieces of the file at hand and natural scores."""
+    import math
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    for k, p in enumerate(m.pieces):
+        if p.type == 1:
+            p.score = -math.log(3 + k) * (1 + 0.001 * (k * 7919 % 100))
+    (tmp_path / "unigram.model").write_bytes(m.SerializeToString())
+    return str(tmp_path / "unigram.model")
+
+
+ODD = ["", "  a  b ", "\n\n x", "a" * 70, "日本語 🎉 ok", "\tfoo\r\nbar", "internationalization" * 3, "Élégant über señor", None, "the the the", "x\u2581y"]
+
+
+@pytest.mark.parametrize("unigram", [False, True])
+def test_relational_lattice(spark, tmp_path, unigram):
+    model = unigram_file(tmp_path) if unigram else pieces.MODEL
+    df = docs(spark, [*ODD, prose(3, 60), prose(3, 60)])
+    want = {r.doc_id: r.ids for r in pieces.encode(df, model).collect()}
+    got = pieces.encode_relational(df, model)
+    assert got.columns == [*df.columns, "ids"] and {r.doc_id: r.ids for r in got.collect()} == want
+    assert pieces.encode_relational(df.limit(0), model).count() == 0
+
+
+def test_unigram_fold_is_viterbi(tmp_path):
+    """Against Viterbi over whole texts; and the library's ids wherever its single precision adds as exactly."""
+    import sentencepiece
+
+    path = unigram_file(tmp_path)
+    table, sp = pieces.PieceTable(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t for t in ODD if t] + [prose(i, 30) for i in range(40)]
+    same = 0
+    for t, ids in zip(texts, pieces.Encoder(table).encode(texts)):
+        s = pieces.MARK + t.replace(" ", pieces.MARK)
+        for dtype in (np.float64, np.float32):
+            best, back = [dtype(0)] + [dtype(-np.inf)] * len(s), [0] * (len(s) + 1)
+            for a in range(len(s)):
+                for k in range(1, min(table.longest, len(s) - a) + 1):
+                    i = table.of.get(s[a : a + k])
+                    if i is not None or k == 1:
+                        c = dtype(best[a] + dtype(table.worst if i is None else table.scores[i]))
+                        if c > best[a + k]:
+                            best[a + k], back[a + k] = c, k
+            at, out = len(s), []
+            while at:
+                out.append(s[at - back[at] : at])
+                at -= back[at]
+            want = [i for w in out[::-1] for i in table._ids(w)]
+            assert want == (ids.tolist() if dtype is np.float64 else sp.encode(t))
+        same += ids.tolist() == sp.encode(t)
+    assert same >= 0.9 * len(texts)
+
+
+def test_op8_query_matches_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = [(r.doc_id, sp.encode(r.text or ""), pieces.MARK not in (r.text or "")) for r in table.collect()]
+    want = spark.createDataFrame(want, "doc_id long, ids array<int>, same boolean").select("doc_id", F.size("ids").cast("long"), F.xxhash64("ids"), "same")
+    got = pieces.op8_pieces(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def test_encode_edges(spark, tmp_path):
+    clash = docs(spark, ["a b", "a b", "w" * 40000, "word " * 30000]).withColumns({"__text": F.lit(1), "_text": F.lit(2), "round_trip": F.lit(3)})
+    got = pieces.encode(clash, check=True).orderBy("doc_id").collect()
+    assert [r.round_trip for r in got] == [True] * 4 and got[0].ids == got[1].ids and got[0]._text == 2
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pieces.op8_pieces(spark, str(tmp_path)).count() == 0
+
+
 def test_encode_keeps_columns(spark):
     df = docs(spark, ["hello world", None, ""]).withColumn("ids", F.lit("clash"))
     got = pieces.decode(pieces.encode(df)).orderBy("doc_id").collect()
@@ -262,6 +408,36 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_ranks_by_the_quotient(spark):
+    r = random.Random(11)
+    lengths = [r.choice([1, 3, 9, 40, 200]) for _ in range(3000)]
+    df = docs(spark, ["w " * n for n in lengths], [r.choice("ab") for _ in lengths])
+    rows = {x.doc_id: x for x in mixing.mix(df, weights=(1,), share=0.6).collect()}
+    drawn = {x.doc_id: x.u for x in df.select("doc_id", mixing.draw(F.col("doc_id")).alias("u")).collect()}
+    times = {i: x.taken // x.size for i, x in rows.items()}
+    mean = {n: sum(times[i] for i in times if lengths[i] == n) / lengths.count(n) for n in sorted(set(lengths))}
+    # longer documents are expected more often; one order of the random numbers alone would give classes one threshold
+    assert list(mean.values()) == sorted(mean.values()) and mean[200] > 2 * mean[1]
+    plain = [(drawn[i], t, lengths[i]) for i, t in times.items() if rows[i].source_size == rows[0].source_size]
+    taken, left = [u for u, t, _ in plain if t == 1], [u for u, t, _ in plain if t == 0]
+    assert taken and left and max(taken) > min(left)
+    for n in set(lengths):
+        taken, left = [u for u, t, k in plain if t == 1 and k == n], [u for u, t, k in plain if t == 0 and k == n]
+        assert not taken or not left or max(taken) < min(left)
+    for source in {x.source_size for x in rows.values()}:
+        own = [x for x in rows.values() if x.source_size == source]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 100
+
+
+def test_mix_edges(spark):
+    df = docs(spark, ["a b", "a b", None, "", "c " * 50000], [None, None, "z", "z", "y"]).withColumns({"times": F.lit("x"), "q": F.lit(1), "SIZE": F.lit(2), "row": F.lit(3)})
+    df = df.union(df.where("doc_id = 1")).union(df.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    assert mixing.mix(df).count() == 7
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns and {x.q for x in out.collect()} <= {1} and not {2, 3} & {x.doc_id for x in out.collect()}
+    assert mixing.mix_documents(df.limit(0)).count() == 0
+
+
 def test_toxicity_learns_words_and_stems(spark):
     r = random.Random(8)
     rows = []
@@ -281,11 +457,68 @@ def test_toxicity_learns_words_and_stems(spark):
 
 
 def test_grammar_marks_context():
-    machine = toxicity.grammar()
-    assert machine.run(list("NoI")) == ["N", "o", "In"]
-    assert machine.run(list("NooooI"))[-1] == "I"
-    assert set(machine.run(list("RYNI"))[-1]) == set("Inry")
-    assert machine.run(list("YoT"))[-1] == "Ty" and machine.run(["T"]) == ["T"]
+    machine = toxicity.grammar({"T": 6.0, "y": 0.5, "n": -8.0, "r": -4.0})
+    assert machine.best("NoI") == (-8.0, ["N", "o", "In"])
+    assert machine.best("NooooI") == (0.0, ["N", "o", "o", "o", "o", "I"])
+    assert machine.best("RYNI") == (-11.5, ["R", "Y", "N", "Iynr"])
+    # words to come: someone addressed, a verb of saying
+    assert machine.best("IoY") == (0.5, ["Iy", "o", "Y"]) and machine.best("IoR") == (-4.0, ["Ir", "o", "R"]) and machine.best("Io") == (0.0, ["I", "o"])
+    assert machine.best("YoK") == (6.0, ["Y", "o", "T"]) and machine.best("KoY") == (6.0, ["T", "o", "Y"]) and machine.best("K") == (0.0, ["o"])
+    assert machine.best("YNK") == (-2.0, ["Y", "N", "Tn"]) and machine.best("") == (0.0, [])
+
+
+def labelled(seed, n):
+    """Texts in which insults and threats are toxic unless they are negated or reported."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"w{r.choice('abcdefgh')}{r.choice('abcdefgh')}{r.choice('klmn')}" + r.choice(["in", "on"]) for _ in range(40)]
+        kind = i % 10
+        bad = r.choice(["dolt", "oaf", "twit"])
+        at = r.randrange(30)
+        w[at:at] = [[], [bad], [bad], ["not", "a", bad], ["he", "said", bad], [bad, "she", "wrote"], ["i", "will", "kill", "you"], ["you", "will", "see"], ["i", "see", "you"], ["will", "i"]][kind]
+        out.append((" ".join(w) + ".", int(kind in (1, 2, 6))))
+    return out
+
+
+def test_grammar_changes_held_out_figures():
+    model = toxicity.fit(labelled(1, 1200))
+    rest = labelled(2, 600)
+
+    def right(m):
+        return sum((m.score(t) >= 0.5) == bool(y) for t, y in rest) / len(rest)
+
+    assert right(model) > 0.95
+    assert right(toxicity.Model(model.exact, model.stems, model.base, model.weights | dict.fromkeys("Tynr", 0.0))) < 0.75
+    assert right(toxicity.Model(model.exact, model.stems, model.base, model.weights | {"T": 0.0})) < right(model) - 0.05
+
+
+def test_op10_query(spark, tmp_path):
+    import zlib
+
+    rows = labelled(3, 900)
+    texts = [t for t, _ in rows] + ["you dolt.", "you are not a dolt.", "he said: dolt", "dolt, he wrote", "I will kill you!", "will you not kill", "they kill time. no one dies", None, "", " ", "you dolt.", "fine words " * 30000 + ". you oaf"]
+    docs(spark, texts).union(spark.createDataFrame([(None, "you dolt.", "en", "s", 1), (900, "you dolt.", "en", "s", 1)], DOC)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, y) for i, (_, y) in enumerate(rows)] + [(None, 1, 1), (5, 1, None), (10**9, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 2
+    fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    model = toxicity.fit([(t, y) for i, (t, y) in enumerate(rows) if not fold(i)])
+    for r in got:
+        text = "you dolt." if r.doc_id is None else texts[r.doc_id]
+        assert r.held_out == fold(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert abs(r.score - model.score(text)) < 0.05
+    by = {r.doc_id: r.predicted for r in got if r.doc_id is not None and r.doc_id >= 900}
+    assert [by[900 + k] for k in range(12)] == [1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, 1]
+    rest = [(r.predicted, rows[r.doc_id][1]) for r in got if r.held_out and r.doc_id < 900]
+    assert len(rest) > 100 and sum(a == b for a, b in rest) > 0.95 * len(rest)
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    clash = docs(spark, ["you dolt."]).withColumns({"__text": F.lit(1), "_text": F.lit(2), "score": F.lit("x")})
+    assert toxicity.toxicity(empty, model).count() == 0 and toxicity.toxicity(clash, model).select("__text", "_text").first() == (1, 2)
+    assert toxicity.training_rows(empty, spark.read.parquet(str(tmp_path / "labels.parquet"))) == []
+    some = toxicity.training_rows(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")), most=20_000)
+    assert 50 < len(some) < 100 and sum(len(t) for t, _ in some) <= 20_000
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -311,6 +544,72 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} <= set(range(30))
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import duckdb
+    import sentencepiece
+
+    import corpus_pipeline as c
+
+    r = random.Random(21)
+    rows = []
+    for i, (t, y) in enumerate(labelled(5, 700)):
+        t = t.replace(" w", "\nw", 2) if i % 3 else t
+        if i % 4 == 0:
+            t = "menu home\n" + t + "\nall rights"
+        rows.append((i, t, "en", r.choice(["a", "b", "c", None]), len(t), y))
+    extra = [rows[k][1] for k in (3, 3, 9)] + [rows[13][1] + " tail", "menu home\nall rights", "menu home\nall rights", None, "", " \n", "ends\u2581here so it is", prose(9, 3000), prose(9, 3000) + " x"]
+    rows += [(700 + k, t, "de", "b", len(t or ""), None) for k, t in enumerate(extra)] + [(0, *rows[0][1:5], None), (None, "no id at all here", "en", "z", 17, None)]
+    spark.createDataFrame([x[:5] for x in rows], DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(x[0], 1, x[5]) for x in rows if x[5] is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    import zlib
+
+    model = toxicity.fit([(x[1], x[5]) for x in rows[:700] if zlib.crc32(str(x[0]).encode()) % 5])
+    now = [x[:5] for x in rows if model.score(x[1]) < 0.5]
+    assert 0 < len(now) < len(rows) - 100
+
+    def bad_lines(docs_of):
+        """Per source the lines on over a tenth of its documents, from five documents and three copies on."""
+        pages, lines = Counter(), Counter()
+        for source, t in docs_of:
+            pages[source] += 1
+            lines.update((source, x) for x in {*(t.split("\n") if t is not None else [])} if x)
+        return {(s, x) for (s, x), n in lines.items() if n >= 3 and pages[s] >= 5 and n > 0.1 * pages[s]}
+
+    bad, once = bad_lines([(x[3], x[1]) for x in now]), bad_lines({(x[3], x[1]) for x in now})
+    out = []
+    for i, t, lang, s, n in now:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if (s, x) not in bad]
+        if any(lines) and not any(kept):
+            kept = [x for x in lines if (s, x) not in once]
+        out.append((i, t, lang, s, n) if kept == lines else (i, "\n".join(kept), lang, s, len("\n".join(kept))))
+    assert out != now
+    # near-duplicates: null and blank texts are one group; the smallest id stays
+    by_id = sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
+    kept = [by_id[k] for k in near_brute([x[1] or "" for x in by_id])]
+    assert len(kept) < len(out) - 4
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", kept)
+    times = {i: taken // size for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({mixing.OP9_SQL}) WHERE taken > 0").fetchall()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    want = []
+    for i, t, _, s, _ in kept:
+        ids = sp.encode(t or "")
+        want += [(i, s, len(ids), ids, pieces.MARK not in (t or ""))] * times.get(i, 0)
+    got = [tuple(x) for x in c.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as c
+
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
 def near_brute(texts, gram=5):
     """The smallest index of each component of Jaccard similarity 0.8 or more."""
     sets = [{tuple(w[i : i + gram]) for i in range(max(1, len(w) - gram + 1))} for w in map(str.split, texts)]
@@ -353,9 +652,53 @@ def test_near_dedup_of_short_texts(spark):
     # sets of four and five shingles, of which fingerprints say little
     texts = [t for i in range(1000) for w in [prose(1000 + i, 9, 10**6).split()] for t in (" ".join(w[:8]), " ".join(w))]
     assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == list(range(0, 2000, 2))
-    edges = [(2 * i, 2 * i + 1) for i in range(1000)]
-    rids = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
-    assert simhash_dedup._possible(rids, util.cut(spark.createDataFrame(edges, "a long, b long")), 5, 0.8).count() == 1000
+
+
+def test_bounds_as_columns(spark):
+    r = random.Random(8)
+    pairs = []
+    for _ in range(500):
+        na = r.randrange(0, 60)
+        nb = r.randrange(na, 90)
+        pairs.append((na << 32 | r.randrange(simhash_dedup._prefix(na, 0.8)), nb << 32 | r.randrange(simhash_dedup._prefix(nb, 0.8))))
+    df = spark.createDataFrame(pairs, "low long, high long")
+    got = {(x.low, x.high): x.ok for x in df.select("low", "high", simhash_dedup._possible(F.col("low"), F.col("high"), 0.8).alias("ok")).collect()}
+    for low, high in pairs:
+        assert got[low, high] == bool(simhash_dedup._can(low >> 32, low & 0xFFFFFFFF, high >> 32, high & 0xFFFFFFFF, 0.8))
+
+
+def test_prefix_bounds_lose_no_pair():
+    r, rng = random.Random(4), np.random.default_rng(4)
+    for _ in range(3000):
+        n = r.randrange(1, 80)
+        a = rng.permutation(100)[:n]
+        b = np.unique(np.concatenate((a[r.randrange(n // 5 + 1) :], 100 + np.arange(r.randrange(n // 5 + 1)))))
+        b = rng.permutation(200)[np.unique(b)] if r.random() < 0.1 else b
+        a, b = np.sort(a), np.sort(b)
+        common = np.intersect1d(a, b)
+        if len(common) < 0.8 * (len(a) + len(b) - len(common)):
+            continue
+        ka, kb = (simhash_dedup._prefix(len(x), 0.8) for x in (a, b))
+        assert len(np.intersect1d(a[:ka], b[:kb])) > 0
+        assert all(simhash_dedup._can(len(a), np.searchsorted(a, x), len(b), np.searchsorted(b, x), 0.8) for x in common)
+        column = simhash_dedup.pa.chunked_array([[simhash_dedup.parity(x.astype(np.uint64)) for x in (a, b)]])
+        assert simhash_dedup._Apart(column)(np.array([0]), np.array([1]))[0] <= len(a) + len(b) - 2 * len(common)
+
+
+def test_near_dedup_without_the_tables(spark, monkeypatch):
+    # nothing is tied by fingerprints, buckets are compared in blocks of 16, frequent ones dealt over salts
+    monkeypatch.setattr(simhash_dedup, "_covered", lambda texts, radius, blocks: util.cut(texts.select(F.col("rid").alias("a"), F.col("rid").alias("b")).limit(0)))
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(simhash_dedup, "DEALT", 8)
+    r = random.Random(6)
+    base = prose(77, 200).split()
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(r.randrange(1, 6)):
+            w[r.randrange(200)] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == near_brute(texts)
 
 
 def test_line_dedup_of_pages_of_boilerplate(spark):
