@@ -5,9 +5,10 @@ source leaves is shared again by weight, which one pass over the sources in the
 (capacity / weight) settles exactly. Within a source a document's expected copies m grow with its length: they are
 proportional to the bits of its number of words, at most `most`, and scaled so that the source's expected words are its target.
 floor(m) whole copies are certain. The rest is a fixed-size sample of unequal probabilities p = m - floor(m): a document has
-inclusion odds p / (1 - p) and random odds u / (1 - u); documents are ranked by the quotient and taken in that order until
-their words reach what the certain copies leave (a document is taken if its middle lies before the end), so a source's
-words miss the target by at most half of one document.
+inclusion odds p / (1 - p) and random odds u / (1 - u); documents are ranked by the quotient and taken in that order as long as
+their words fit into what the certain copies leave. What the first that does not fit leaves open is filled, in `ROUNDS` - 1 more
+rounds, by those of the rest that are short enough, in the same order; in the last round a document is taken if its middle lies
+before the end, so a source's words miss the target by at most half of one short document.
 
 No source is sorted in one place: quotients q fall by q / (1 + q) into `buckets` ranges, whose word sums are made with
 map-side combining; a running sum over the buckets of a source finds the one in which its end lies,
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .util import WORD_RE, cut, read, small
 
-WEIGHTS, SHARE, MOST, BUCKETS, SEED = (5, 2, 1), 1.5, 2, 4096, "mix"
+WEIGHTS, SHARE, MOST, BUCKETS, SEED, ROUNDS = (5, 2, 1), 1.5, 2, 4096, "mix", 3
 
 
 def words(text: Column) -> Column:
@@ -87,17 +88,24 @@ def _ranked(docs: DataFrame, share: DataFrame, buckets: int) -> DataFrame:
     return met.withColumns({"q": q, "bucket": F.floor(q / (1 + q) * buckets).cast("int"), "id": F.coalesce(F.col("doc_id"), F.lit(-(2**63)))})
 
 
-def cuts(ranked: DataFrame) -> DataFrame:
-    """ranked: source, size, rest, q, bucket, id. One row for each source that samples: its cut (last_bucket, end)."""
-    held = cut(ranked.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")))
+def cuts(ranked: DataFrame, last: bool) -> DataFrame:
+    """ranked: source, size, room, q, bucket, id. One row for each source that samples: its cut (last_bucket, end) and `left`, the room after it."""
+    held = cut(ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("room").alias("room")))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = held.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).where(F.col("before") < F.col("rest"))
-    last = cut(before.groupBy("source").agg(F.max("bucket").alias("last_bucket"), F.max("before").alias("before")).withColumnRenamed("source", "s"))
-    inside = ranked.join(small(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket"))).withColumn("at", F.struct("q", "id"))
+    before = held.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).where(F.col("before") < F.col("room"))
+    ends = cut(before.groupBy("source").agg(F.max("bucket").alias("last_bucket"), F.max("before").alias("before"), F.first("room").alias("s_room")).withColumnRenamed("source", "s"))
+    inside = ranked.join(small(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("last_bucket"))).withColumn("at", F.struct("q", "id"))
     placed = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("s").orderBy("at"))).withColumn("same", F.sum("size").over(Window.partitionBy("s", "at")))
-    end = placed.where(F.col("upto") - F.col("same") / 2 < F.col("rest")).groupBy("s").agg(F.max("at").alias("end")).withColumnRenamed("s", "e")
-    out = last.join(end, F.col("e").eqNullSafe(F.col("s")), "left")
-    return cut(out.select(F.col("s").alias("c_source"), "last_bucket", "end"))
+    fits = F.col("upto") - F.col("same") / 2 < F.col("room") if last else F.col("upto") <= F.col("room")
+    end = placed.where(fits).groupBy("s").agg(F.max("at").alias("end"), F.max("upto").alias("upto")).withColumnRenamed("s", "e")
+    out = ends.join(end, F.col("e").eqNullSafe(F.col("s")), "left")
+    return cut(out.select(F.col("s").alias("c_source"), "last_bucket", "end", (F.col("s_room") - F.coalesce("upto", "before")).alias("left")))
+
+
+def _taken() -> Column:
+    """Whether a ranked document lies before its source's cut."""
+    more = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (F.struct("q", "id") <= F.col("end")))
+    return F.coalesce(more, F.lit(False))
 
 
 def _times(docs: DataFrame, weights, share: float, most: int, buckets: int) -> DataFrame:
@@ -105,10 +113,16 @@ def _times(docs: DataFrame, weights, share: float, most: int, buckets: int) -> D
     sized = docs.withColumn("bits", F.length(F.bin("size")))
     plain = cut(sized.select("doc_id", "source", "size", "bits"))
     parted = cut(shares(plain, weights, share, most))
-    ends = cuts(_ranked(plain, parted, buckets))
-    met = _ranked(sized, parted, buckets).join(small(ends), F.col("source").eqNullSafe(F.col("c_source")), "left")
-    more = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (F.struct("q", "id") <= F.col("end")))
-    return met.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0).cast("long")))
+    met = _ranked(sized, parted, buckets).withColumns({"room": F.col("rest"), "sampled": F.lit(0).cast("long")})
+    pool = _ranked(plain, parted, buckets).where("bucket is not null").withColumn("room", F.col("rest"))
+    for k in range(ROUNDS):
+        ends = cuts(pool, k == ROUNDS - 1)
+        here = F.col("source").eqNullSafe(F.col("c_source"))
+        asked = (F.col("sampled") == 0) & (F.col("size") <= F.col("room")) if k else F.lit(True)
+        met = met.join(small(ends), here, "left").withColumn("sampled", F.when(asked & _taken(), 1).otherwise(F.col("sampled")).cast("long"))
+        met = met.withColumn("room", F.coalesce("left", "room")).drop("c_source", "last_bucket", "end", "left")
+        pool = pool.join(small(ends), here).where(~_taken() & (F.col("size") <= F.col("left"))).withColumn("room", F.col("left")).drop("c_source", "last_bucket", "end", "left")
+    return met.withColumn("times", F.when(F.col("size") > 0, F.col("copies") + F.col("sampled")).otherwise(F.lit(0).cast("long")))
 
 
 def _own(docs: DataFrame) -> list[Column]:
@@ -164,11 +178,17 @@ shares AS (SELECT *, floor(m) AS copies, m - floor(m) AS p, target - sum(floor(m
 met AS (
   SELECT d.*, s.source_size, s.target, s.copies, s.rest, CASE WHEN s.p > 0 THEN (u / (1 - u)) / (s.p / (1 - s.p)) END AS q
   FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source AND length(bin(d.size)) = s.bits),
-ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-            - sum(size) OVER (PARTITION BY source, q, doc_id) / 2.0 AS middle
-  FROM met)
-SELECT doc_id, size, source_size, target,
-       (size * (copies + CASE WHEN q IS NOT NULL AND middle < rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM ranked
+r1 AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS t1 FROM met),
+room1 AS (SELECT *, rest - coalesce(sum(CASE WHEN t1 THEN size END) OVER (PARTITION BY source), 0) AS left1 FROM r1),
+r2 AS (
+  SELECT *, q IS NOT NULL AND NOT t1 AND size <= left1 AS in2 FROM room1),
+f2 AS (SELECT *, in2 AND sum(size) OVER (PARTITION BY source, in2 ORDER BY q, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= left1 AS t2 FROM r2),
+room2 AS (SELECT *, left1 - coalesce(sum(CASE WHEN t2 THEN size END) OVER (PARTITION BY source), 0) AS left2 FROM f2),
+r3 AS (SELECT *, in2 AND NOT t2 AND size <= left2 AS in3 FROM room2),
+f3 AS (
+  SELECT *, in3 AND sum(size) OVER (PARTITION BY source, in3 ORDER BY q, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                    - sum(size) OVER (PARTITION BY source, in3, q, doc_id) / 2.0 < left2 AS t3
+  FROM r3)
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN t1 OR t2 OR t3 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM f3
 """
