@@ -708,3 +708,11 @@ def test_line_dedup_of_pages_of_boilerplate(spark):
         got = {r.row.doc_id: (r.lines, r.n_dropped) for r in out.collect()}
         want = [([], 2)] * 10 + [([f"unique {i}"], 2) for i in range(30)] + [(["own", "", "text"], 0)] * 6 + [([], 0), (["", ""], 0)]
         assert got == dict(enumerate(want))
+
+
+def test_all_queries_on_empty_tables(spark, tmp_path):
+    from sparkledger import llm
+
+    for t in ("documents", "embeddings", "pages", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert {n: q(spark, str(tmp_path)).count() for n, q in llm.QUERIES.items()} == dict.fromkeys(llm.QUERIES, 0)
