@@ -9,9 +9,10 @@ transform, suffix counts weighted by the copies of a segment), and the windows o
 through backward search, which starts from the suffix interval of a window's last words (32 for windows of 35), kept
 from the sort, and whose matching statistics tell which windows occur again. An anchor with
 more than `shard_rows` segments is dealt over several shards by a hash of the segment; the windows that are single in such a
-shard then meet once more by anchor and their own hash, so nothing is capped and no shard is unbounded.
+shard then meet once more by anchor and their own digest, so nothing is capped and no shard is unbounded.
 
-Words are compared by 64-bit hashes over windows of 35 words, documents by two 64-bit hashes.
+Inside an index segments and words are compared as they are; hashes of words (XXH64) only choose the anchors. Windows of dealt anchors that
+are single in their shard meet by a 128-bit BLAKE2 digest of their words, rows by two 64-bit hashes.
 
 Defined results: null or empty text has 0 words, nothing removed and the digest of the empty
 string; fewer words than a window: nothing removed; repeated rows are copies of each other, so
@@ -22,13 +23,14 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import cut, drop, mix, read, run_hashes, small, word_hashes, word_spans
+from .util import cut, drop, mix, read, run_hashes, small, word_hashes
 
 WINDOW, GRAM, SHARD_ROWS, INDEX_WORDS, LONGEST, QUERIES = 35, 8, 4096, 1_200_000, 512, 1 << 16
 
@@ -158,10 +160,9 @@ def _emit_anchors(window: int, gram: int):
         for b in batches:
             out = []
             for key, key2, t in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())):
-                data = t.as_py()
-                s, e = word_spans(data)
-                if len(s) >= window:
-                    a, *rest = _anchors(word_hashes(data, s, e), window, gram)
+                words = t.as_py().split()
+                if len(words) >= window:
+                    a, *rest = _anchors(word_hashes(words), window, gram)
                     out.append((np.full(len(a), key), np.full(len(a), key2), a.view(np.int64), *rest))
             if out:
                 k, k2, a, f, n, twice = (np.concatenate(x) for x in zip(*out))
@@ -176,11 +177,10 @@ def _emit_segments(window: int):
             texts = b.column(3).cast(pa.binary())
             rows = {x: [] for x in ("anchor", "part", "key", "key2", "first", "n", "words")}
             for key, key2, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, b.column(4).to_pylist()):
-                data = t.as_py()
-                s, e = word_spans(data)
+                words = t.as_py().split()
                 for g in segs:
                     f, n = g["first"], g["n"]
-                    for name, v in zip(rows, (g["anchor"], g["part"], key, key2, f, n, data[s[f] : e[f + n + window - 2]])):
+                    for name, v in zip(rows, (g["anchor"], g["part"], key, key2, f, n, b" ".join(words[f : f + n + window - 1]))):
                         rows[name].append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], list(rows))
@@ -188,31 +188,32 @@ def _emit_segments(window: int):
     return run
 
 
+def _windows(words: bytes, window: int) -> list[bytes]:
+    """Each run of `window` words of words joined by single spaces."""
+    edge = [-1, *(m.start() for m in re.finditer(b" ", words)), len(words)]
+    return [words[i + 1 : j] for i, j in zip(edge, edge[window:])]
+
+
 def _search(rows: list[tuple], window: int):
-    """Intervals of repeated windows for the segments of one index: key, key2, lo, hi, anchor, hash, known."""
+    """Intervals of repeated windows for the segments of one index: key, key2, lo, hi, anchor, hashes, known. Segments and words are compared as they are."""
     anchor, part, key, key2, first, n, words = zip(*rows)
-    data = b" ".join(words)
-    s, e = word_spans(data)
-    h = word_hashes(data, s, e)
     anchor, part, key, key2, first, n = (np.array(x, np.int64) for x in (anchor, part, key, key2, first, n))
-    size = n + window - 1
-    off = np.cumsum(size) - size
-    full = np.zeros(len(h) + 1, np.uint64)
-    prefix = np.zeros(len(h) + 1, np.uint64)
-    plain = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h + np.uint64(7)), dtype=np.uint64, out=full[1:])
-    np.cumsum(h * np.arange(1, len(h) + 1, dtype=np.uint64), dtype=np.uint64, out=prefix[1:])
-    np.cumsum(h, dtype=np.uint64, out=plain[1:])
-    ident = mix(prefix[off + size] - prefix[off] - off.astype(np.uint64) * (plain[off + size] - plain[off])) ^ (full[off + size] - full[off])
-    ident = mix(ident + mix(anchor.view(np.uint64) + mix(part.view(np.uint64))))
-    _, pick, inverse, count = np.unique(ident, return_index=True, return_inverse=True, return_counts=True)
-    lens = size[pick]
+    seen: dict[tuple, int] = {}
+    number: dict[bytes, int] = {}
+    symbols = []
+    inverse = np.empty(len(words), np.int64)
+    for i, name in enumerate(zip(anchor.tolist(), part.tolist(), words)):
+        inverse[i] = k = seen.setdefault(name, len(symbols))
+        if k == len(symbols):
+            split = name[2].split(b" ")
+            symbols.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in split), np.int64, len(split)))
+    count = np.bincount(inverse)
+    pick = np.unique(inverse, return_index=True)[1]
+    lens = (n + window - 1)[pick]
     start = np.cumsum(lens + 1) - (lens + 1)
     text = np.zeros(int((lens + 1).sum()), np.int64)
-    inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    src, dst = np.repeat(off[pick], lens) + inner, np.repeat(start, lens) + inner
-    _, sym = np.unique(h[src], return_inverse=True)
-    text[dst] = sym + 1
+    for at, x in zip(start.tolist(), symbols):
+        text[at : at + len(x)] = x
     # runs of repeated windows in each distinct segment, then for each of its copies
     wins = n[pick]
     inner = np.arange(int(wins.sum())) - np.repeat(np.cumsum(wins) - wins, wins)
@@ -232,24 +233,26 @@ def _search(rows: list[tuple], window: int):
     r, i = spread(runs, at)
     lo, hi = first[r] + inner[opens[i]], first[r] + inner[closes[i]]
     own = mix(key[r].view(np.uint64) + mix(lo.view(np.uint64))).view(np.int64)
-    out = [(key[r], key2[r], lo, hi, own, own, np.ones(len(r), bool))]
+    out = [(key[r], key2[r], lo, hi, own, own, own, np.ones(len(r), bool))]
     if (part >= 0).any():
-        whole = np.zeros(len(text), np.uint64)
-        whole[dst] = h[src]
-        wh = np.append(run_hashes(whole, window), np.zeros(window, np.uint64))[np.repeat(start, wins) + inner].view(np.int64)
+        # windows of dealt anchors meet those of other parts by a digest of their words
+        dealt = np.flatnonzero(part[pick] >= 0)
+        digest = b"".join(hashlib.blake2b(w, digest_size=16).digest() for k in dealt.tolist() for w in _windows(words[pick[k]], window))
+        wh = np.zeros((len(seg), 2), np.int64)
+        wh[part[pick][seg] >= 0] = np.frombuffer(digest, "<i8").reshape(-1, 2)
         in_split = part[pick][seg] >= 0
         again = np.flatnonzero(hit & in_split)
-        seen = np.unique(np.stack((anchor[pick[seg[again]]], wh[again])), axis=1)
+        met = np.unique(np.column_stack((anchor[pick[seg[again]]], wh[again])), axis=0)
         single = np.flatnonzero(~hit & in_split)  # in one segment without copies, so of one row
         row = pick[seg[single]]
         pos = first[row] + inner[single]
-        out.append((key[row], key2[row], pos, pos, anchor[row], wh[single], np.zeros(len(row), bool)))
-        none = np.full(seen.shape[1], -1, np.int64)
-        out.append((none, none, none, none, seen[0], seen[1], np.ones(seen.shape[1], bool)))
+        out.append((key[row], key2[row], pos, pos, anchor[row], wh[single, 0], wh[single, 1], np.zeros(len(row), bool)))
+        none = np.full(len(met), -1, np.int64)
+        out.append((none, none, none, none, met[:, 0], met[:, 1], met[:, 2], np.ones(len(met), bool)))
     return [np.concatenate(x) for x in zip(*out)]
 
 
-FOUND = ["key", "key2", "lo", "hi", "anchor", "wh", "known"]
+FOUND = ["key", "key2", "lo", "hi", "anchor", "wh", "wh2", "known"]
 
 
 def _index_shards(window: int, index_words: int):
@@ -307,8 +310,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     drop(anchors, met)
     # the same columns as in the last join, so that both share one shuffle of the texts
     segments = keyed.join(of_doc.hint("shuffle_hash"), ["key", "key2"]).select("key", "key2", "doc_id", "text", "segs").mapInArrow(_emit_segments(window), "anchor long, part int, key long, key2 long, first long, n int, words binary")
-    found = segments.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_index_shards(window, index_words), "key long, key2 long, lo long, hi long, anchor long, wh long, known boolean")
-    again = found.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor", "wh"))).where("lo >= 0 and (known or met > 1)")
+    found = segments.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_index_shards(window, index_words), "key long, key2 long, lo long, hi long, anchor long, wh long, wh2 long, known boolean")
+    again = found.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor", "wh", "wh2"))).where("lo >= 0 and (known or met > 1)")
     spans = again.groupBy("key", "key2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return keyed.join(spans.hint("shuffle_hash"), ["key", "key2"], "left").select("key", "key2", "doc_id", "text", "spans").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
