@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkledger.llm import line_dedup as lines
 from sparkledger.llm import mixing, pieces, simhash_dedup, toxicity
-from sparkledger.llm.util import modest, scratch
+from sparkledger.llm.util import columns, modest, scratch, unused
 
 #: Documents of this score or more are rejected.
 TOXIC = 0.5
@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     modest(spark)
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.fit(toxicity.training_rows(every, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.toxicity(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    score = unused("score", docs.columns)
+    return toxicity.toxicity(docs, model, score).where(F.col(score) < TOXIC).select(*columns(docs.columns))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +40,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     out = lines.line_dedup(docs, F.col("source"), F.split("text", "\\n"), spare_copies=True)
     text = F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("row.text"))
-    columns = [f"row.{c}" for c in docs.columns if c not in ("text", "n_chars")]
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
-    return out.withColumn("text", text).select(*columns, "text", chars).select(*docs.columns)
+    return out.withColumn("text", text).select(*others, "text", chars).select(*columns(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .util import cut, parts, read, small
 
 MARKS, SEED, PLAIN, SPM = ("<P>", "<S>", "<M>"), "1:", 90, 20
-#: Bytes of a stretch, of a chunk of a long text, and of the texts that are scanned at a time.
-LANE, CHUNK_BYTES, AT_ONCE = 64, 1 << 16, 1 << 22
+#: Bytes of a stretch, of a chunk of a long text, of the texts that are scanned at a time, and of the chunks of a task.
+LANE, CHUNK_BYTES, AT_ONCE, TASK_BYTES = 64, 1 << 16, 1 << 22, 1 << 23
 _BLANK = (9, 10, 11, 12, 13, 32)
 
 
@@ -249,8 +249,8 @@ def _giant_places(giant: DataFrame, marks: tuple[str, ...], unit: str, chunk_byt
     begin = F.col("chunk") * chunk_bytes
     piece = F.substring(F.col("text"), begin + 1, F.lit(chunk_bytes))
     chunks = giant.select("key", "key2", "text", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("chunk")).select("key", "key2", "chunk", piece.alias("bytes"))
-    total = giant.agg(F.sum(many)).first()[0] or 0
-    seen = chunks.repartition(parts(int(total)), "key", "key2", "chunk").mapInArrow(_summaries(marks, unit), "key long, key2 long, chunk long, to array<int>, units array<long>")
+    total = giant.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    seen = chunks.repartition(parts(-(-total // TASK_BYTES)), "key", "key2", "chunk").mapInArrow(_summaries(marks, unit), "key long, key2 long, chunk long, to array<int>, units array<long>")
     # repeated rows have one key and equal chunks
     seen = seen.dropDuplicates(["key", "key2", "chunk"]).repartition("key", "key2").sortWithinPartitions("key", "key2", "chunk")
     known = cut(seen.mapInArrow(_resolve(marks, unit), "key long, key2 long, chunk long, entry int, before long, units long, found boolean"))

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField
 
-from .util import cut, mix, powers, read, released, unused
+from .util import beside, columns, cut, mix, powers, read, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, STRETCH, KNOWN, LONG, CELLS, SLOTS = "▁", 1 << 20, 200_000, 128, 1 << 20, 18
@@ -278,14 +279,13 @@ def piece_table(path: str = MODEL) -> PieceTable:
     return _LOADED[path]
 
 
-def _schema(docs: DataFrame, names: list[str]) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema)
+_IDS = StructField("ids", ArrayType(IntegerType()))
 
 
 def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
     """The rows of docs with ids, an array of the piece ids of `text`; check: also with round_trip, whether they decode to it."""
-    added = ("ids", "round_trip") if check else ("ids",)
-    names = [c for c in docs.columns if c not in added]
+    added = [_IDS, *[StructField("round_trip", BooleanType())] * check]
+    names = [c for c in docs.columns if c not in [f.name for f in added]]
 
     def run(batches):
         encoder = Encoder(piece_table(model))
@@ -301,10 +301,10 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*got, np.zeros(0, np.int32)]), pa.int32()))
                 same = [pa.array([encoder.table.decode(x.tolist()) == t for x, t in zip(got, some)], pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in b.columns[:-1]), ids, *same], [*names, *added])
+                yield [*(c.slice(at, len(some)) for c in b.columns[:-1]), ids, *same]
                 at += len(some)
 
-    return docs.select(*names, F.col("text").cast("string").alias(unused("text", names))).mapInArrow(released(run), _schema(docs, names) + "ids array<int>" + ", round_trip boolean" * check)
+    return beside(docs, names, [F.col("text").cast("string")], released(run), added)
 
 
 def _split(text, table: PieceTable):
@@ -377,7 +377,7 @@ def encode_relational(docs: DataFrame, model: str = MODEL) -> DataFrame:
     table = piece_table(model)
     names = [c for c in docs.columns if c != "ids"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*names).alias("row"), text.alias("text")).withColumn("key", F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))))
+    rows = docs.select(F.struct(*columns(names)).alias("row"), text.alias("text")).withColumn("key", F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))))
     words = cut(rows.select("key", _split(F.col("text"), table).alias("words")).dropDuplicates(["key"]))
     table_of = cut(segment(lattices(words.select(F.explode("words").alias("word")).distinct(), table), table))
     each = words.select("key", F.posexplode("words").alias("pos", "word")).groupBy("key", "word").agg(F.collect_list("pos").alias("places"))
@@ -394,9 +394,9 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
         table = piece_table(model)
         for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = b.column(b.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x.values is None else table.decode(x.values.to_pylist()) for x in ids], pa.string())], [*names, "ids", "decoded"])
+            yield [*b.columns, pa.array([None if x.values is None else table.decode(x.values.to_pylist()) for x in ids], pa.string())]
 
-    return rows.select(*names, "ids").mapInArrow(released(run), _schema(rows, names) + "ids array<int>, decoded string")
+    return beside(rows, names, [F.col("ids")], released(run), [_IDS, StructField("decoded", StringType())])
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

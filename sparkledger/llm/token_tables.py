@@ -35,7 +35,7 @@ END_ID = 2
 #: Bytes of text in a file, files at most, bytes of a row group and of a page, rows of a page.
 FILE_BYTES, MOST_FILES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 20_000, 64 << 20, 256 << 10, 1024
 #: Pieces that a worker remembers, bytes of a run of pieces that are encoded at once.
-KNOWN, RUN_BYTES = 1 << 20, 1 << 16
+KNOWN, RUN_BYTES = 1 << 19, 1 << 16
 ROW = "doc_id long, part int, offset long, n_tokens long, ids array<int>"
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True

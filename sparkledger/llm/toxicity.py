@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .util import read, released, unused
+from .util import beside, read, released
 
 FIT_ROWS, FIT_BYTES, FOLDS, NEED, LONGEST_STEM = 6000, 64 << 20, 5, 3, 8
 
@@ -356,17 +357,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with the column score (replaced if there is one)."""
-    names = [c for c in docs.columns if c != "score"]
+def toxicity(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows of docs with the column `name`, the score (replaced if there is one); other columns may have any names and types."""
+    names = [c for c in docs.columns if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shared.value.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())], [*names, "score"])
+            yield [*b.columns[:-1], pa.array([shared.value.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
-    return docs.select(*names, F.col("text").cast("string").alias(unused("text", names))).mapInArrow(released(run), schema)
+    return beside(docs, names, [F.col("text").cast("string")], released(run), [StructField(name, DoubleType())])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

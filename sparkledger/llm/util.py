@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from xxhash import xxh64_intdigest
 
 #: The words of a text, as the contracts define them.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -74,14 +77,9 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df.hint("shuffle_hash")
 
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POW: dict[str, np.ndarray] = {}
-PIECE = 1 << 20
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -104,34 +102,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which the words of data begin and end."""
-    if not data:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[np.frombuffer(data, np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    return edge[0::2], edge[1::2]
-
-
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, over pieces of about PIECE bytes so that memory stays small."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    buf = np.frombuffer(data, np.uint8)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
-        top = int(ends[j - 1])
-        acc = np.zeros(top - base + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[buf[base:top]] * powers(top - base), dtype=np.uint64, out=acc[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((acc[e] - acc[s]) * powers(top - base, True)[s] + (e - s).astype(np.uint64) * _P)
-        i = j
-    return out
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word."""
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every run of k consecutive entries of h."""
+    """A hash of every run of k consecutive entries of h. Equal runs have equal hashes; unequal ones may, so it only deals and orders."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
     acc = np.zeros(len(h) + 1, dtype=np.uint64)
@@ -194,6 +171,33 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(names) -> list[Column]:
+    return [column(n) for n in names]
+
+
+def beside(df: DataFrame, names: list[str], extra: list[Column], run, added: list[StructField]) -> DataFrame:
+    """The columns `names` of df, of any names and types, and those that a batch function adds.
+
+    The function gets batches of the columns and then `extra`, and gives the columns back (also of fewer rows at a time) and then `added`. On the way all
+    go by place, since Arrow functions resolve names that hold dots or backticks wrongly.
+    """
+    kept = df.select(*columns(names))
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept.schema.fields, *added])]
+    places = [f.name for f in fields]
+
+    def by_place(batches):
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b, places)
+
+    asked = df.select(*(column(n).alias(f"c{i}") for i, n in enumerate(names)), *(c.alias(f"x{i}") for i, c in enumerate(extra)))
+    return asked.mapInArrow(by_place, StructType(fields)).toDF(*names, *(f.name for f in added))
+
+
 def unused(name: str, names: list[str]) -> str:
     """A column name that none of the names equals, whatever their case."""
     taken = {n.lower() for n in names}
@@ -217,8 +221,6 @@ def released(run):
             import ctypes
             import gc
 
-            import pyarrow as pa
-
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
