@@ -88,32 +88,6 @@ def repo_of_cwd(cwds: DataFrame, roots: DataFrame) -> DataFrame:
     return each.join(known.withColumn("hit", F.lit(True)), "repo_root", "left").groupBy("cwd").agg(F.max_by(F.when(F.col("hit"), F.col("repo_root")), F.when(F.col("hit"), F.col("depth"))).alias("repo_root"))
 
 
-def reachable(commits: DataFrame, refs: DataFrame) -> DataFrame:
-    """repo_root, ref and sha of every commit that is the ref's own or an ancestor of it; unknown commits have no ancestors.
-
-    commits: repo_root, sha, parents (array); refs: repo_root, ref, sha. A repository's graph is walked in one task.
-    """
-
-    def walk(graph, tips):
-        import pandas as pd
-
-        parents = dict(zip(graph["sha"], graph["parents"]))
-        rows = []
-        for repo, ref, sha in zip(tips["tip_root"], tips["tip_ref"], tips["tip"]):
-            seen, todo = set(), [sha] if sha in parents else []
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo.extend(p for p in (() if parents.get(x) is None else parents[x]) if p is not None and p in parents and p not in seen)
-            rows += [(repo, ref, x) for x in seen]
-        return pd.DataFrame(rows, columns=["repo_root", "ref", "sha"])
-
-    graph = commits.select("repo_root", "sha", "parents").groupBy("repo_root")
-    tips = refs.select(F.col("repo_root").alias("tip_root"), F.col("ref").alias("tip_ref"), F.col("sha").alias("tip")).groupBy("tip_root")
-    return graph.cogroup(tips).applyInPandas(walk, "repo_root string, ref string, sha string")
-
-
 def gather_facts(repos: DataFrame, recent: DataFrame, containing: DataFrame, tips: DataFrame, cherries: DataFrame, ancestors: DataFrame, now: Column) -> dict[str, DataFrame]:
     """The tables of `fates` from the texts that the version control prints.
 

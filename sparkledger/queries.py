@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.variant import iso_string, members, number_or_zero, parse_line, string_or_null
 from .operators import commits as C
+from .operators import reachability as R
 from .operators import usage as U
 from .operators.asof import asof_forward
 from .operators.filters import allowed, newer, sane, unseen, watermark
@@ -424,4 +425,70 @@ def reachable_commits(spark, sf_dir):
     parent = F.when(F.col("n") == F.col("most"), F.lit("unknown")).otherwise(F.col("parent"))
     commits = o.select("repo_root", "sha", F.array(parent).alias("parents"))
     refs = o.where("n = most - 2").select("repo_root", F.lit("main").alias("ref"), "sha").union(o.where(side).select("repo_root", F.lit("side"), "sha"))
-    return C.reachable(commits, refs).select("repo_root", "sha").distinct()
+    return R.reachable(commits, refs).select("repo_root", "sha").distinct()
+
+
+#: Graphs over the orders of 50 repositories: lines of commits with branches that part and are merged, from four refs of each.
+_GRAPH_SQL = """o AS (SELECT o_custkey % 50 AS repo, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey % 50) AS most FROM orders),
+c AS (SELECT *, CASE WHEN n % 6 = 1 AND n > 10 THEN n - 6 ELSE n - 1 END AS p1, CASE WHEN n % 4 = 0 THEN n - 3 END AS p2, 'p' || n % 40 AS patch, TIMESTAMP '2024-06-01' - (most - n) * INTERVAL 12 HOUR AS done FROM o),
+e AS (SELECT repo, n, p1 AS p FROM c WHERE p1 >= 1 UNION SELECT repo, n, p2 FROM c WHERE p2 >= 1),
+refs AS (SELECT repo, 'main' AS ref, max(n) AS n FROM c WHERE n % 6 = 0 AND n < most - 40 GROUP BY repo UNION ALL SELECT repo, 'f1', max(n) FROM c WHERE n % 6 = 3 GROUP BY repo
+UNION ALL SELECT repo, 'origin/f2', max(n) FROM c WHERE n % 6 = 5 AND n < most - 30 GROUP BY repo UNION ALL SELECT repo, 'f0', 10 FROM c GROUP BY repo),
+reach(repo, ref, n) AS (SELECT repo, ref, n FROM refs UNION SELECT r.repo, r.ref, e.p FROM reach r JOIN e ON e.repo = r.repo AND e.n = r.n)"""
+
+
+def _graph(spark, sf_dir):
+    w = Window.partitionBy("repo_root")
+    c = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("repo_root"), "o_orderkey")
+    c = c.select("repo_root", F.row_number().over(w.orderBy("o_orderkey")).alias("n"), F.count(F.lit(1)).over(w).alias("most"))
+    n = F.col("n")
+    first = F.when((n % 6 == 1) & (n > 10), n - 6).otherwise(n - 1)
+    parents = F.filter(F.array(first, F.when(n % 4 == 0, n - 3)), lambda p: p >= 1)
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp") - F.make_dt_interval(hours=((F.col("most") - n) * 12).cast("int"))
+    c = c.select("repo_root", n.cast("string").alias("sha"), parents.cast("array<string>").alias("parents"), at.alias("committed_at"), "n", "most")
+    last = lambda name, where: c.where(where).groupBy("repo_root").agg(F.max("n").cast("string").alias("sha")).select("repo_root", F.lit(name).alias("ref"), "sha")
+    refs = last("main", "n % 6 = 0 and n < most - 40").union(last("f1", "n % 6 = 3")).union(last("origin/f2", "n % 6 = 5 and n < most - 30"))
+    return c, refs.union(c.select("repo_root", F.lit("f0"), F.lit("10")).distinct())
+
+
+@query(f"""WITH RECURSIVE {_GRAPH_SQL} SELECT repo AS repo_root, ref, CAST(reach.n AS VARCHAR) AS sha FROM reach WHERE EXISTS (SELECT 1 FROM c WHERE c.repo = reach.repo AND c.n = reach.n)""")
+def merged_reachability(spark, sf_dir):
+    """What each ref reaches where branches part and are merged."""
+    c, refs = _graph(spark, sf_dir)
+    return R.reachable(c, refs)
+
+
+@query(f"""WITH RECURSIVE {_GRAPH_SQL},
+late AS (SELECT c.* FROM c WHERE done >= TIMESTAMP '2024-06-01' - INTERVAL 90 DAY AND EXISTS (SELECT 1 FROM reach r WHERE r.repo = c.repo AND r.n = c.n)),
+held AS (SELECT l.repo, l.n, r.ref FROM late l JOIN reach r ON r.repo = l.repo AND r.n = l.n),
+tips AS (SELECT f.repo, f.ref, c.done FROM refs f JOIN c ON c.repo = f.repo AND c.n = f.n),
+own AS (SELECT h.repo, h.n, h.ref, c.patch FROM held h JOIN c ON c.repo = h.repo AND c.n = h.n WHERE h.ref <> 'main' AND (p2 IS NULL OR p2 < 1)
+AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.repo = h.repo AND r.n = h.n AND r.ref = 'main')),
+theirs AS (SELECT DISTINCT r.repo, f.ref, c.patch FROM reach r JOIN c ON c.repo = r.repo AND c.n = r.n JOIN refs f ON f.repo = r.repo
+WHERE r.ref = 'main' AND (p2 IS NULL OR p2 < 1) AND NOT EXISTS (SELECT 1 FROM reach x WHERE x.repo = r.repo AND x.ref = f.ref AND x.n = r.n)),
+cherry AS (SELECT DISTINCT repo, n FROM own JOIN theirs USING (repo, ref, patch)),
+g AS (SELECT h.repo, h.n, bool_or(t.done >= TIMESTAMP '2024-06-01' - INTERVAL 14 DAY) AS fresh, bool_or(h.ref = 'main') AS ancestor,
+min(h.ref) FILTER (h.ref LIKE 'f%') AS local, min(substr(h.ref, 8)) FILTER (h.ref LIKE 'origin/%') AS remote FROM held h JOIN tips t USING (repo, ref) GROUP BY h.repo, h.n)
+SELECT g.repo AS repo_root, CAST(g.n AS VARCHAR) AS sha, CASE WHEN ancestor THEN 'main' ELSE coalesce(local, remote, 'main') END AS branch,
+CASE WHEN ancestor OR k.n IS NOT NULL THEN 'shipped' WHEN fresh THEN 'in_flight' ELSE 'unshipped' END AS fate
+FROM g LEFT JOIN cherry k ON k.repo = g.repo AND k.n = g.n WHERE g.repo IN (SELECT repo FROM refs WHERE ref = 'main')""")
+def graph_fates(spark, sf_dir):
+    """Fates from commits, refs and patches alone: what contains what, tips, ancestors and equal patches."""
+    c, refs = _graph(spark, sf_dir)
+    repos = c.select("repo_root").distinct().withColumns({"head": F.lit(None).cast("string"), "current": F.lit("f9")})
+    patches = c.select("repo_root", "sha", F.concat(F.lit("p"), (F.col("n") % 40).cast("string")).alias("patch"))
+    return C.fates(**R.graph_facts(c, refs, repos, F.lit("2024-06-01 00:00:00").cast("timestamp"), patches))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS sha, l_suppkey % 5 AS file, string_agg(CAST(l_quantity AS BIGINT) % 3, ',' ORDER BY l_linenumber, CAST(l_quantity AS BIGINT) % 3) AS body FROM lineitem GROUP BY ALL),
+p AS (SELECT sha, string_agg(file || ':' || body, ';' ORDER BY file) AS patch FROM d GROUP BY sha)
+SELECT patch AS what, count(*) AS n, min(sha) AS first_sha FROM p GROUP BY patch""")
+def patch_ids(spark, sf_dir):
+    """Diffs of equal content have one id, whatever their order of files, places, spaces and object names."""
+    sha, q = F.col("l_orderkey"), (F.col("l_quantity").cast("long") % 3).cast("string")
+    rows = _t(spark, sf_dir, "lineitem").groupBy(sha, (F.col("l_suppkey") % 5).alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", q.alias("q")))), lambda x: x["q"]).alias("body"))
+    hunk = F.transform("body", lambda q: F.concat(F.lit("+  add"), F.repeat(F.lit(" "), (sha % 3).cast("int")), q))
+    part = F.concat(F.format_string("diff --git a/f%d b/f%d\nindex %x..%x 100644\n--- a/f%d\n+++ b/f%d\n@@ -%d,2 +%d,3 @@ near\n", "file", "file", sha, sha + 1, "file", "file", sha % 90, sha % 91), F.array_join(hunk, "\n"), F.lit("\n"))
+    order = F.when(sha % 2 == 0, F.col("file")).otherwise(-F.col("file"))
+    texts = rows.select(sha, F.concat(F.col("file").cast("string"), F.lit(":"), F.array_join("body", ",")).alias("what"), "file", part.alias("part"), order.alias("o")).groupBy(sha).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "part"))), lambda x: x["part"]), "").alias("diff"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "what"))), lambda x: x["what"]), ";").alias("what"))
+    return texts.groupBy(R.patch_id(F.col("diff")).alias("id")).agg(F.min("what").alias("what"), F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_sha")).drop("id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkledger.functions.variant import iso_string, iso_timestamp, number_or_zero, parse_line, string_or_null
 from sparkledger.operators import commits as C
+from sparkledger.operators import reachability as R
 from sparkledger.operators.asof import asof_forward
 from sparkledger.operators.filters import parse_state
 from sparkledger.operators.usage import batches, suffix_duplicates
@@ -220,7 +221,7 @@ def test_facts_from_texts(spark):
 def test_reachable_and_roots(spark):
     g = spark.createDataFrame([("r", "a", []), ("r", "b", ["a"]), ("r", "c", ["a", None]), ("r", "m", ["b", "c", "gone"]), ("q", "a", None)], "repo_root string, sha string, parents array<string>")
     refs = spark.createDataFrame([("r", "main", "b"), ("r", "top", "m"), ("r", "none", "zz"), ("q", "main", "a")], "repo_root string, ref string, sha string")
-    got = sorted((r.repo_root, r.ref, r.sha) for r in C.reachable(g, refs).collect())
+    got = sorted((r.repo_root, r.ref, r.sha) for r in R.reachable(g, refs).collect())
     assert got == [("q", "main", "a")] + [("r", "main", x) for x in "ab"] + [("r", "top", x) for x in "abcm"]
     cwd = spark.createDataFrame([("/s/a/b",), ("/s/ab",), ("/s/a/",), ("/s",), ("x/y",), (None,), ("",)], "cwd string")
     roots = spark.createDataFrame([("/s/a",), ("/s/a/b/",), ("x",)], "repo_root string")
