@@ -26,11 +26,12 @@ def parse_commit_log(texts: DataFrame, keys: list[str], text: str = "value") ->
 
 
 def parse_recent(texts: DataFrame, keys: list[str], now: Column, text: str = "value") -> DataFrame:
-    """Lines `sha \\x1f date`; malformed ones are skipped and not counted, the first RECENT_CAP of the last RECENT_DAYS stay."""
+    """Lines `sha \\x1f date`; malformed ones are skipped and not counted, the first RECENT_CAP of the last RECENT_DAYS stay. A date that does not parse is null and stays."""
     rows = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("ord", "line"))
     parts = F.split("line", "\u001f")
-    rows = rows.select(*keys, "ord", F.trim(F.get(parts, F.lit(0))).alias("sha"), iso_timestamp(F.trim(F.get(parts, F.lit(1)))).alias("committed_at"))
-    rows = rows.where("length(sha) > 0 and committed_at is not null").where(F.col("committed_at") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS"))
+    rows = rows.select(*keys, "ord", F.trim(F.get(parts, F.lit(0))).alias("sha"), F.trim(F.get(parts, F.lit(1))).alias("date")).where("length(sha) > 0 and length(date) > 0")
+    rows = rows.select(*keys, "ord", "sha", iso_timestamp(F.col("date")).alias("committed_at"))
+    rows = rows.where(F.col("committed_at").isNull() | (F.col("committed_at") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")))
     return recent_cap(rows, keys, ["ord"])
 
 

@@ -16,7 +16,7 @@ from .. import schemas
 from ..functions.variant import at, is_object, iso_string, iso_timestamp, members, number_or_zero, string_or_null
 from ..operators import usage as U
 from ..operators.filters import newer
-from .lines import existing, json_lines, key_values, whole_files
+from .lines import existing, file_lines, json_lines, key_values, listed_files, read_small, whole_files
 
 COUNTERS = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens"]
 
@@ -43,11 +43,11 @@ def account_files() -> list[str]:
 
 
 def read_account(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """At most one row: the first candidate file with an account object."""
+    """At most one row: the first candidate file, in any file system Spark knows, with an account object."""
     for p in [path] if path else account_files():
         try:
-            acct = json.loads(Path(p).read_text()).get("oauthAccount")
-        except (OSError, ValueError, AttributeError):
+            acct = json.loads(read_small(spark, p) or "").get("oauthAccount")
+        except (ValueError, AttributeError):
             continue
         if isinstance(acct, dict):
             names = ("accountUuid", "emailAddress", "organizationUuid", "billingType")
@@ -70,7 +70,7 @@ def _metadata(cwd, branch, session, version, entrypoint, host, plat, client, cli
 
 def scan_claude_code(spark: SparkSession, bases: list[str] | None = None, since: Column | None = None) -> DataFrame:
     """The events of `<base>/<project>/<file>.jsonl`."""
-    return claude_code_events(json_lines(whole_files(spark, claude_project_dirs() if bases is None else bases, "/*/*.jsonl"), since), since)
+    return claude_code_events(json_lines(file_lines(spark, claude_project_dirs() if bases is None else bases, "/*/*.jsonl", since=since)), since)
 
 
 def claude_code_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def claude_code_events(rows: DataFrame, since: Column | None = None) -> DataFram
 def scan_copilot_cli(spark: SparkSession, bases: list[str] | None = None, since: Column | None = None) -> DataFrame:
     """The events of session folders that have a workspace file."""
     bases = [str(Path.home() / ".copilot" / "session-state")] if bases is None else bases
-    return copilot_cli_events(json_lines(whole_files(spark, bases, "/*/events.jsonl")), key_values(whole_files(spark, bases, "/*/workspace.yaml")), since)
+    return copilot_cli_events(json_lines(file_lines(spark, bases, "/*/events.jsonl")), key_values(whole_files(spark, bases, "/*/workspace.yaml")), since)
 
 
 def copilot_cli_events(rows: DataFrame, spaces: DataFrame, since: Column | None = None) -> DataFrame:
@@ -111,11 +111,14 @@ def copilot_cli_events(rows: DataFrame, spaces: DataFrame, since: Column | None
 
 
 def codex_files(spark: SparkSession, homes: list[str]) -> DataFrame:
-    """Session files before archived ones, one for each relative path of a home; a home with neither folder is read itself."""
+    """file_path, modified, length and source_rank of the session files to read, chosen by paths alone.
+
+    Session files before archived ones, one for each relative path of a home; a home with neither folder is read itself.
+    """
     out = None
     for rank, home in enumerate(homes):
-        roots = [r for r in (f"{home}/sessions", f"{home}/archived_sessions") if existing(spark, [r])]
-        files = whole_files(spark, roots or [home], recursive=True, name="*.jsonl")
+        roots = _codex_roots(spark, home)
+        files = listed_files(spark, roots or [home], recursive=True, name="*.jsonl")
         if roots:
             rel = F.regexp_replace("file_path", r"^.*?/(?:sessions|archived_sessions)/", "")
             files = U.first_of(files.withColumn("rel", rel), ["rel"], ["source_rank", "file_path"]).drop("rel")
@@ -124,6 +127,20 @@ def codex_files(spark: SparkSession, homes: list[str]) -> DataFrame:
     return out
 
 
+def _codex_roots(spark: SparkSession, home: str) -> list[str]:
+    return [r for r in (f"{home}/sessions", f"{home}/archived_sessions") if existing(spark, [r])]
+
+
+def codex_lines(spark: SparkSession, homes: list[str], since: Column | None = None) -> DataFrame:
+    """The lines of the chosen files. The choice meets the lines by path, broadcast like the listing it comes from, so no content is shuffled."""
+    out = None
+    for rank, home in enumerate(homes):
+        rows = file_lines(spark, _codex_roots(spark, home) or [home], recursive=True, name="*.jsonl", since=since).withColumn("source_rank", F.lit(2 * rank) + F.col("source_rank"))
+        out = rows if out is None else out.unionByName(rows)
+    chosen = codex_files(spark, homes).select("file_path", "source_rank")
+    return out.join(F.broadcast(chosen), ["file_path", "source_rank"], "left_semi")
+
+
 def _usage_block(v: Column, path: str) -> Column:
     names = [n for n in COUNTERS]
     return F.when(is_object(at(v, path)), F.struct(*(number_or_zero(v, f"{path}.{n}", negative=False).alias(n) for n in names)))
@@ -131,8 +148,8 @@ def _usage_block(v: Column, path: str) -> Column:
 
 def scan_codex(spark: SparkSession, bases: list[str] | None = None, since: Column | None = None) -> DataFrame:
     """The events of the session files of all homes, or of the given folders."""
-    files = codex_files(spark, codex_homes()) if bases is None else whole_files(spark, bases, recursive=True, name="*.jsonl")
-    return codex_events(json_lines(files, since), since)
+    rows = codex_lines(spark, codex_homes(), since) if bases is None else file_lines(spark, bases, recursive=True, name="*.jsonl", since=since)
+    return codex_events(json_lines(rows), since)
 
 
 def codex_events(rows: DataFrame, since: Column | None = None) -> DataFrame:

@@ -18,17 +18,9 @@ from sparkledger.plans.sync import Ledger, rollup, secure_url, wire_events
 from sparkledger.sources import surfaces as S
 from sparkledger.sources.lines import key_values
 
-T0 = datetime(2024, 5, 1, 10, tzinfo=timezone.utc)
-
-
-def write(path, lines):
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + "\n")
-
+from tests_logs import assistant, block, meta, tc, turn, write
 
-def assistant(ident="r1", model="m-1", time="2024-05-01T10:00:00.123456Z", usage=None, **more):
-    usage = {"input_tokens": 10, "output_tokens": 5, "cache_read_input_tokens": 3, "cache_creation_input_tokens": 7} if usage is None else usage
-    return {"type": "assistant", "requestId": ident, "timestamp": time, "cwd": "/w", "gitBranch": "b", "message": {"model": model, "usage": usage}} | more
+T0 = datetime(2024, 5, 1, 10, tzinfo=timezone.utc)
 
 
 def test_variant_helpers_test_types_and_never_coerce(spark):
@@ -67,23 +59,6 @@ def test_second_surface_models_segments_and_suffixes(spark, tmp_path):
     assert got == {"one:a:2024-05-01T10:00:00.000Z": (1, 3, "new"), "one:b:2024-05-01T10:00:00.000Z": (2, 3, "new"), "one:a:2024-05-01T09:00:00.000Z": (3, 3, "new"), "one:a:2024-05-01T09:00:00.000Z:2": (4, 3, "new")}
 
 
-def block(i, c=0, w=0, o=0):
-    return {"input_tokens": i, "cached_input_tokens": c, "cache_write_input_tokens": w, "output_tokens": o}
-
-
-def tc(time, total=None, last=None, **payload):
-    info = {k: v for k, v in (("total_token_usage", total), ("last_token_usage", last)) if v}
-    return {"type": "event_msg", "timestamp": time, "payload": {"type": "token_count", "info": info} | payload}
-
-
-def meta(ident="s", **more):
-    return {"type": "session_meta", "payload": {"id": ident, "cwd": "/w", "git": {"branch": "b"}} | more}
-
-
-def turn(ident="t", model="m", **more):
-    return {"type": "turn_context", "payload": {"turn_id": ident, "model": model} | more}
-
-
 AT = [f"2024-05-01T10:0{i}:00.000Z" for i in range(6)]
 
 
