@@ -35,7 +35,7 @@ END_ID = 2
 #: Bytes of text in a file, files at most, bytes of a row group and of a page, rows of a page.
 FILE_BYTES, MOST_FILES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 20_000, 64 << 20, 256 << 10, 1024
 #: Pieces that a worker remembers, bytes of a run of pieces that are encoded at once.
-KNOWN, RUN_BYTES = 1 << 19, 1 << 16
+KNOWN, RUN_BYTES = 5 << 17, 1 << 16
 ROW = "doc_id long, part int, offset long, n_tokens long, ids array<int>"
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,9 +100,6 @@ class Encoder:
         for name, i in vocabulary.items():
             self.width[i] = len(name.encode()) if name in added else len(name)
         self.known = known
-        self._forget()
-
-    def _forget(self) -> None:
         #: The place of each piece; where its ids begin in `ids` and how many they are.
         self.place: dict[bytes, int] = {}
         self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
@@ -169,10 +166,8 @@ class Encoder:
         cuts = _cuts(buf, starts[some], ends[some])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, size)), pa.py_buffer(buf)]).dictionary_encode()
         which, names = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
-        if len(self.place) > self.known:
-            self._forget()
         place = np.fromiter((self.place.get(p, -1) for p in names), np.int64, len(names))
-        new = np.flatnonzero(place < 0)
+        new, old = np.flatnonzero(place < 0), (len(self.place), len(self.ids))
         if len(new):
             place[new] = len(self.place) + np.arange(len(new))
             self.place.update(zip((names[i] for i in new.tolist()), place[new].tolist()))
@@ -181,6 +176,10 @@ class Encoder:
         of = self.count[row]
         upto = np.cumsum(of)
         flat = self.ids[np.repeat(self.begin[row] - (upto - of), of) + np.arange(int(upto[-1]))]
+        if len(self.place) > self.known:  # full: what came first stays, and so do the frequent pieces
+            for i in new.tolist():
+                del self.place[names[i]]
+            self.begin, self.count, self.ids = self.begin[: old[0]], self.count[: old[0]], self.ids[: old[1]]
         until = np.concatenate(([0], upto))
         return flat, until[np.searchsorted(cuts, ends)] - until[np.searchsorted(cuts, starts)]
 
