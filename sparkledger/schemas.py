@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 USAGE_EVENT = (
-    "surface string, source_rank int, file_path string, line_no int, external_id string, provider string, model string, "
+    "surface string, source_rank int, file_path string, line_no long, external_id string, provider string, model string, "
     "input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, cache_write_tokens long, "
     "cache_creation_5m_tokens long, cache_creation_1h_tokens long, occurred_at timestamp, "
     "metadata struct<cwd:string,git_branch:string,session_id:string,version:string,entrypoint:string,"

@@ -152,11 +152,8 @@ def scan_codex(spark: SparkSession, bases: list[str] | None = None, since: Colum
     return codex_events(json_lines(rows), since)
 
 
-def codex_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
-    """Events of token counts, with the session state rebuilt by windows over each file.
-
-    The windows of a file share one shuffle and one sort; `since` drops events only after the state is whole.
-    """
+def codex_parts(rows: DataFrame) -> DataFrame:
+    """The fields of session, turn and token count lines that the session state is made of."""
     v = F.col("v")
     text = lambda path: string_or_null(v, path, keep_empty=False)
     rows = rows.where(is_object(at(v, "$.payload")))
@@ -165,7 +162,7 @@ def codex_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
     count = (kind == "event_msg") & (string_or_null(v, "$.payload.type") == "token_count")
     session = F.struct(F.coalesce(text("$.payload.session_id"), text("$.payload.id")).alias("id"), F.coalesce(text("$.payload.originator"), text("$.payload.source")).alias("client"), text("$.payload.cli_version").alias("version"))
     cwd = text("$.payload.cwd")
-    rows = rows.select(
+    return rows.select(
         "file_path", "source_rank", "line_no", F.coalesce(count, F.lit(False)).alias("count"),
         F.when(meta, session).alias("meta"),
         F.when(meta & is_object(at(v, "$.payload.git")), F.struct(text("$.payload.git.branch").alias("branch"))).alias("git"),
@@ -177,17 +174,34 @@ def codex_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
         F.when(count, _usage_block(v, "$.payload.info.total_token_usage")).alias("total"),
         F.when(count, _usage_block(v, "$.payload.info.last_token_usage")).alias("last"),
     ).where("count or meta is not null or turn is not null")
+
+
+def codex_events(rows: DataFrame, since: Column | None = None) -> DataFrame:
+    """Events of token counts, with the session state rebuilt by windows over each file.
+
+    The windows of a file share one shuffle and one sort; `since` drops events only after the state is whole.
+    """
+    rows = codex_parts(rows)
     keys, order = ["source_rank", "file_path"], ["line_no"]
     w = U.up_to(keys, order)
     rows = rows.withColumns({c: U.fill(F.col(c), w) for c in ("meta", "git", "turn", "dir")}).where("count")
     live = F.col("time").isNotNull() & F.col("meta.id").isNotNull() & F.col("has_info")
     rows = rows.where(live)
     rows = rows.withColumn("use", U.choose_usage(F.col("total"), F.col("last"), U.before(keys, order), COUNTERS)).withColumn("model", F.coalesce("own_model", "turn.model")).where("use is not null and model is not null").where(newer(F.col("time"), since))
+    return U.suffix_duplicates(codex_usage(rows), "external_id", ["source_rank", "file_path", "line_no"])
+
+
+def codex_ident() -> Column:
+    """The id of a count, without suffix."""
+    return F.concat_ws(":", F.col("meta.id"), F.coalesce("turn.id", F.lit("turn-unknown")), iso_string(F.col("time")))
+
+
+def codex_usage(rows: DataFrame, ident: Column | None = None) -> DataFrame:
+    """rows: counts with the state in force (meta, git, turn, dir), their time, use and model. Usage events, without suffixes unless `ident` has them."""
+    ident = codex_ident() if ident is None else ident
     read, write = F.col("use.cached_input_tokens"), F.col("use.cache_write_input_tokens")
-    ident = F.concat_ws(":", F.col("meta.id"), F.coalesce("turn.id", F.lit("turn-unknown")), iso_string(F.col("time")))
     about = _metadata(F.col("dir.cwd"), F.col("git.branch"), F.col("meta.id"), F.col("meta.version"), F.col("meta.client"), F.lit(socket.gethostname()), F.lit(platform.system().lower()), F.coalesce("meta.client", F.lit("codex")), F.col("meta.version"))
-    out = rows.select(*_event("codex", external_id=ident, provider=F.lit("openai"), model=F.col("model"), input_tokens=U.exclusive_input(F.col("use.input_tokens"), read, write), output_tokens=F.col("use.output_tokens"), cache_read_tokens=read, cache_creation_tokens=write, cache_write_tokens=write, cache_creation_5m_tokens=F.lit(0), cache_creation_1h_tokens=F.lit(0), occurred_at=F.col("time"), metadata=about))
-    return U.suffix_duplicates(out, "external_id", ["source_rank", "file_path", "line_no"])
+    return rows.select(*_event("codex", external_id=ident, provider=F.lit("openai"), model=F.col("model"), input_tokens=U.exclusive_input(F.col("use.input_tokens"), read, write), output_tokens=F.col("use.output_tokens"), cache_read_tokens=read, cache_creation_tokens=write, cache_write_tokens=write, cache_creation_5m_tokens=F.lit(0), cache_creation_1h_tokens=F.lit(0), occurred_at=F.col("time"), metadata=about))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
