@@ -43,6 +43,8 @@ NEAR_GRAM, NEAR_RADIUS, NEAR_BLOCKS, NEAR_SIMILARITY = 5, 3, 2, 0.8
 GROUP, BLOCK, DEALT = 256, 2048, 1 << 20
 #: Exact complement: one text in so many counted for the order of shingles, shingles whose counts are kept, and rows of a batch.
 SAMPLE, OFTEN, SLICE = 32, 200_000, 10_000
+#: Bytes of rows that a task compares at a time, or one block of a bucket against another.
+HELD = 32 << 20
 #: Documents whose parities may be broadcast.
 SMALL_MARKS = 100_000
 _M = (1 << 64) - 1
@@ -155,26 +157,25 @@ def _packed(batches):
 
 
 def _jaccard(gram: int, similarity: float):
-    """Pairs (a, b) of a group's head a and its other members whose shingle sets reach the similarity; rows are (a, part, rid, packed)."""
+    """Pairs (a, b) of a group's head a and its other members whose shingle sets reach the similarity.
+
+    Rows are (a, part, rid, packed), sorted by group with its head first; a task holds one head and one batch.
+    """
 
     def run(batches):
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        a, part, rid = (table.column(c).to_numpy() for c in range(3))
-        one = lambda i: np.unique(shingle_hashes(zlib.decompress(table.column(3)[i].as_py()), gram))
-        order, at, head, left, right = np.lexsort((rid != a, part, a)), None, None, [], []
-        for i in order.tolist():
-            if (a[i], part[i]) != at:
-                at, head = (a[i], part[i]), one(i)
-            elif rid[i] != a[i]:
-                other = one(i)
-                common = len(np.intersect1d(head, other, assume_unique=True))
-                if common >= similarity * (len(head) + len(other) - common):
-                    left.append(a[i])
-                    right.append(rid[i])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        at = head = None
+        for b in batches:
+            left, right = [], []
+            for a, part, rid, packed in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3)):
+                own = np.unique(shingle_hashes(zlib.decompress(packed.as_py()), gram))
+                if (a, part) != at:
+                    at, head = (a, part), own
+                    continue
+                common = len(np.intersect1d(head, own, assume_unique=True))
+                if common >= similarity * (len(head) + len(own) - common):
+                    left.append(a)
+                    right.append(rid)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -190,7 +191,8 @@ def _compared(texts: DataFrame, close: DataFrame, gram: int, similarity: float)
     groups = cut(dealt.select(F.col("a").alias("rid"), group.alias("g")).union(dealt.select(F.col("b").alias("rid"), group.alias("g"))).groupBy("rid").agg(F.collect_set("g").alias("groups")))
     sent = texts.select("rid", "text").join(small(groups), "rid").mapInArrow(released(_packed), "rid long, packed binary, groups array<struct<a: long, part: long>>")
     rows = sent.select(F.explode("groups").alias("g"), "rid", "packed").select("g.a", "g.part", "rid", "packed")
-    out = cut(rows.repartition("a", "part").mapInArrow(released(_jaccard(gram, similarity)), "a long, b long"))
+    sorted_ = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("rid") != F.col("a"))
+    out = cut(sorted_.mapInArrow(released(_jaccard(gram, similarity)), "a long, b long"))
     drop(sizes, groups)
     return out
 
@@ -216,10 +218,12 @@ def _covered(texts: DataFrame, radius: int, blocks: int) -> DataFrame:
     copies = prints.join(small(cut(first.where("n > 1"))), ["block", "fp"]).where("rid <> a").select("a", F.col("rid").alias("b"))
     keys = F.array(*(F.when(F.col("block") == k, F.array(*(F.xxhash64(F.lit(k), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for t, m in enumerate(covering_masks(radius, k + 1))))) for k in range(blocks)))
     rows = first.select(F.explode(F.flatten(F.filter(keys, lambda x: x.isNotNull()))).alias("bucket"), "a", "fp")
-    head = F.first(F.struct("a", "fp")).over(Window.partitionBy("bucket").orderBy("a"))
-    near = rows.withColumn("head", head).where(F.col("a") != F.col("head.a")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius)
-    out = cut(near.select(F.col("head.a").alias("a"), F.col("a").alias("b")).union(copies).distinct())
-    drop(prints, first)
+    # a crowded bucket is never gathered: its head comes from map-side minima, and only members of shared buckets are joined to one
+    least = rows.groupBy("bucket").agg(F.min("a").alias("head"), F.min_by("fp", "a").alias("head_fp"), F.count(F.lit(1)).alias("n"))
+    heads = cut(least.where("n > 1").select("bucket", "head", "head_fp"))
+    near = rows.join(small(heads), "bucket").where("a <> head").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= radius)
+    out = cut(near.select(F.col("head").alias("a"), F.col("a").alias("b")).union(copies).distinct())
+    drop(prints, first, heads)
     return out
 
 
@@ -339,18 +343,37 @@ class _Apart:
         return out
 
 
+def _whole_groups(batches):
+    """Tables of whole groups (the first three columns) of sorted batches, of about HELD bytes or one group."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n < HELD:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = np.stack([c.to_numpy().astype(np.int64) for c in table.columns[:3]])
+        other = np.flatnonzero((keys != keys[:, -1:]).any(0))
+        if len(other):
+            ends = int(other[-1]) + 1
+            yield table.slice(0, ends)
+            held, n = table.slice(ends).to_batches(), 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _met(similarity: float):
     """The pairs (a, b) of different components of a group that places, sizes and parities do not rule out; no pair that reaches the similarity is lost.
 
     Rows are (bucket, x, y, side, rid, at, component, bits). Groups with x = y hold one block of a bucket,
-    others two blocks, whose rows are compared across.
+    others two blocks, whose rows are compared across. Rows are sorted by group, and a task holds some groups at a time.
     """
 
     def run(batches):
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
+        for table in _whole_groups(batches):
+            yield from of(table)
+
+    def of(table):
         bucket, x, y, side, rid, at, comp = (c.to_numpy() for c in table.columns[:-1])
         size, place, apart = at >> 32, at & 0xFFFFFFFF, _Apart(table.column(7))
         order = np.lexsort((size, y, x, bucket))
@@ -434,7 +457,8 @@ def _other_pairs(texts: DataFrame, live: DataFrame, tied: DataFrame, gram: int,
     marks = cut(texts.select("rid", "text").join(small(some), "rid", "left_semi").mapInArrow(released(_parities(gram)), "rid long, bits binary"))
     rows_of = rows.join(small(marks, SMALL_MARKS), "rid").select("bucket", "rid", "at", "component", "own", "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows_of = rows_of.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"), "rid", "at", "component", "bits")
-    out = cut(rows_of.repartition("bucket", "x", "y").mapInArrow(released(_met(similarity)), "a long, b long").distinct())
+    dealt = rows_of.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    out = cut(dealt.mapInArrow(released(_met(similarity)), "a long, b long").distinct())
     drop(mixed, rows, some, marks)
     return out
 
@@ -478,20 +502,37 @@ def near_components(texts: DataFrame, gram: int, radius: int, blocks: int, simil
     return _completed(texts, edges, gram, similarity)
 
 
+def _names(text: Column) -> list[Column]:
+    """The 64-bit name of a text, and another hash that tells texts of one name apart."""
+    return [F.xxhash64(text).alias("rid"), F.xxhash64(text, F.lit(1)).alias("check")]
+
+
+def _told_apart(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """rows (rid, check, ...): different texts that share a name, which `clash` lists, get a name made of both hashes."""
+    if clash is None:
+        return rows
+    met = rows.join(small(clash.select(F.col("rid").alias("clashing"))), F.col("rid") == F.col("clashing"), "left")
+    return met.withColumn("rid", F.when(F.col("clashing").isNull(), F.col("rid")).otherwise(F.xxhash64("rid", "check"))).drop("clashing")
+
+
 def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, of which each group of near-duplicates keeps one.
 
     The one that stays has the smallest doc_id (null last; then the smallest hash of its text).
     Exact copies are folded by two 64-bit hashes first; the row kept among repeated rows is any of them.
+    Different texts of one 64-bit hash are told apart by the other before anything is compared.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = ["rid", "check", "id"]
-    ids = [F.xxhash64(text).alias("rid"), F.xxhash64(text, F.lit(1)).alias("check"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id")]
+    ids = [*_names(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id")]
     copies = cut(docs.select(*ids).groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    clash = cut(copies.groupBy("rid").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("rid"))
+    clash = None if clash.isEmpty() else clash
+    copies = copies if clash is None else cut(_told_apart(copies, clash))
     least = cut(copies.groupBy("rid", "check").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("ids")).where("ids > 1"))
     more = cut(copies.join(least, ["rid", "check"]).where("id > least").select(*key))
     again = cut(copies.where("n > 1").select(*key))
-    texts = docs.select(*ids, text.alias("text")).join(small(more), key, "left_anti")
+    texts = _told_apart(docs.select(*ids, text.alias("text")), clash).join(small(more), key, "left_anti")
     if not again.isEmpty():
         texts = texts.join(small(again), key, "left_anti").union(texts.join(small(again), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")))
     comp = near_components(texts.select("rid", "text"), gram, radius, blocks, similarity)
@@ -500,7 +541,7 @@ def near_dedup(docs: DataFrame, gram: int = NEAR_GRAM, radius: int = NEAR_RADIUS
     lost = cut(named.join(first, "component").where("rid <> kept").select("rid"))
     gone = cut(copies.join(small(lost), "rid", "left_semi").select(*key).union(more))
     drop(copies, least, more, comp, lost)
-    tagged = docs.select(F.struct("*").alias("row"), *ids).join(small(gone), key, "left_anti")
+    tagged = _told_apart(docs.select(F.struct("*").alias("row"), *ids), clash).join(small(gone), key, "left_anti")
     if again.isEmpty():
         return tagged.select("row.*")
     return tagged.join(small(again), key, "left_anti").select("row.*").union(tagged.join(small(again), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*"))

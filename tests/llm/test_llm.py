@@ -701,6 +701,44 @@ def test_near_dedup_without_the_tables(spark, monkeypatch):
     assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == near_brute(texts)
 
 
+def test_near_dedup_with_little_held(spark, monkeypatch):
+    # tasks hold one group at a time, groups come in many batches, and a head's partners are dealt over tasks
+    monkeypatch.setattr(simhash_dedup, "HELD", 1)
+    monkeypatch.setattr(simhash_dedup, "GROUP", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        base, texts = prose(78, 100).split(), []
+        for i in range(40):
+            w = prose(700 + i % 7, 100).split() if i % 2 else list(base)
+            w[(7 * i) % 100] = f"n{i}"
+            texts.append(" ".join(w))
+        assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == near_brute(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_groups_are_whole_and_streamed(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "HELD", 100)
+    r = random.Random(12)
+    keys = sorted((r.randrange(9), r.randrange(2), 0) for _ in range(300))
+    pa = simhash_dedup.pa
+    rows = pa.table({"bucket": [k[0] for k in keys], "x": [k[1] for k in keys], "y": [k[2] for k in keys], "rid": list(range(300))})
+    for size in (1, 7, 300):
+        got = list(simhash_dedup._whole_groups(rows.to_batches(max_chunksize=size)))
+        assert [x for t in got for x in t.column("rid").to_pylist()] == list(range(300))
+        seen = [{(x["bucket"], x["x"]) for x in t.to_pylist()} for t in got]
+        assert sum(map(len, seen)) == len(set().union(*seen)) == 18
+        assert size == 300 or len(got) > 9
+
+
+def test_near_dedup_of_texts_with_one_name(spark, monkeypatch):
+    # the first hash says next to nothing: different texts of one length have one name
+    monkeypatch.setattr(simhash_dedup, "_names", lambda text: [F.length(text).cast("long").alias("rid"), F.xxhash64(text, F.lit(1)).alias("check")])
+    texts = [f"one {i} two {i} three {i} four {i}" for i in range(10, 60)]
+    texts += texts[:5] + [prose(81, 90), prose(81, 90) + " end", None, ""]
+    assert sorted(x.doc_id for x in simhash_dedup.near_dedup(docs(spark, texts)).collect()) == near_brute([t or "" for t in texts])
+
+
 def test_line_dedup_of_pages_of_boilerplate(spark):
     texts = ["licence\nterms"] * 10 + [f"licence\nterms\nunique {i}" for i in range(30)] + ["own\n\ntext"] * 6 + [None, "\n"]
     for limit in (10, 0):
