@@ -20,7 +20,9 @@ from .operators.filters import allowed, newer, sane, unseen, watermark
 from .plans.sync import rollup
 from .sources import surfaces as S
 from .sources.lines import json_lines, key_values
+from .sources.log_files import write_lines
 from .sources.surfaces import union_all
+from .storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -331,26 +333,60 @@ def _mod(n: int):
     return F.col("event_id") % n
 
 
-AT_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
-
-
-@query(f"""SELECT 'r' || event_id AS external_id, 'm' || event_id % 3 AS model, {CENTS} AS input_tokens, event_id % 100 AS output_tokens, CASE WHEN event_id % 4 = 1 THEN 0 ELSE event_id % 9 END AS cache_creation_tokens,
-CASE WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 0 END AS cache_creation_5m_tokens, 's' || user_id AS session_id, {AT_SQL} AS occurred_at
-FROM events WHERE event_type = 'click' AND event_id % 10 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 29 <> 28""")
-def scan_first_surface(spark, sf_dir):
-    """Counters of a wrong type are 0; lines of another type, without usage, with a bad time or with text after the object drop."""
+def _first_surface_line():
+    """A line for each event: counters of a wrong type, other types, no usage, bad times and text after the object among them."""
     cached = F.when(_mod(2) == 0, F.format_string(', "cache_creation": {"ephemeral_5m_input_tokens": %d}', _mod(7))).otherwise("")
     creation = F.when(_mod(4) == 1, F.format_string('"%d"', _mod(9))).otherwise(_mod(9).cast("string"))
     usage = F.format_string('{"input_tokens": %d, "output_tokens": %d, "cache_creation_input_tokens": %s%s}', "cents", _mod(100), creation, cached)
-    line = F.format_string(
+    return F.format_string(
         '{"type": "%s", "requestId": "r%d", "sessionId": "s%d", "timestamp": "%s", "message": {"model": "%s", "usage": %s}}%s',
         F.when(F.col("event_type") == "click", "assistant").otherwise("user"), "event_id", "user_id", F.when(_mod(17) == 0, "never").otherwise(_iso("ts")),
         F.when(_mod(10) == 0, "<synthetic>").otherwise(F.format_string("m%d", _mod(3))), F.when(_mod(13) == 0, "5").otherwise(usage), F.when(_mod(29) == 28, " x").otherwise(""),
     )
-    out = S.claude_code_events(_logs(_events(spark, sf_dir), line))
+
+
+def _first_surface_rows(out: DataFrame) -> DataFrame:
     return out.select("external_id", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_creation_5m_tokens", F.col("metadata.session_id").alias("session_id"), iso_string(F.col("occurred_at")).alias("occurred_at"))
 
 
+def _third_surface_lines(spark, sf_dir):
+    """The events with a line each: session starts, turns, and counts with a total, a usage of their own, both or neither."""
+    kind = F.col("event_type")
+    run = F.sum(F.when(kind == "click", F.col("cents"))).over(U.up_to(["user_id"], ["ts", "event_id"]))
+    rows = _events(spark, sf_dir).withColumn("run", run)
+    meta = F.format_string('{"type": "session_meta", "payload": {"id": "s%d", "cwd": "/w%d"}}', "event_id", _mod(3))
+    turn = F.format_string('{"type": "turn_context", "payload": {"turn_id": "t%d"%s}}', "event_id", F.when(_mod(4) == 0, "").otherwise(F.format_string(', "model": "m%d"', _mod(4))))
+    part = lambda name, value, absent: F.when(absent, "").otherwise(F.format_string(f', "{name}": {{"input_tokens": %d}}', value))
+    count = F.format_string('{"type": "event_msg", "timestamp": "%s", "payload": {"type": "token_count", "info": {"x": 1%s%s}}}', _iso("ts"), part("total_token_usage", F.col("run"), _mod(7) == 0), part("last_token_usage", F.col("cents"), _mod(7).isin(1, 2)))
+    return rows.withColumn("value", F.when(kind == "signup", meta).when(kind == "view", turn).when(kind == "click", count).otherwise("noise"))
+
+
+def _third_surface_rows(out: DataFrame) -> DataFrame:
+    return out.select("external_id", "model", F.col("metadata.cwd").alias("cwd"), "input_tokens")
+
+
+AT_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+@query(f"""SELECT 'r' || event_id AS external_id, 'm' || event_id % 3 AS model, {CENTS} AS input_tokens, event_id % 100 AS output_tokens, CASE WHEN event_id % 4 = 1 THEN 0 ELSE event_id % 9 END AS cache_creation_tokens,
+CASE WHEN event_id % 2 = 0 THEN event_id % 7 ELSE 0 END AS cache_creation_5m_tokens, 's' || user_id AS session_id, {AT_SQL} AS occurred_at
+FROM events WHERE event_type = 'click' AND event_id % 10 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 29 <> 28""")
+def scan_first_surface(spark, sf_dir):
+    """Counters of a wrong type are 0; lines of another type, without usage, with a bad time or with text after the object drop."""
+    return _first_surface_rows(S.claude_code_events(_logs(_events(spark, sf_dir), _first_surface_line())))
+
+
+@query(ORACLES["scan_first_surface"] + " AND user_id % 5 > 1")
+def files_first_surface(spark, sf_dir):
+    """As scan_first_surface, over files that are written and found: those at the top or of another suffix are not of the layout."""
+    user = F.col("user_id")
+    name = F.format_string("u%d", user)
+    path = F.when(user % 5 == 0, F.concat(name, F.lit(".jsonl"))).when(user % 5 == 1, F.concat(F.lit("p/"), name, F.lit(".txt"))).otherwise(F.concat(F.format_string("p%d/", user % 8), name, F.lit(".jsonl")))
+    base = scratch(spark, "logs")
+    write_lines(_events(spark, sf_dir).select(path.alias("path"), _first_surface_line().alias("value"), "ts", "event_id"), base, ["ts", "event_id"])
+    return _first_surface_rows(S.scan_claude_code(spark, [base]))
+
+
 @query(f"""WITH e AS (SELECT user_id, event_id, ts, {CENTS} AS cents, CASE WHEN event_id % 3 = 0 THEN '2024-01-01T00:00:00.000Z' ELSE {AT_SQL} END AS happened FROM events WHERE event_type = 'purchase' AND user_id % 6 <> 0),
 m AS (SELECT *, 'a' AS model, cents AS input_tokens FROM e UNION ALL SELECT *, 'b', event_id % 8 FROM e WHERE event_id % 4 <> 0),
 n AS (SELECT *, 's' || user_id || ':' || model || ':' || happened AS id FROM m),
@@ -377,16 +413,22 @@ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS n F
 SELECT CASE WHEN n > 1 THEN id || ':' || n ELSE id END AS external_id, 'm' || turn % 4 AS model, '/w' || meta % 3 AS cwd, CAST(use AS BIGINT) AS input_tokens FROM n""")
 def scan_third_surface(spark, sf_dir):
     """Session state over a file: the session and turn in force, and the growth of the totals where a count has no usage of its own."""
-    kind = F.col("event_type")
-    run = F.sum(F.when(kind == "click", F.col("cents"))).over(U.up_to(["user_id"], ["ts", "event_id"]))
-    rows = _events(spark, sf_dir).withColumn("run", run)
-    meta = F.format_string('{"type": "session_meta", "payload": {"id": "s%d", "cwd": "/w%d"}}', "event_id", _mod(3))
-    turn = F.format_string('{"type": "turn_context", "payload": {"turn_id": "t%d"%s}}', "event_id", F.when(_mod(4) == 0, "").otherwise(F.format_string(', "model": "m%d"', _mod(4))))
-    part = lambda name, value, absent: F.when(absent, "").otherwise(F.format_string(f', "{name}": {{"input_tokens": %d}}', value))
-    count = F.format_string('{"type": "event_msg", "timestamp": "%s", "payload": {"type": "token_count", "info": {"x": 1%s%s}}}', _iso("ts"), part("total_token_usage", F.col("run"), _mod(7) == 0), part("last_token_usage", F.col("cents"), _mod(7).isin(1, 2)))
-    line = F.when(kind == "signup", meta).when(kind == "view", turn).when(kind == "click", count).otherwise("noise")
-    out = S.codex_events(_logs(rows, line))
-    return out.select("external_id", "model", F.col("metadata.cwd").alias("cwd"), "input_tokens")
+    rows = _third_surface_lines(spark, sf_dir)
+    return _third_surface_rows(S.codex_events(_logs(rows, F.col("value"))))
+
+
+@query(ORACLES["scan_third_surface"])
+def files_third_surface(spark, sf_dir):
+    """As scan_third_surface, over a home that is written and found: archived files count where no session file has their relative path."""
+    user = F.col("user_id")
+    rel = F.format_string("%d/u%d.jsonl", user % 4, user)
+    rows = _third_surface_lines(spark, sf_dir).select("user_id", rel.alias("rel"), "value", "ts", "event_id")
+    main = rows.withColumn("path", F.concat(F.when(user % 4 == 1, "archived_sessions/").otherwise("sessions/"), "rel"))
+    hidden = rows.where((user % 4 != 1) & (user % 3 == 0)).withColumn("value", F.regexp_replace("value", '"m', '"z')).withColumn("path", F.concat(F.lit("archived_sessions/"), "rel"))
+    other = rows.where(user % 7 == 0).withColumn("path", F.concat(F.lit("sessions/"), "rel", F.lit(".bak")))
+    home = scratch(spark, "home")
+    write_lines(main.union(hidden).union(other), home, ["ts", "event_id"])
+    return _third_surface_rows(S.codex_events(json_lines(S.codex_lines(spark, [home]))))
 
 
 @query("""WITH e AS (SELECT *, user_id % 5 AS repo FROM events), c AS (SELECT repo, ts, min(event_id) AS event_id FROM e WHERE event_type = 'purchase' AND repo <> 4 GROUP BY repo, ts)

@@ -138,3 +138,20 @@ def test_untouched_files_are_not_opened(spark, tmp_path):
     os.utime(tmp_path / "p" / "old.jsonl", (1000, 1000))
     rows = L.file_lines(spark, [str(tmp_path)], "/*/*.jsonl", since=F.lit("2020-01-01").cast("timestamp"))
     assert [json.loads(r.value)["requestId"] for r in rows.collect()] == ["new"]
+
+
+def test_lines_written_as_files(spark, tmp_path):
+    from sparkledger.sources.log_files import write_lines
+
+    rows = [("a/x.jsonl", f"line {i}", i) for i in range(500)] + [("a/y.jsonl", None, 1), ("a/y.jsonl", "é", 2), (None, "lost", 0), ("b/c/z.txt", "same", 7), ("b/c/z.txt", "same", 7)]
+    base = f"file://{tmp_path}/out"
+    df = spark.createDataFrame(rows, "path string, value string, n int").repartition(7)
+    for _ in range(2):  # a second run replaces the files by equal ones
+        got = {r.path: r.lines for r in write_lines(df, base, ["n"]).collect()}
+        assert got == {"a/x.jsonl": 500, "a/y.jsonl": 2, "b/c/z.txt": 2}
+        (tmp_path / "out-written").rename(tmp_path / f"seen-{_}")
+    root = tmp_path / "out"
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file()) == ["a/x.jsonl", "a/y.jsonl", "b/c/z.txt"]
+    assert (root / "a/x.jsonl").read_text().splitlines() == [f"line {i}" for i in range(500)]
+    assert (root / "a/y.jsonl").read_text() == "\né\n"
+    assert write_lines(df.limit(0), f"file://{tmp_path}/none", ["n"]).count() == 0
