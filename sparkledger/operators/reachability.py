@@ -21,12 +21,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop
+from ..storage import cut, drop, sized
 from .commits import RECENT_CAP, RECENT_DAYS, default_branch, real_branches, recent_cap
 
 NODE = ["repo_root", "sha"]
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return sized(cut(df))
+
+
 class Lines(NamedTuple):
     """The index of a set of graphs: nodes (repo_root, sha, line, pos) and the edges that leave lines (repo_root, line, src, to_line, to_pos)."""
 
@@ -36,11 +40,11 @@ class Lines(NamedTuple):
 
 def line_index(commits: DataFrame) -> Lines:
     """commits: repo_root, sha, parents (array)."""
-    known = cut(commits.select(*NODE).where("repo_root is not null and sha is not null").distinct())
+    known = _cut(commits.select(*NODE).where("repo_root is not null and sha is not null").distinct())
     parents = commits.where("sha is not null").select(*NODE, F.posexplode("parents").alias("place", "parent")).where("parent is not null and parent <> sha")
-    edges = cut(parents.join(known.select("repo_root", F.col("sha").alias("parent")), ["repo_root", "parent"], "left_semi").groupBy(*NODE, "parent").agg(F.min("place").alias("place")))
+    edges = _cut(parents.join(known.select("repo_root", F.col("sha").alias("parent")), ["repo_root", "parent"], "left_semi").groupBy(*NODE, "parent").agg(F.min("place").alias("place")))
     first = edges.groupBy(*NODE).agg(F.min_by("parent", F.struct("place", "parent")).alias("jump"))
-    state = cut(known.join(first, NODE, "left").select(*NODE, "jump", F.lit(0).cast("long").alias("pos"), F.col("sha").alias("line")))
+    state = _cut(known.join(first, NODE, "left").select(*NODE, "jump", F.lit(0).cast("long").alias("pos"), F.col("sha").alias("line")))
     total, step = known.count(), 1
     while not state.where("jump is not null").isEmpty():
         if step > total:
@@ -49,13 +53,13 @@ def line_index(commits: DataFrame) -> Lines:
         sent = state.where("jump is not null").groupBy("repo_root", F.col("jump").alias("sha")).agg(F.max(F.struct((F.col("pos") + step).alias("pos"), "line")).alias("best"))
         onward = state.where("jump is not null").select("repo_root", F.col("sha").alias("jump"), F.col("jump").alias("next"))
         grown = state.join(sent, NODE, "left").withColumn("best", F.greatest(F.struct("pos", "line"), "best")).join(onward, ["repo_root", "jump"], "left")
-        fresh = cut(grown.select(*NODE, F.col("next").alias("jump"), "best.pos", "best.line"))
+        fresh = _cut(grown.select(*NODE, F.col("next").alias("jump"), "best.pos", "best.line"))
         drop(state)
         state, step = fresh, step * 2
     nodes = state.select(*NODE, "line", "pos")
     source = nodes.withColumnsRenamed({"pos": "src"})
     target = nodes.select("repo_root", F.col("sha").alias("parent"), F.col("line").alias("to_line"), F.col("pos").alias("to_pos"))
-    across = cut(edges.join(source, NODE).join(target, ["repo_root", "parent"]).where("line <> to_line").groupBy("repo_root", "line", "src", "to_line").agg(F.min("to_pos").alias("to_pos")))
+    across = _cut(edges.join(source, NODE).join(target, ["repo_root", "parent"]).where("line <> to_line").groupBy("repo_root", "line", "src", "to_line").agg(F.min("to_pos").alias("to_pos")))
     drop(known, edges)
     return Lines(nodes, across)
 
@@ -64,13 +68,13 @@ def reach(index: Lines, refs: DataFrame) -> DataFrame:
     """refs: repo_root, ref, sha. Rows (repo_root, ref, line, pos): the ref reaches the commits of the line from pos on. Refs of unknown commits reach nothing."""
     key = ["repo_root", "ref", "line"]
     met = refs.where("ref is not null").join(index.nodes, NODE).groupBy(*key).agg(F.min("pos").alias("pos"))
-    reached = cut(met)
+    reached = _cut(met)
     front, old = reached.withColumn("until", F.lit(None).cast("long")), None
     while not front.isEmpty():
         left = front.join(index.edges, ["repo_root", "line"]).where("src >= pos and (until is null or src < until)")
         got = left.groupBy("repo_root", "ref", F.col("to_line").alias("line")).agg(F.min("to_pos").alias("pos"))
-        fresh = cut(got.join(reached.withColumnRenamed("pos", "until"), key, "left").where("until is null or pos < until").select(*key, "pos", "until"))
-        both = cut(reached.union(fresh.select(*key, "pos")).groupBy(*key).agg(F.min("pos").alias("pos")))
+        fresh = _cut(got.join(reached.withColumnRenamed("pos", "until"), key, "left").where("until is null or pos < until").select(*key, "pos", "until"))
+        both = _cut(reached.union(fresh.select(*key, "pos")).groupBy(*key).agg(F.min("pos").alias("pos")))
         drop(old, reached)
         front, old, reached = fresh, fresh, both
     drop(old)
@@ -118,10 +122,10 @@ def equivalents(index: Lines, reached: DataFrame, patches: DataFrame, tips: Data
 
     patches: repo_root, sha, patch (null ones, and those of merges, left out); tips: repo_root, ref, default_ref, both of `reached`; shas: only these commits of branches.
     """
-    labelled = cut(patches.where("patch is not null").join(index.nodes, NODE).select(*NODE, "patch", "line", "pos"))
+    labelled = _cut(patches.where("patch is not null").join(index.nodes, NODE).select(*NODE, "patch", "line", "pos"))
     of = lambda name: reached.select("repo_root", F.col("ref").alias(name), "line", F.col("pos").alias("from"))
     shared = labelled.groupBy("repo_root", "patch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("repo_root", "patch")
-    twice = labelled.join(shared, ["repo_root", "patch"], "left_semi")
+    twice = labelled.join(shared, ["repo_root", "patch"], "left_semi").hint("merge")
     asked = twice if shas is None else twice.join(shas.select(*NODE).distinct(), NODE, "left_semi")
     held = lambda rows, name: rows.join(of(name), ["repo_root", "line"]).where(F.col("pos") >= F.col("from")).drop("from")
     pairs = tips.select("repo_root", "ref", "default_ref").distinct()
@@ -149,14 +153,14 @@ def graph_facts(commits: DataFrame, refs: DataFrame, repos: DataFrame, now: Colu
     ladder = F.array(*(F.struct(F.lit(rank).alias("rank"), name.cast("string").alias("branch")) for rank, name in enumerate(names)))
     candidates = repos.select("repo_root", F.explode(ladder).alias("c")).select("repo_root", "c.rank", "c.branch").where("branch is not null and branch <> ''")
     local = refs.where(~F.col("ref").startswith("origin/"))
-    chosen = cut(default_branch(candidates, local.select("repo_root", F.col("ref").alias("branch")), ["repo_root"]))
+    chosen = _cut(default_branch(candidates, local.select("repo_root", F.col("ref").alias("branch")), ["repo_root"]))
     index = line_index(commits.join(chosen, "repo_root", "left_semi"))
     reached = reach(index, refs.join(chosen, "repo_root", "left_semi"))
     dated = commits.groupBy(*NODE).agg(F.max("committed_at").alias("committed_at"))
     late = dated.where(F.col("committed_at") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS"))
     held = containing(index, reached, late)
-    shas = cut(recent_cap(late.join(held.select(*NODE).distinct(), NODE, "left_semi"), ["repo_root"], [F.desc("committed_at"), "sha"], RECENT_CAP).select(*NODE))
-    contains = cut(real_branches(containing(index, reached, shas).withColumnRenamed("ref", "branch")).withColumn("pos", F.concat(F.when(F.col("branch").startswith("origin/"), "1").otherwise("0"), "branch")))
+    shas = _cut(recent_cap(late.join(held.select(*NODE).distinct(), NODE, "left_semi"), ["repo_root"], [F.desc("committed_at"), "sha"], RECENT_CAP).select(*NODE))
+    contains = _cut(real_branches(containing(index, reached, shas).withColumnRenamed("ref", "branch")).withColumn("pos", F.concat(F.when(F.col("branch").startswith("origin/"), "1").otherwise("0"), "branch")))
     default = (F.col("branch") == F.col("default_branch")) | (F.col("branch") == F.concat(F.lit("origin/"), "default_branch"))
     others = contains.join(chosen, "repo_root").where(~default).select("repo_root", F.col("branch").alias("ref"), F.col("default_branch").alias("default_ref")).distinct()
     none = shas.where("false")

@@ -105,3 +105,20 @@ def test_fates_from_the_graph(spark):
         **{("r", s): ("main", "shipped") for s in ("m0", "m1", "m2", "m3")},
         ("r", "f1"): ("f", "in_flight"), ("r", "f2"): ("f", "in_flight"), ("r", "o1"): ("old", "unshipped"), ("r", "o2"): ("old", "shipped"), ("q", "m0"): ("own", "shipped"),
     }
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    """Files of 150000 commits are far smaller than Spark's limit for broadcasts, their rows are not."""
+    plans, plain = [], R.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(R, "cut", seen)
+    n = 150_000
+    line = spark.range(n).select(F.lit("r").alias("repo_root"), F.col("id").cast("string").alias("sha"), F.array(F.when(F.col("id") > 0, (F.col("id") - 1).cast("string"))).alias("parents"))
+    index = R.line_index(line)
+    assert len(plans) > 3 and not [p for p in plans if "BroadcastExchange" in p]
+    small = R.reach(index, spark.createDataFrame([("r", "m", "9")], "repo_root string, ref string, sha string"))
+    assert "BroadcastHashJoin" in R.containing(index, small, index.nodes)._jdf.queryExecution().executedPlan().toString()
