@@ -1,9 +1,8 @@
 """Ancestors in commit graphs, by joins over edges.
 
 A commit's first known parent makes the graph a forest, and the forest falls into lines: each commit goes on, towards the newer
-side, to the child from which the longest run of first parents comes. A line is named by its newest commit, and a commit's label is (line, pos), pos counted
-from there. Labels come from pointer doubling (a run of n commits takes log2 n rounds), each round two joins on the
-commit. What a ref reaches is then one number for each line, the smallest pos reached, because with a commit all later ones of its line are reached: a
+side, to the child from which the longest run of first parents comes. A line is named by the number of its newest commit, and a commit's label is (line, pos), pos
+counted from there. Labels come from contracting the forest round by round and from pointer doubling of what is left (see `_labels`), over numbers given to the commits. What a ref reaches is then one number for each line, the smallest pos reached, because with a commit all later ones of its line are reached: a
 semi-naive search over lines, whose frontier holds only the stretches that were new in the last round, joined with the edges that leave them. The rounds are as many as the
 ways leave lines, not as the history is long. Every round is cut in the shared folder; no repository and no line is gathered in one task, and only counters
 reach the driver.
@@ -31,8 +30,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return sized(cut(df))
 
 
+#: Forests of at most so many commits go straight to pointer doubling.
+DOUBLED = 200_000
+
+
 class Lines(NamedTuple):
-    """The index of a set of graphs: nodes (repo_root, sha, line, pos) and the edges that leave lines (repo_root, line, src, to_line, to_pos)."""
+    """The index of a set of graphs: nodes (repo_root, sha, line, pos) and the edges that leave lines (line, src, to_line, to_pos). A line is a number, of one repository."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -40,51 +43,133 @@ class Lines(NamedTuple):
 
 def line_index(commits: DataFrame) -> Lines:
     """commits: repo_root, sha, parents (array)."""
-    known = _cut(commits.select(*NODE).where("repo_root is not null and sha is not null").distinct())
-    parents = commits.where("sha is not null").select(*NODE, F.posexplode("parents").alias("place", "parent")).where("parent is not null and parent <> sha")
-    edges = _cut(parents.join(known.select("repo_root", F.col("sha").alias("parent")), ["repo_root", "parent"], "left_semi").groupBy(*NODE, "parent").agg(F.min("place").alias("place")))
-    first = edges.groupBy(*NODE).agg(F.min_by("parent", F.struct("place", "parent")).alias("jump"))
-    state = _cut(known.join(first, NODE, "left").select(*NODE, "jump", F.lit(0).cast("long").alias("pos"), F.col("sha").alias("line")))
-    total, step = known.count(), 1
-    while not state.where("jump is not null").isEmpty():
+    placed = F.transform("parents", lambda p, i: F.struct(i.alias("place"), p.alias("parent")))
+    known = commits.where("repo_root is not null and sha is not null").groupBy(*NODE).agg(F.flatten(F.collect_set(placed)).alias("parents"))
+    known = _cut(known.withColumn("id", F.monotonically_increasing_id()))
+    asked = known.select("repo_root", "sha", F.col("id").alias("child"), F.explode_outer("parents").alias("p")).select("repo_root", "child", "p.place", F.when(F.col("p.parent") != F.col("sha"), F.col("p.parent")).alias("sha"))
+    edges = _cut(asked.join(known.select(*NODE, F.col("id").alias("parent")), NODE, "left").select("child", "place", "parent"))
+    first = edges.groupBy("child").agg(F.min_by("parent", F.when(F.col("parent").isNotNull(), F.col("place"))).alias("up"))
+    state = _cut(first.select(F.col("child").alias("id"), "up", F.lit(1).cast("long").alias("far"), F.lit(False).alias("leaf"), F.lit(None).cast(BEST).alias("best")))
+    label = _labels(state)
+    nodes = _cut(known.join(label, "id").select(*NODE, "line", "pos"))
+    source = label.select(F.col("id").alias("child"), "line", F.col("pos").alias("src"))
+    target = label.select(F.col("id").alias("parent"), F.col("line").alias("to_line"), F.col("pos").alias("to_pos"))
+    across = edges.where("parent is not null").join(source, "child").join(target, "parent").where("line <> to_line")
+    across = _cut(across.groupBy("line", "src", "to_line").agg(F.min("to_pos").alias("to_pos")))
+    drop(known, edges, label)
+    return Lines(nodes, across)
+
+
+#: The longest run of first parents that ends at a commit, as far as it is known: its length and its newest commit.
+BEST = "struct<pos:long,line:long>"
+
+
+def _onward(best: Column, far: Column) -> Column:
+    """What a commit's best run is for the commit `far` first parents above."""
+    return F.when(best.isNotNull(), F.struct((best["pos"] + far).alias("pos"), best["line"].alias("line")))
+
+
+def _labels(state: DataFrame) -> DataFrame:
+    """id, line and pos of each row of a forest (id, up, far, leaf, best), which is dropped.
+
+    A round takes out all leaves known as such, and of the commits with one child those whose hash exceeds their child's and their parent's, a third of
+    a chain; the child then hangs on the parent. Rounds shrink by a factor, so what all of them shuffle together grows with the number of commits alone. Pointer doubling
+    labels what is left, and the rounds, last first, label what they took out.
+    """
+    own = F.struct(F.lit(0).cast("long").alias("pos"), F.col("id").alias("line"))
+    final = lambda best: (F.col("id"), best["line"].alias("line"), best["pos"].alias("pos"))
+    taken, left, seed = [], state.count(), 0
+    while left > DOUBLED:
+        seed += 1
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: E731, B023
+        leaf = F.col("leaf")
+        kids = state.where("up is not null").repartition("up").groupBy("up").agg(
+            F.count_if(~leaf).alias("kids"), F.min(F.when(~leaf, F.col("id"))).alias("child"), F.min(F.when(~leaf, F.col("far"))).alias("below"),
+            F.max(F.when(leaf, _onward(F.coalesce("best", own), F.col("far")))).alias("raked"),
+        ).withColumnRenamed("up", "id")
+        met = state.join(kids.hint("merge"), "id", "left").withColumn("best", F.greatest("best", "raked")).drop("raked")
+        inner = ~leaf & F.coalesce(F.col("kids") == 1, F.lit(False)) & F.col("up").isNotNull()
+        met = met.withColumn("short", inner & (rank("id") > rank("child")) & F.coalesce(rank("id") > rank("up"), F.lit(False)))
+        said = met.where("short").select(F.inline(F.array(
+            F.struct(F.col("child").alias("id"), F.col("up").alias("new_up"), F.col("far").alias("more"), F.lit(None).cast(BEST).alias("passed")),
+            F.struct(F.col("up").alias("id"), F.lit(None).cast("long").alias("new_up"), F.lit(None).cast("long").alias("more"), _onward(F.col("best"), F.col("far")).alias("passed")),
+        ))).where("more is not null or passed is not null")
+        said = said.repartition("id").groupBy("id").agg(F.max("new_up").alias("new_up"), F.max("more").alias("more"), F.max("passed").alias("passed"))
+        stays = met.where(~leaf & ~F.col("short")).join(said.hint("merge"), "id", "left")
+        none = F.lit(None).cast("long")
+        stays = stays.select("id", F.coalesce("new_up", "up").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), (F.coalesce("kids", F.lit(0)) == 0).alias("leaf"), F.greatest("best", "passed").alias("best"), F.lit(False).alias("gone"), none.alias("child"), none.alias("below"))
+        goes = met.where(leaf | F.col("short")).select("id", "up", "far", "leaf", "best", F.lit(True).alias("gone"), F.when(~leaf, F.col("child")).alias("child"), F.when(~leaf, F.col("below")).alias("below"))
+        both = cut(stays.unionAll(goes))
+        if not taken:
+            drop(state)
+        taken.append(both)
+        state = both.where("not gone").select("id", "up", "far", "leaf", "best").hint("merge")
+        fewer = state.count()
+        left, stuck = fewer, fewer == left
+        if stuck:
+            break
+    state = _doubled(state.select("id", "up", "far", F.coalesce("best", own).alias("best")), left)
+    labels = [cut(state.select(*final(F.col("best"))))]
+    drop(state)
+    for both in reversed(taken):
+        gone = both.where("gone")
+        labels.append(cut(gone.where("leaf").select(*final(F.coalesce("best", own)))))
+        so_far = _union(labels).select(F.col("id").alias("child"), F.struct((F.col("pos")).alias("pos"), "line").alias("under"))
+        through = gone.where("not leaf").hint("merge").join(so_far.hint("merge"), "child")
+        labels.append(cut(through.select(*final(F.greatest("best", _onward(F.col("under"), F.col("below")))))))
+        drop(both)
+    out = _cut(_union(labels))
+    drop(*labels)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    """Tables made by `cut`, all of one schema, as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._cut_at for t in tables))
+
+
+def _doubled(state: DataFrame, total: int) -> DataFrame:
+    """state: id, up, far, best. The same rows with their best runs, by pointer doubling."""
+    state, step = _cut(state), 1
+    while not state.where("up is not null").isEmpty():
         if step > total:
             raise ValueError("a commit is its own ancestor")
         # what the commits say that stand `step` first parents above, and where their jumps lead
-        sent = state.where("jump is not null").groupBy("repo_root", F.col("jump").alias("sha")).agg(F.max(F.struct((F.col("pos") + step).alias("pos"), "line")).alias("best"))
-        onward = state.where("jump is not null").select("repo_root", F.col("sha").alias("jump"), F.col("jump").alias("next"))
-        grown = state.join(sent, NODE, "left").withColumn("best", F.greatest(F.struct("pos", "line"), "best")).join(onward, ["repo_root", "jump"], "left")
-        fresh = _cut(grown.select(*NODE, F.col("next").alias("jump"), "best.pos", "best.line"))
+        sent = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.max(_onward(F.col("best"), F.col("far"))).alias("sent"))
+        onward = state.where("up is not null").select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
+        grown = state.join(sent, "id", "left").withColumn("best", F.greatest("best", "sent")).join(onward, "up", "left")
+        fresh = _cut(grown.select("id", F.col("next").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), "best"))
         drop(state)
         state, step = fresh, step * 2
-    nodes = state.select(*NODE, "line", "pos")
-    source = nodes.withColumnsRenamed({"pos": "src"})
-    target = nodes.select("repo_root", F.col("sha").alias("parent"), F.col("line").alias("to_line"), F.col("pos").alias("to_pos"))
-    across = _cut(edges.join(source, NODE).join(target, ["repo_root", "parent"]).where("line <> to_line").groupBy("repo_root", "line", "src", "to_line").agg(F.min("to_pos").alias("to_pos")))
-    drop(known, edges)
-    return Lines(nodes, across)
+    return state
 
 
 def reach(index: Lines, refs: DataFrame) -> DataFrame:
     """refs: repo_root, ref, sha. Rows (repo_root, ref, line, pos): the ref reaches the commits of the line from pos on. Refs of unknown commits reach nothing."""
     key = ["repo_root", "ref", "line"]
-    met = refs.where("ref is not null").join(index.nodes, NODE).groupBy(*key).agg(F.min("pos").alias("pos"))
+    asked = _cut(refs.where("ref is not null").select("repo_root", "ref", "sha"))
+    met = asked.join(index.nodes, NODE).groupBy(*key).agg(F.min("pos").alias("pos"))
     reached = _cut(met)
     front, old = reached.withColumn("until", F.lit(None).cast("long")), None
     while not front.isEmpty():
-        left = front.join(index.edges, ["repo_root", "line"]).where("src >= pos and (until is null or src < until)")
+        left = front.join(index.edges, "line").where("src >= pos and (until is null or src < until)")
         got = left.groupBy("repo_root", "ref", F.col("to_line").alias("line")).agg(F.min("to_pos").alias("pos"))
         fresh = _cut(got.join(reached.withColumnRenamed("pos", "until"), key, "left").where("until is null or pos < until").select(*key, "pos", "until"))
         both = _cut(reached.union(fresh.select(*key, "pos")).groupBy(*key).agg(F.min("pos").alias("pos")))
         drop(old, reached)
         front, old, reached = fresh, fresh, both
-    drop(old)
+    drop(old, asked)
     return reached
 
 
 def containing(index: Lines, reached: DataFrame, shas: DataFrame) -> DataFrame:
     """repo_root, sha and ref of each ref that contains each of the shas (repo_root, sha), without a walk."""
-    asked = shas.select(*NODE).distinct().join(index.nodes, NODE)
-    return asked.join(reached.withColumnRenamed("pos", "from"), ["repo_root", "line"]).where(F.col("pos") >= F.col("from")).select(*NODE, "ref")
+    return _held(shas.select(*NODE).distinct().join(index.nodes, NODE), reached)
+
+
+def _held(labelled: DataFrame, reached: DataFrame) -> DataFrame:
+    """labelled: rows of an index's nodes."""
+    return labelled.join(reached.withColumnRenamed("pos", "from"), ["repo_root", "line"]).where(F.col("pos") >= F.col("from")).select(*NODE, "ref")
 
 
 def reachable(commits: DataFrame, refs: DataFrame) -> DataFrame:
@@ -93,7 +178,7 @@ def reachable(commits: DataFrame, refs: DataFrame) -> DataFrame:
     commits: repo_root, sha, parents (array); refs: repo_root, ref, sha.
     """
     index = line_index(commits)
-    return containing(index, reach(index, refs), index.nodes).select("repo_root", "ref", "sha")
+    return _held(index.nodes, reach(index, refs)).select("repo_root", "ref", "sha")
 
 
 def ancestors(commits: DataFrame, pairs: DataFrame) -> DataFrame:

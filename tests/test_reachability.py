@@ -122,3 +122,41 @@ def test_large_tables_are_not_broadcast(spark, monkeypatch):
     assert len(plans) > 3 and not [p for p in plans if "BroadcastExchange" in p]
     small = R.reach(index, spark.createDataFrame([("r", "m", "9")], "repo_root string, ref string, sha string"))
     assert "BroadcastHashJoin" in R.containing(index, small, index.nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contracted_forests(spark, monkeypatch):
+    """Lines of small forests, contracted to five commits: heights, whole lines, and rings."""
+    monkeypatch.setattr(R, "DOUBLED", 5, raising=False)
+    graphs = {"r": random_graph(7, 250, 0.3) | {f"x{i}": [f"x{i - 1}"] if i else [] for i in range(80)}, "q": random_graph(8, 60, 0.6)}
+    want = {}
+    for r, g in graphs.items():
+        for x in g:
+            n = 0
+            while x is not None:  # each commit pushes the heights of its first parents up
+                want[r, x] = max(want.get((r, x), 0), n)
+                x, n = (g[x] or [None])[0], n + 1
+    rows = R.line_index(table(spark, graphs)).nodes.collect()
+    assert {(x.repo_root, x.sha): x.pos for x in rows} == want and len(rows) == len(want)
+    lines = {}
+    for x in sorted(rows, key=lambda x: x.pos):
+        lines.setdefault(x.line, []).append(x)
+    for line in lines.values():
+        assert [x.pos for x in line] == list(range(len(line)))
+        assert all(graphs[a.repo_root][a.sha][0] == b.sha and a.repo_root == b.repo_root for a, b in zip(line, line[1:]))
+    with pytest.raises(ValueError):
+        R.line_index(table(spark, {"r": {f"a{i}": [f"a{(i + 1) % 40}"] for i in range(40)}}))
+
+
+def test_rows_written_grow_with_the_commits(spark, monkeypatch):
+    """A chain is labelled with a bounded number of rows for each commit, not one for each doubling of its length."""
+    written, plain, n = [], R.cut, 8192
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "cut", counted)
+    monkeypatch.setattr(R, "DOUBLED", 200, raising=False)
+    R.line_index(spark.range(n).select(F.lit("r").alias("repo_root"), F.col("id").cast("string").alias("sha"), F.array(F.when(F.col("id") > 0, (F.col("id") - 1).cast("string"))).alias("parents")))
+    assert sum(written) < 12 * n
