@@ -44,31 +44,49 @@ def read_small(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def _folders(spark: SparkSession, pattern: str) -> list:
+    """The paths of the folders that match a glob pattern."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [] if found is None else [s.getPath() for s in found if s.isDirectory()]
+
+
 def _each_base(spark: SparkSession, bases: list[str], pattern: str, recursive: bool, name: str | None, schema: str, load) -> DataFrame:
-    """The union of what `load` (of a reader and a path) gives for each base that exists, with source_rank, the position of the base."""
+    """The union of what `load` (of a reader, paths and a condition on _metadata) gives for each base that exists, with source_rank, the position of the base.
+
+    A pattern `/*/<name>` is listed by folders: a path for each file would make Spark look up every file by itself.
+    """
     out = None
     for rank, base in enumerate(bases):
-        if not existing(spark, [f"{base}{pattern}"]):
+        reader, fits, paths = spark.read, F.lit(True), f"{base}{pattern}"
+        if pattern.startswith("/*/") and "/" not in pattern[3:] and name is None and not recursive:
+            folders = _folders(spark, f"{base}/*")
+            if not folders:
+                continue
+            paths = [f.toString() for f in folders]
+            deep = sorted({f.toUri().getPath().count("/") + 2 for f in folders})
+            fits = F.size(F.split(F.regexp_replace("_metadata.file_path", "^[^/]*:(//[^/]*)?/", "/"), "/")).isin(deep)
+            reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern[3:])
+        elif not existing(spark, [paths]):
             continue
-        reader = spark.read
         if recursive:
             reader = reader.option("recursiveFileLookup", "true")
         if name:
             reader = reader.option("pathGlobFilter", name)
-        df = load(reader, f"{base}{pattern}").withColumn("source_rank", F.lit(rank))
+        df = load(reader, paths, fits).withColumn("source_rank", F.lit(rank))
         out = df if out is None else out.unionByName(df)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def whole_files(spark: SparkSession, bases: list[str], pattern: str = "", recursive: bool = False, name: str | None = None) -> DataFrame:
     """value, file_path, modified and source_rank of each file, whole: for small files."""
-    load = lambda reader, path: reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"))
+    load = lambda reader, paths, fits: reader.text(paths, wholetext=True).where(fits).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"))
     return _each_base(spark, bases, pattern, recursive, name, WHOLE, load)
 
 
 def listed_files(spark: SparkSession, bases: list[str], pattern: str = "", recursive: bool = False, name: str | None = None) -> DataFrame:
     """file_path, modified, length and source_rank of each file; no content is read."""
-    load = lambda reader, path: reader.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("length"))
+    load = lambda reader, paths, fits: reader.format("binaryFile").load(paths).where(fits).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("length"))
     return _each_base(spark, bases, pattern, recursive, name, LISTED, load)
 
 
@@ -87,8 +105,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
 def file_lines(spark: SparkSession, bases: list[str], pattern: str = "", recursive: bool = False, name: str | None = None, since: Column | None = None) -> DataFrame:
     """value, file_path, modified, line_no and source_rank of each line of the files that were touched since; other files are not opened."""
 
-    def load(reader, path):
-        rows = reader.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"))
+    def load(reader, paths, fits):
+        rows = reader.text(paths, lineSep="\n").where(fits).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"))
         return _numbered(rows.where(touched(F.col("modified"), since)).withColumn("row", F.monotonically_increasing_id()))
 
     return _each_base(spark, bases, pattern, recursive, name, LINES, load)

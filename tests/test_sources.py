@@ -155,3 +155,14 @@ def test_lines_written_as_files(spark, tmp_path):
     assert (root / "a/x.jsonl").read_text().splitlines() == [f"line {i}" for i in range(500)]
     assert (root / "a/y.jsonl").read_text() == "\né\n"
     assert write_lines(df.limit(0), f"file://{tmp_path}/none", ["n"]).count() == 0
+
+
+def test_files_are_listed_by_folders(spark, tmp_path, monkeypatch):
+    """A path for each folder, not for each file; files at the top, deeper ones and other suffixes are not of the layout."""
+    for place in ("top.jsonl", "p/a.jsonl", "p/b.jsonl", "p/c.txt", "p/deep/d.jsonl", "-q r/k=v/e.jsonl", "-q r/f.jsonl", "_s/g.jsonl", "empty/h.txt"):
+        write(tmp_path / "l\u00f6gs" / place, [place])
+    paths, plain = [], type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, path, *a, **k: (paths.append(path), plain(self, path, *a, **k))[1])
+    rows = L.file_lines(spark, [f"{tmp_path}/l\u00f6gs", f"{tmp_path}/none"], "/*/*.jsonl").collect()
+    assert sorted((r.value, r.line_no) for r in rows) == [(x, 0) for x in ("-q r/f.jsonl", "_s/g.jsonl", "p/a.jsonl", "p/b.jsonl")]
+    assert len(paths) == 1 and sorted(x.rsplit("/", 1)[1] for x in paths[0]) == ["-q r", "_s", "empty", "p"]
