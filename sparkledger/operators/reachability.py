@@ -254,7 +254,7 @@ def graph_facts(commits: DataFrame, refs: DataFrame, repos: DataFrame, now: Colu
         "repos": chosen.withColumn("now", now),
         "shas": shas,
         "ancestors": contains.join(chosen, "repo_root").where("branch = default_branch").select(*NODE),
-        "cherries": none if patches is None else equivalents(index, reached, patches.join(single, NODE, "left_semi"), others),
+        "cherries": none if patches is None else equivalents(index, reached, patches.join(single, NODE, "left_semi"), others, shas),
         "contains": contains,
         "tips": refs.join(dated, NODE, "left").select("repo_root", F.col("ref").alias("branch"), F.col("committed_at").alias("tip")),
     }

@@ -22,7 +22,7 @@ from .sources import surfaces as S
 from .sources.lines import json_lines, key_values
 from .sources.log_files import write_lines
 from .sources.surfaces import union_all
-from .storage import scratch
+from .storage import cut, scratch, sized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -487,7 +487,8 @@ def _graph(spark, sf_dir):
     first = F.when((n % 6 == 1) & (n > 10), n - 6).otherwise(n - 1)
     parents = F.filter(F.array(first, F.when(n % 4 == 0, n - 3)), lambda p: p >= 1)
     at = F.lit("2024-06-01 00:00:00").cast("timestamp") - F.make_dt_interval(hours=((F.col("most") - n) * 12).cast("int"))
-    c = c.select("repo_root", n.cast("string").alias("sha"), parents.cast("array<string>").alias("parents"), at.alias("committed_at"), "n", "most")
+    # written once: each question asked of the commits would number all orders again
+    c = sized(cut(c.select("repo_root", n.cast("string").alias("sha"), parents.cast("array<string>").alias("parents"), at.alias("committed_at"), "n", "most")))
     last = lambda name, where: c.where(where).groupBy("repo_root").agg(F.max("n").cast("string").alias("sha")).select("repo_root", F.lit(name).alias("ref"), "sha")
     refs = last("main", "n % 6 = 0 and n < most - 40").union(last("f1", "n % 6 = 3")).union(last("origin/f2", "n % 6 = 5 and n < most - 30"))
     return c, refs.union(c.select("repo_root", F.lit("f0"), F.lit("10")).distinct())

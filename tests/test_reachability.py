@@ -160,3 +160,24 @@ def test_rows_written_grow_with_the_commits(spark, monkeypatch):
     monkeypatch.setattr(R, "DOUBLED", 200, raising=False)
     R.line_index(spark.range(n).select(F.lit("r").alias("repo_root"), F.col("id").cast("string").alias("sha"), F.array(F.when(F.col("id") > 0, (F.col("id") - 1).cast("string"))).alias("parents")))
     assert sum(written) < 12 * n
+
+
+def test_fates_number_the_orders_once(spark, tmp_path, monkeypatch):
+    """The commits of graph_fates are made of the orders in one written table; equal patches are sought for the commits that get a fate."""
+    from sparkledger import queries as Q
+
+    spark.range(3000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % 1500).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    plans, asked, plain, equal = [], [], R.cut, R.equivalents
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(R, "cut", seen)
+    monkeypatch.setattr(Q, "cut", seen, raising=False)
+    monkeypatch.setattr(R, "equivalents", lambda *a: (asked.append(a[4:]), equal(*a))[1])
+    out = Q.graph_fates(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len([p for p in plans if "o_orderkey" in p]) == 1 and len(asked[0]) == 1
+    rows = out.collect()
+    assert len({(x.repo_root, x.sha) for x in rows}) == len(rows) > 0 and {x.fate for x in rows} == {"shipped", "in_flight", "unshipped"}
