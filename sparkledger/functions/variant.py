@@ -11,11 +11,23 @@ from pyspark.sql import functions as F
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
+#: How a line that holds an object ends.
+ENDED = r"\}\s*$"
+
+
+def boxed(line: Column) -> Column:
+    """What stands on a line, parsed as the elements of an array."""
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+
+
+def unboxed(box: Column) -> Column:
+    """The only element of an array; null if there are more."""
+    return F.when(at(box, "$[1]").isNull(), at(box, "$[0]"))
+
+
 def parse_line(line: Column) -> Column:
     """A JSON object line as a variant; null for anything else, trailing text included."""
-    boxed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    return F.when(line.rlike(r"\}\s*$") & alone, F.try_variant_get(boxed, "$[0]", "variant"))
+    return F.when(line.rlike(ENDED), unboxed(boxed(line)))
 
 
 def kind(v: Column) -> Column:

@@ -423,11 +423,12 @@ def files_third_surface(spark, sf_dir):
     user = F.col("user_id")
     rel = F.format_string("%d/u%d.jsonl", user % 4, user)
     rows = _third_surface_lines(spark, sf_dir).select("user_id", rel.alias("rel"), "value", "ts", "event_id")
-    main = rows.withColumn("path", F.concat(F.when(user % 4 == 1, "archived_sessions/").otherwise("sessions/"), "rel"))
-    hidden = rows.where((user % 4 != 1) & (user % 3 == 0)).withColumn("value", F.regexp_replace("value", '"m', '"z')).withColumn("path", F.concat(F.lit("archived_sessions/"), "rel"))
-    other = rows.where(user % 7 == 0).withColumn("path", F.concat(F.lit("sessions/"), "rel", F.lit(".bak")))
+    at = lambda folder, value=F.col("value"), suffix="": F.struct(F.concat(folder, "rel", F.lit(suffix)).alias("path"), value.alias("value"))
+    main = at(F.when(user % 4 == 1, "archived_sessions/").otherwise("sessions/"))
+    hidden = F.when((user % 4 != 1) & (user % 3 == 0), at(F.lit("archived_sessions/"), F.regexp_replace("value", '"m', '"z')))
+    other = F.when(user % 7 == 0, at(F.lit("sessions/"), suffix=".bak"))
     home = scratch(spark, "home")
-    write_lines(main.union(hidden).union(other), home, ["ts", "event_id"])
+    write_lines(rows.select(F.inline(F.array_compact(F.array(main, hidden, other))), "ts", "event_id"), home, ["ts", "event_id"])
     return _third_surface_rows(S.codex_events(json_lines(S.codex_lines(spark, [home]))))
 
 

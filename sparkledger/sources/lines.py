@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.variant import parse_line
+from ..functions.variant import ENDED, boxed, unboxed
 from ..operators.filters import touched
 
 WHOLE = "value string, file_path string, modified timestamp, source_rank int"
@@ -117,7 +117,9 @@ def json_lines(rows: DataFrame, since=None) -> DataFrame:
     rows = rows.where(touched(F.col("modified"), since))
     if "line_no" not in rows.columns:
         rows = rows.select("file_path", "source_rank", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return rows.where(F.col("value").rlike(r"\S")).select("file_path", "source_rank", "line_no", parse_line(F.col("value")).alias("v")).where("v is not null")
+    # columns of generators: filters on fields of a projected column are pushed below it, and each field they name would parse the line again
+    boxes = rows.where(F.col("value").rlike(ENDED)).select("file_path", "source_rank", "line_no", F.explode(F.array(boxed(F.col("value")))).alias("box"))
+    return boxes.select("file_path", "source_rank", "line_no", F.explode(F.array(unboxed(F.col("box")))).alias("v")).where("v is not null")
 
 
 def key_values(files: DataFrame) -> DataFrame:

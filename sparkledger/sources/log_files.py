@@ -18,7 +18,7 @@ def _written(base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open_fs(base)
         at = out = held = None
-        lines, done = 0, []
+        lines, done, made = 0, [], set()
 
         def ended():
             out.close()
@@ -31,7 +31,9 @@ def _written(base: str):
                     if out is not None:
                         ended()
                     folder, _, name = f"{root}/{path}".rpartition("/")
-                    system.create_dir(folder, recursive=True)
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
                     at, lines, held = path, 0, f"{folder}/.{name}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(held)
                 out.write((value or "").encode() + b"\n")

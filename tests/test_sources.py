@@ -166,3 +166,13 @@ def test_files_are_listed_by_folders(spark, tmp_path, monkeypatch):
     rows = L.file_lines(spark, [f"{tmp_path}/l\u00f6gs", f"{tmp_path}/none"], "/*/*.jsonl").collect()
     assert sorted((r.value, r.line_no) for r in rows) == [(x, 0) for x in ("-q r/f.jsonl", "_s/g.jsonl", "p/a.jsonl", "p/b.jsonl")]
     assert len(paths) == 1 and sorted(x.rsplit("/", 1)[1] for x in paths[0]) == ["-q r", "_s", "empty", "p"]
+
+
+def test_lines_are_parsed_once(spark):
+    """Filters on fields of a line do not parse it again; what parses is the same."""
+    lines = ['{"type": "session_meta", "payload": {"id": "s"}}', '{"a": 1} x', '{"a": 1}, {"a": 2}', "[1]", " ", None, ' {"payload": {}} \r', "{", "5}", '"}']
+    rows = spark.createDataFrame([(v, "f", i) for i, v in enumerate(lines)], "value string, file_path string, line_no int").selectExpr("*", "timestamp '2024-05-01' as modified", "0 as source_rank")
+    got = L.json_lines(rows)
+    assert sorted(r.line_no for r in got.collect()) == [0, 6]
+    for out in (S.codex_events(got), S.claude_code_events(got)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
